@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..constants import TEXT_CAP_BYTES
 from .text import script_profile, script_score
@@ -38,7 +39,7 @@ def _readings(kind: str | None, content: bytes | None) -> list[str | None] | Non
     return out + [raw.decode("cp1252", "replace")]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _decode_readings(kind: pd.Series, content: pd.Series) -> pd.Series:
     return pd.Series([_readings(k, c) for k, c in zip(kind, content)], dtype=object)
 

@@ -89,7 +89,10 @@ def images(html: Column) -> Column:
         raw = F.trim(attribute(tag, "width"))
         percent = F.regexp_extract(raw, r"^(\d+)\s*%$", 1).try_cast("int")
         pixels = F.regexp_extract(raw, r"^(\d+)", 1).try_cast("int")
-        clamp = lambda v, top: F.least(F.greatest(v, F.lit(1)), F.lit(top))
+
+        def clamp(value: Column, top: int) -> Column:
+            return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(1)), F.lit(top)))
+
         return F.when(
             raw.endswith("%"), F.concat(clamp(percent, 100).cast("string"), F.lit("%"))
         ).otherwise(F.concat(clamp(pixels, 4000).cast("string"), F.lit("px")))

@@ -7,18 +7,24 @@ from pyspark.sql import Column, functions as F
 from .. import constants as C
 
 
-def _at(head: Column, offset: int, signature: str) -> Column:
-    n = len(signature) // 2
-    return F.hex(F.substring(head, offset + 1, n)) == signature
+# Longest reach of any signature.
+_REACH = max(offset + len(sig) // 2 for _, parts in C.SIGNATURES for offset, sig in parts)
+
+
+def _matches(head_hex: Column, parts: tuple[tuple[int, str], ...]) -> Column:
+    test = None
+    for offset, sig in parts:
+        here = F.substring(head_hex, offset * 2 + 1, len(sig)) == sig
+        test = here if test is None else test & here
+    return test
 
 
 def magic_kind(head: Column) -> Column:
     """First matching fixed-offset signature, NULL when none matches."""
+    head_hex = F.hex(F.substring(head, 1, _REACH))
     out = None
     for kind, parts in C.SIGNATURES:
-        test = _at(head, *parts[0])
-        for part in parts[1:]:
-            test = test & _at(head, *part)
+        test = _matches(head_hex, parts)
         out = F.when(test, kind) if out is None else out.when(test, kind)
     return out
 
@@ -42,30 +48,43 @@ def read_head(content: Column, length: Column, cap: int) -> Column:
     return F.struct(F.substring(content, 1, cap).alias("head"), (length > cap).alias("was_longer"))
 
 
-def _uint(head: Column, offset: int, size: int, little: bool = False) -> Column:
-    starts = range(offset + size, offset, -1) if little else range(offset + 1, offset + size + 1)
-    digits = F.concat(*[F.hex(F.substring(head, s, 1)) for s in starts])
-    whole = F.octet_length(head) >= offset + size
-    return F.nullif(F.when(whole, F.conv(digits, 16, 10)).cast("bigint"), F.lit(0).cast("bigint"))
+# Where four formats keep their size: signature, width offset, height offset, bytes, byte order.
+# Fixed values.
+_DIMENSIONS = (
+    ("psd", 18, 14, 4, False),
+    ("png", 16, 20, 4, False),
+    ("gif", 6, 8, 2, True),
+    ("bmp", 18, 22, 4, True),
+)
+_DIMENSION_REACH = 26
+
+
+def _uint(head_hex: Column, offset: int, size: int, little: bool) -> Column:
+    digits = F.substring(head_hex, offset * 2 + 1, size * 2)
+    if little:
+        digits = F.concat(
+            *[F.substring(head_hex, (offset + i) * 2 + 1, 2) for i in range(size - 1, -1, -1)]
+        )
+    value = F.conv(digits, 16, 10).cast("bigint")
+    return F.when((F.length(digits) == size * 2) & (value > 0), value)
 
 
 def header_dims(head: Column) -> Column:
     """Pixel size from fixed header bytes (PSD, PNG, GIF, BMP); NULL when either side is unknown."""
-    kind = magic_kind(head)
-    width = (
-        F.when(kind == "psd", _uint(head, 18, 4))
-        .when(kind == "png", _uint(head, 16, 4))
-        .when(kind == "gif", _uint(head, 6, 2, little=True))
-        .when(kind == "bmp", _uint(head, 18, 4, little=True))
-    )
-    height = (
-        F.when(kind == "psd", _uint(head, 14, 4))
-        .when(kind == "png", _uint(head, 20, 4))
-        .when(kind == "gif", _uint(head, 8, 2, little=True))
-        .when(kind == "bmp", _uint(head, 22, 4, little=True))
-    )
-    both = width.isNotNull() & height.isNotNull()
-    return F.when(both, F.struct(width.alias("width"), height.alias("height")))
+    head_hex = F.hex(F.substring(head, 1, _DIMENSION_REACH))
+    out = None
+    for kind, w_at, h_at, size, little in _DIMENSIONS:
+        test = F.lit(False)
+        for name, parts in C.SIGNATURES:
+            if name == kind:
+                test = test | _matches(head_hex, parts)
+        width, height = (_uint(head_hex, at, size, little) for at in (w_at, h_at))
+        dims = F.when(
+            width.isNotNull() & height.isNotNull(),
+            F.struct(width.alias("width"), height.alias("height")),
+        )
+        out = F.when(test, dims) if out is None else out.when(test, dims)
+    return out
 
 
 def junk_sample(content: Column) -> Column:

@@ -41,7 +41,7 @@ def parse_resize(text: Column) -> Column:
     height = F.regexp_extract(value, r"^\s*(\d+)\s*[xX]\s*(\d+)\s*$", 2).try_cast("int")
     both = width.isNotNull() & height.isNotNull()
     return F.struct(
-        F.least(F.greatest(percent, F.lit(1)), F.lit(1000)).alias("percent"),
+        F.when(percent.isNotNull(), F.least(F.greatest(percent, F.lit(1)), F.lit(1000))).alias("percent"),
         F.when(both, F.greatest(width, F.lit(1))).alias("width"),
         F.when(both, F.greatest(height, F.lit(1))).alias("height"),
     )
