@@ -10,6 +10,11 @@ from .. import constants as C
 from .vectors import mean_abs_delta
 
 
+def round2(value: Column) -> Column:
+    """Two decimals, half to even on the binary value."""
+    return F.rint(value * 100) / 100
+
+
 def regression_diff(
     baseline: DataFrame, present: DataFrame, passing: DataFrame, key: str
 ) -> DataFrame:
@@ -39,7 +44,7 @@ def regression_diff(
 def self_gate(rows: DataFrame, recorded: DataFrame) -> DataFrame:
     """Each measurement (name, ms) against its own recorded time: suspects and unseen names."""
     was = F.greatest(F.col("_was"), F.lit(0.001))
-    ratio = F.bround(F.col("ms") / was, 2)
+    ratio = round2(F.col("ms") / was)
     joined = rows.join(recorded.select("name", F.col("ms").alias("_was")), "name", "left")
     suspect = (
         (F.col("ms") >= C.SELF_MIN_MS)
@@ -58,7 +63,7 @@ def self_gate(rows: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 def peer_ratio(ms: Column, peer_ms: Column) -> Column:
-    return F.when(peer_ms > 0, F.bround(ms / peer_ms, 2))
+    return F.when(peer_ms > 0, round2(ms / peer_ms))
 
 
 def peer_gate(rows: DataFrame, allowed: DataFrame) -> DataFrame:

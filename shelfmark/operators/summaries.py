@@ -161,7 +161,8 @@ def stale_counts(docs: DataFrame, key: str, text: str, actual: int | Column) ->
     claims = F.explode(F.regexp_extract_all(text, F.lit(CLAIM), F.lit(1)))
     actual = F.lit(actual) if isinstance(actual, int) else actual
     return (
-        docs.select(key, claims.cast("int").alias("claimed"))
+        docs.select(key, claims.alias("_claim"))
+        .select(key, F.col("_claim").cast("int").alias("claimed"))
         .filter(F.col("claimed") != actual)
         .groupBy(key, "claimed")
         .agg(F.count("*").alias("mentions"))

@@ -1,5 +1,6 @@
 """Runnable plans: every operator applied to the given tables."""
 
+from . import gate_queries  # noqa: F401
 from . import scalar_queries  # noqa: F401
 from . import workflows  # noqa: F401
 from .registry import ORACLES, QUERIES
