@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 _BLOCK = 256
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it many times inside ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _scan(values: Column, start: Column) -> Column:
     """Running sums of a short array, seeded with ``start`` (``start`` itself is dropped)."""
     empty = F.array().cast("array<bigint>")
@@ -26,16 +33,27 @@ def prefix_sums(values: Column) -> Column:
     Two levels of blocks: a single fold would copy its growing result once per
     element, which is quadratic in a long document's hit count.
     """
-    values = F.transform(values, lambda v: v.cast("bigint"))
-    n = F.size(values)
-    starts = F.sequence(F.lit(1), n, F.lit(_BLOCK))
-    blocks = F.transform(starts, lambda s: F.slice(values, s, _BLOCK))
-    totals = F.transform(
-        blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda a, v: a + v)
-    )
-    ends = _scan(totals, F.lit(0))
-    pieces = F.transform(
-        F.arrays_zip(blocks.alias("b"), totals.alias("t"), ends.alias("e")),
-        lambda z: _scan(z["b"], z["e"] - z["t"]),
-    )
-    return F.when(n > 0, F.flatten(pieces)).otherwise(F.array().cast("array<bigint>"))
+    def blocks_of(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(_BLOCK))
+        return F.transform(starts, lambda s: F.slice(v, s, _BLOCK))
+
+    def total(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    def stitched(blocks: Column) -> Column:
+        totals = F.transform(blocks, total)
+        return let(
+            _scan(totals, F.lit(0)),
+            lambda ends: F.flatten(
+                F.transform(
+                    F.arrays_zip(blocks.alias("b"), ends.alias("e")),
+                    lambda z: _scan(z["b"], z["e"] - total(z["b"])),
+                )
+            ),
+        )
+
+    def summed(v: Column) -> Column:
+        empty = F.array().cast("array<bigint>")
+        return F.when(F.size(v) > 0, let(blocks_of(v), stitched)).otherwise(empty)
+
+    return let(F.transform(values, lambda x: x.cast("bigint")), summed)

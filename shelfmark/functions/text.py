@@ -8,7 +8,7 @@ import string
 from pyspark.sql import Column, functions as F
 
 from .. import constants as C
-from .arrays import prefix_sums
+from .arrays import let, prefix_sums
 
 _HEX2 = r"[0-9A-Fa-f]{2}"
 
@@ -18,20 +18,23 @@ def fold_ascii(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def find_all(text: Column, needle: Column) -> Column:
-    """Byte offsets of the non-overlapping, ASCII-case-insensitive hits, left to right."""
-    low = fold_ascii(needle)
-    width = F.octet_length(low).cast("bigint")
+def find_folded(text: Column, needle: Column) -> Column:
+    """Byte offsets of the non-overlapping hits of ``needle``, both sides folded already."""
+    width = F.octet_length(needle).cast("bigint")
     pieces = F.transform(
-        F.split(fold_ascii(text), F.concat(F.lit(r"\Q"), low, F.lit(r"\E"))),
+        F.split(text, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E"))),
         lambda p: F.octet_length(p).cast("bigint"),
     )
-    gaps = F.slice(pieces, 1, F.size(pieces) - 1)
-    ends = prefix_sums(gaps)
+    ends = let(pieces, lambda p: prefix_sums(F.slice(p, F.lit(1), F.size(p) - 1)))
     hits = F.transform(ends, lambda end, i: end + i.cast("bigint") * width)
     return F.when(width > 0, hits).otherwise(F.array().cast("array<bigint>"))
 
 
+def find_all(text: Column, needle: Column) -> Column:
+    """Byte offsets of the non-overlapping, ASCII-case-insensitive hits, left to right."""
+    return find_folded(fold_ascii(text), fold_ascii(needle))
+
+
 def collapse_ws(text: Column) -> Column:
     """Runs of space, tab, CR and LF become one space; a no-break space survives."""
     return F.regexp_replace(text, "[ \t\r\n]+", " ")

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import constants as C
 from ..functions import html as H
 from ..functions import markdown as M
+from ..functions.arrays import let
 from ..functions.media import gps_decimal, to_bits_per_second, to_dpi, to_ticks
 from ..functions.paths import category, extension, file_name, folder
 from ..functions.sizes import dimension_folder
 from ..functions.text import (
-    expand_template, find_all, fold_ascii, linkify, secret_kind, template_path, valid_email,
+    expand_template, find_folded, fold_ascii, linkify, secret_kind, template_path, valid_email,
 )
 from .ordering import HOT_ROWS, natural_key, ordered_prefix
 
@@ -87,35 +88,48 @@ def _terms(terms: Sequence[str]) -> Column:
 
 
 def doc_hits(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
-    """(key, term, hits): byte offsets per document and term; the terms travel in the plan."""
+    """(key, term, hits): byte offsets per document and term; the terms travel in the plan.
+
+    A text is folded once, before it is looked at for each term.
+    """
     kept = sorted({t for t in terms if t})
+    folded = docs.select(key, fold_ascii(F.col(text)).alias("_text"))
     return (
-        docs.withColumn("term", F.explode(_terms(kept)))
-        .filter(F.contains(fold_ascii(F.col(text)), fold_ascii(F.col("term"))))
-        .select(key, "term", find_all(F.col(text), F.col("term")).alias("hits"))
+        folded.withColumn("term", F.explode(_terms(kept)))
+        .withColumn("_needle", fold_ascii(F.col("term")))
+        .filter(F.contains("_text", F.col("_needle")))
+        .select(key, "term", find_folded(F.col("_text"), F.col("_needle")).alias("hits"))
     )
 
 
 def doc_search(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
     """One row per hit: rank, the "3/17" label, and the hits before and after it, wrapping."""
-    n = F.size("hits")
-    return (
-        doc_hits(docs, key, text, terms)
-        .select(key, "term", "hits", F.posexplode("hits").alias("_i", "offset"))
-        .select(
-            key, "term", (F.col("_i") + 1).alias("rank"), n.alias("n_hits"), "offset",
-            F.concat((F.col("_i") + 1).cast("string"), F.lit("/"), n.cast("string")).alias("label"),
-            F.get("hits", F.pmod(F.col("_i") + 1, n)).alias("next_offset"),
-            F.get("hits", F.pmod(F.col("_i") - 1, n)).alias("previous_offset"),
+    def around(hits: Column) -> Column:
+        n = F.size(hits)
+        after = F.concat(F.slice(hits, F.lit(2), n), F.slice(hits, 1, 1))
+        before = F.concat(F.slice(hits, n, F.lit(1)), F.slice(hits, F.lit(1), n - 1))
+        return F.transform(
+            F.arrays_zip(hits.alias("o"), after.alias("a"), before.alias("b")),
+            lambda z, i: F.struct(
+                (i + 1).alias("rank"), n.alias("n_hits"), z["o"].alias("offset"),
+                F.concat((i + 1).cast("string"), F.lit("/"), n.cast("string")).alias("label"),
+                z["a"].alias("next_offset"), z["b"].alias("previous_offset"),
+            ),
         )
+
+    found = doc_hits(docs, key, text, terms)
+    return found.select(key, "term", F.explode(let(F.col("hits"), around)).alias("_h")).select(
+        key, "term", "_h.*"
     )
 
 
 def resume_hit(hits: Column, start: Column) -> Column:
     """1-based position of the first hit at or after ``start``, else the first hit; NULL for none."""
-    later = F.size(F.filter(hits, lambda h: h < start))
-    position = F.when(later < F.size(hits), later + 1).otherwise(1)
-    return F.when(F.size(hits) > 0, position)
+    def position(h: Column) -> Column:
+        before = F.size(F.filter(h, lambda offset: offset < start))
+        return F.when(F.size(h) > 0, F.when(before < F.size(h), before + 1).otherwise(1))
+
+    return let(hits, position)
 
 
 def page_starts(

@@ -498,16 +498,21 @@ def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sql_hits(text: str, needle: str) -> str:
-    """Byte offsets of the hits of a lower-case ASCII needle."""
-    pieces = f"string_split(translate({text}, '{_UPPER}', '{_LOWER}'), '{needle}')"
+def sql_hits(source: str, keys: str, needle: str) -> str:
+    """Rows (keys, rank, n, off): byte offsets of the hits of an ASCII-folded needle."""
+    folded = needle.translate(str.maketrans(_UPPER, _LOWER))
+    width = len(folded.encode())
     return (
-        f"list_transform(range(1, len({pieces})), lambda i: "
-        f"CAST(strlen(array_to_string(({pieces})[1:i], '{needle}')) AS BIGINT))"
+        f"(SELECT {keys}, rank, n, CAST(sum(strlen(p) + {width}) OVER (PARTITION BY {keys} ORDER BY rank) - {width} AS BIGINT) AS off "
+        f"FROM (SELECT {keys}, unnest(parts) AS p, generate_subscripts(parts, 1) AS rank, len(parts) - 1 AS n "
+        f"FROM (SELECT {keys}, string_split(translate(text, '{_UPPER}', '{_LOWER}'), '{folded}') AS parts FROM {source})) WHERE rank <= n)"
     )
 
 
-@query("f14_find_all", f"SELECT doc_id, array_to_string({sql_hits('text', 'the')}, ',') AS offsets FROM documents")
+@query("f14_find_all", f"""
+SELECT d.doc_id, coalesce(h.offsets, '') AS offsets FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(CAST(off AS VARCHAR), ',' ORDER BY rank) AS offsets FROM {sql_hits('documents', 'doc_id', 'The')} GROUP BY doc_id) h
+ON d.doc_id = h.doc_id""")
 def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = T.find_all(F.col("text"), F.lit("The"))
     return table(spark, sf_dir, "documents").select(

@@ -6,7 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import MAX_ARCHIVE_ENTRIES
@@ -44,19 +44,22 @@ def list_archives(
     zips = files.filter(head.isin("504B0304", "504B0506", "504B0708")).select(key, content)
     key_type = files.schema[key].dataType.simpleString()
 
-    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for owner, data in zip(batch[key], batch[content]):
-                rows = _entries(bytes(data), limit)
-                yield pd.DataFrame({
-                    key: [owner] * len(rows),
-                    "ord": pd.Series(range(len(rows)), dtype="int32"),
-                    "name": [r[0] for r in rows],
-                    "is_dir": pd.Series([r[1] for r in rows], dtype="bool"),
-                    "size": pd.Series([r[2] for r in rows], dtype="int64"),
-                })
-
-    return zips.mapInPandas(listing, f"{key} {key_type}, {ENTRY_COLUMNS}")
+            for owner, data in zip(batch.column(key), batch.column(content)):
+                rows = _entries(data.as_py(), limit)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([owner.as_py()] * len(rows), batch.schema.field(key).type),
+                        pa.array(range(len(rows)), pa.int32()),
+                        pa.array([r[0] for r in rows], pa.string()),
+                        pa.array([r[1] for r in rows], pa.bool_()),
+                        pa.array([r[2] for r in rows], pa.int64()),
+                    ],
+                    names=[key, "ord", "name", "is_dir", "size"],
+                )
+
+    return zips.mapInArrow(listing, f"{key} {key_type}, {ENTRY_COLUMNS}")
 
 
 def scan_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
@@ -41,13 +41,9 @@ def gfm_table(
     """
     cells = [F.coalesce(md_escape(F.col(c).cast("string")), F.lit("")) for c in columns]
     top = df.orderBy(*order).limit(n)
-    shown = top.select(F.array(*cells).alias("_c"), *order) if order else top.select(F.array(*cells).alias("_c"))
-    from pyspark.sql import Window
-
-    numbered = shown.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
-    body = numbered.select(
+    body = top.withColumn("_n", F.row_number().over(Window.orderBy(*order))).select(
         (F.col("_n") + 1).cast("bigint").alias("line_no"),
-        F.concat(F.lit("| "), F.col("_n").cast("string"), F.lit(" | "), F.concat_ws(" | ", "_c"), F.lit(" |")).alias("line"),
+        _line([F.col("_n").cast("string"), *cells]).alias("line"),
     )
     spark = df.sparkSession
     head = spark.range(2).select(
