@@ -46,14 +46,19 @@ def _decode_readings(kind: pd.Series, content: pd.Series) -> pd.Series:
 
 def _utf16_parity(content: Column) -> Column:
     """'le' or 'be' when most two-byte units of the first 4 KB carry a zero in the same place."""
-    head = F.hex(F.substring(content, 1, 4096))
-    pairs = F.floor(F.octet_length(F.substring(content, 1, 4096)) / 2)
-    units = F.regexp_extract_all(head, F.lit("(....)"), F.lit(1))
-    le = F.size(F.filter(units, lambda u: u.endswith("00") & ~u.startswith("00")))
-    be = F.size(F.filter(units, lambda u: u.startswith("00") & ~u.endswith("00")))
+    head = F.substring(content, 1, 4096)
+    digits = F.hex(head)
+    pairs = F.floor(F.octet_length(head) / 2)
     limit = F.floor(pairs * 3 / 5)
+
+    def units(pattern: str) -> Column:
+        # Every match takes one aligned unit; units of the wanted form vanish.
+        rest = F.regexp_replace(digits, rf"(?:{pattern})|(.{{1,4}})", "$1")
+        return (F.length(digits) - F.length(rest)) / 4
+
+    le, be = units("(?!00)..00"), units("00(?!00)..")
     return F.when(
-        pairs >= 8,
+        (pairs >= 8) & F.contains(head, F.unhex(F.lit("00"))),
         F.when((le > limit) & ~(be > limit), "le").when((be > limit) & ~(le > limit), "be"),
     )
 

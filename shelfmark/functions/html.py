@@ -54,10 +54,18 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(pattern), decode_entities(quoted))
 
 
-def headings(html: Column) -> Column:
+# The element functions below take a page that went through ``drop_invisible``.
+
+
+def link_count(visible: Column) -> Column:
+    """How many anchors of a page have a target."""
+    return F.regexp_count(visible, F.lit(r"(?is)<a\b[^>]*[\s\"']href\s*="))
+
+
+def headings(visible: Column) -> Column:
     """(level, text) of every heading, in page order."""
     pattern = r"(?is)<(h[1-6]\b[^>]*>.*?)</h[1-6]\s*>"
-    bodies = F.regexp_extract_all(drop_invisible(html), F.lit(pattern), F.lit(1))
+    bodies = F.regexp_extract_all(visible, F.lit(pattern), F.lit(1))
     return F.transform(
         bodies,
         lambda b: F.struct(
@@ -67,10 +75,10 @@ def headings(html: Column) -> Column:
     )
 
 
-def links(html: Column) -> Column:
+def links(visible: Column) -> Column:
     """(href, text) of every anchor that has a target, in page order."""
     pattern = r"(?is)(<a\b[^>]*>.*?)</a\s*>"
-    bodies = F.regexp_extract_all(drop_invisible(html), F.lit(pattern), F.lit(1))
+    bodies = F.regexp_extract_all(visible, F.lit(pattern), F.lit(1))
     rows = F.transform(
         bodies,
         lambda b: F.struct(
@@ -81,9 +89,9 @@ def links(html: Column) -> Column:
     return F.filter(rows, lambda r: r["href"].isNotNull())
 
 
-def images(html: Column) -> Column:
+def images(visible: Column) -> Column:
     """(src, alt, width) of every image with a source; width keeps its unit (``px`` or ``%``)."""
-    tags = F.regexp_extract_all(drop_invisible(html), F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1))
+    tags = F.regexp_extract_all(visible, F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1))
 
     def width(tag: Column) -> Column:
         raw = F.trim(attribute(tag, "width"))
@@ -108,10 +116,10 @@ def images(html: Column) -> Column:
     return F.filter(rows, lambda r: F.coalesce(r["src"], F.lit("")) != "")
 
 
-def table_cells(html: Column) -> Column:
+def table_cells(visible: Column) -> Column:
     """(row, col, header, text) of every table cell; rows count over the whole page from 0."""
     rows = F.regexp_extract_all(
-        drop_invisible(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1)
+        visible, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1)
     )
     cell = r"(?is)<(t[dh]\b[^>]*>.*?)</t[dh]\s*>"
 

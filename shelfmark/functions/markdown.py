@@ -16,8 +16,10 @@ _PIECE = rf"(?m)({_FRONT}|{_TICKS}|{_TILDES}|^[^\r\n]*(?:\r?\n|\z))"
 
 def _piece_kind(piece: Column, ord_: Column) -> Column:
     fence = r"^ {0,3}(?:```|~~~)"
+    # Most lines start with a letter and are plain text.
     return (
-        F.when((ord_ == 0) & piece.rlike(r"(?s)\A---[ \t]*\r?\n.*^?---[ \t]*\r?\n?\z"), "front")
+        F.when(piece.rlike(r"^ {0,3}\p{L}"), "para")
+        .when((ord_ == 0) & piece.rlike(r"(?s)\A---[ \t]*\r?\n.*^?---[ \t]*\r?\n?\z"), "front")
         .when(piece.rlike(fence), "code")
         .when(piece.rlike(r"^\s*$"), "blank")
         .when(piece.rlike(r"^ {0,3}#{1,6}(?:[ \t]|\r?\n|$)"), "heading")
@@ -43,9 +45,13 @@ def md_blocks(text: Column) -> Column:
     of a task item.  Inline emphasis is left as written.
     """
     pieces = F.filter(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1)), lambda p: p != "")
+    kinds = F.filter(
+        F.transform(pieces, lambda p, i: F.struct(p.alias("piece"), _piece_kind(p, i).alias("kind"))),
+        lambda k: k["kind"] != "blank",
+    )
 
-    def block(piece: Column, ord_: Column) -> Column:
-        kind = _piece_kind(piece, ord_)
+    def block(entry: Column) -> Column:
+        piece, kind = entry["piece"], entry["kind"]
         line = F.regexp_replace(piece, r"\s+\z", "")
         tag = F.regexp_extract(piece, r"^ {0,3}(?:`{3,}|~{3,})[ \t]*([^\s`]*)", 1)
         indent = F.length(F.regexp_extract(F.replace(piece, F.lit("\t"), F.lit("    ")), "^( *)", 1))
@@ -75,8 +81,7 @@ def md_blocks(text: Column) -> Column:
         )
 
     return F.filter(
-        F.transform(pieces, block),
-        lambda b: (b["kind"] != "blank") & ~((b["kind"] == "code") & (b["text"] == "")),
+        F.transform(kinds, block), lambda b: ~((b["kind"] == "code") & (b["text"] == ""))
     )
 
 

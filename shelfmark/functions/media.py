@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Fixed patterns: any well-formed stamp, and one whose clock was set.
+_USABLE = (
+    r"(?s)^(?!0+[:/-])(\d+)[:/-](?!00[:/-])(\d+)[:/-](?!00 )(\d+) (\d+)[:.](\d+)[:.](\d+)(?:[:.].*)?\z"
+)
 _STAMP = r"^(\d+)[:/-](\d+)[:/-](\d+) (\d+)[:.](\d+)[:.](\d+)(?:[:.].*)?$"
 
 
@@ -13,13 +17,7 @@ def _parts(stamp: Column) -> list[Column]:
 
 def exif_time(stamp: Column) -> Column:
     """``YYYY:MM:DD HH:MM:SS`` as a file-name-safe text; NULL for a malformed or never-set clock."""
-    year, month, day, hour, minute, second = _parts(stamp)
-    usable = (year != "") & year.rlike("[1-9]") & (month != "00") & (day != "00")
-    text = F.concat(
-        year, F.lit("-"), month, F.lit("-"), day, F.lit(" "),
-        hour, F.lit("."), minute, F.lit("."), second,
-    )
-    return F.when(usable, text)
+    return F.when(stamp.rlike(_USABLE), F.regexp_replace(stamp, _USABLE, "$1-$2-$3 $4.$5.$6"))
 
 
 def local_to_utc(stamp: Column, zone: str) -> Column:

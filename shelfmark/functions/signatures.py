@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .. import constants as C
+from .arrays import let
 
 
 # Longest reach of any signature.
@@ -104,6 +105,10 @@ def xmp_facts(content: Column) -> Column:
     raw = F.decode(content, "ISO-8859-1")
     latin = F.regexp_extract(raw, r"(?s)(<x:xmpmeta.*?</x:xmpmeta>)", 1)
     packet = F.make_valid_utf8(F.encode(latin, "ISO-8859-1").cast("string"))
+    return let(packet, _packet_facts)
+
+
+def _packet_facts(packet: Column) -> Column:
 
     def clean(text: Column) -> Column:
         out = F.trim(text)

@@ -278,10 +278,10 @@ def _entity(token: Column) -> Column:
     code = F.coalesce(digits, hexa.try_cast("bigint"))
     valid = code.between(0, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
-    out = F.when(valid, char)
+    out = F.when(~token.startswith("&") | (F.length(token) < 4), token)
     for name, value in C.ENTITIES.items():
         out = out.when(token == f"&{name};", value)
-    return out.otherwise(token)
+    return out.when(valid, char).otherwise(token)
 
 
 def decode_entities(text: Column) -> Column:

@@ -29,7 +29,7 @@ def page_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def html_elements(pages: DataFrame, key: str, html: str) -> DataFrame:
     """Headings, links, images and table cells as (key, kind, ord, level, target, text, width)."""
-    page = F.col(html)
+    page = F.col("_visible")
     nil = F.lit(None).cast("string")
 
     def rows(kind: str, items: Column, level: Column, target, text, width) -> Column:
@@ -48,7 +48,8 @@ def html_elements(pages: DataFrame, key: str, html: str) -> DataFrame:
         rows("image", H.images(page), none, lambda e: e["src"], lambda e: e["alt"], lambda e: e["width"]),
         rows("cell", H.table_cells(page), lambda e: e["row"], none, lambda e: e["text"], none),
     )
-    return pages.select(key, F.explode(elements).alias("_e")).select(key, "_e.*")
+    visible = pages.select(key, H.drop_invisible(F.col(html)).alias("_visible"))
+    return visible.select(key, F.explode(elements).alias("_e")).select(key, "_e.*")
 
 
 def md_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -64,7 +65,7 @@ def outline(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(
         key, H.has_headings(page).alias("has_headings"),
         H.has_remote_images(page).alias("has_remote_images"),
-        F.posexplode_outer(H.headings(page)).alias("ord", "_h"),
+        F.posexplode_outer(H.headings(H.drop_invisible(page))).alias("ord", "_h"),
     ).select(key, "has_headings", "has_remote_images", "ord", "_h.level", "_h.text")
 
 
@@ -192,19 +193,30 @@ def contacts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Punctuation that closes a sentence or a bracket is not part of the address.
     """
-    tokens = F.transform(
-        F.split(text, r"\s+"), lambda t: F.regexp_replace(t, r"""^[("'<\[]+|[)"'>\],;:.!?]+$""", "")
+    words = F.transform(
+        F.split(text, r"\s+"), lambda t, i: F.struct(i.cast("int").alias("pos"), t.alias("word"))
     )
-    return docs.select(key, F.posexplode(tokens).alias("pos", "value")).filter(
-        F.contains("value", F.lit("@")) & valid_email(F.col("value"))
+    marked = F.filter(words, lambda w: F.contains(w["word"], F.lit("@")))
+    value = F.regexp_replace("_w.word", r"""^[("'<\[]+|[)"'>\],;:.!?]+$""", "")
+    return (
+        docs.select(key, F.explode(marked).alias("_w"))
+        .select(key, "_w.pos", value.alias("value"))
+        .filter(valid_email(F.col("value")))
     )
 
 
+# Where a credential token can begin; the exact shape is judged afterwards.
+_SECRET_START = (
+    r"(?<![A-Za-z0-9_.\-])((?:sk[_-]|[pr]k_|gh[pousr]_|github_pat_|xox[baprs]-|AKIA|AIza|ey)"
+    r"[A-Za-z0-9_.\-]{6,})"
+)
+
+
 def secrets(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Credential-shaped tokens per document; the key-block rule looks at the whole text."""
     tokens = F.filter(
         F.transform(
-            F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_.\-]{10,})"), F.lit(1)),
+            F.regexp_extract_all(text, F.lit(_SECRET_START), F.lit(1)),
             lambda t: F.struct(t.alias("token"), secret_kind(t).alias("kind")),
         ),
         lambda s: s["kind"].isNotNull(),

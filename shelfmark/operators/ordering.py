@@ -13,16 +13,32 @@ from ..scratch import pin
 HOT_ROWS = 2_000_000
 
 
+_DIGITS = 18
+
+
 def natural_key(name: Column) -> Column:
-    """Sort key that puts ``page2`` before ``page10``: digit runs compare by length, then digits."""
-    tokens = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), F.lit(1))
+    """Sort key that puts ``page2`` before ``page10``, as one text that compares byte by byte.
+
+    Digit runs are padded to a fixed width; a longer run is written as its length and digits
+    behind a ``:``, which sorts after every shorter number.  A zero byte ends each run, so a
+    shorter run of letters comes first, whatever follows it.
+    """
+    low = F.lower(name)
+    padded = F.regexp_replace(low, r"(\d+)", "\u0000" + "0" * _DIGITS + "$1\u0000")
+    padded = F.regexp_replace(padded, rf"\d*(\d{{{_DIGITS}}})", "$1")
+    tokens = F.regexp_extract_all(low, F.lit(r"(\d+|\D+)"), F.lit(1))
 
-    def key(token: Column) -> Column:
+    def long_token(token: Column) -> Column:
         digits = F.regexp_replace(token, "^0+", "")
-        number = F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
-        return F.when(token.rlike(r"^\d"), number).otherwise(token)
+        counted = F.concat(F.lit(":"), F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
+        number = F.when(F.length(digits) > _DIGITS, counted).otherwise(F.lpad(digits, _DIGITS, "0"))
+        return F.when(
+            token.rlike(r"^\d"), F.concat(F.lit("\u0000"), number, F.lit("\u0000"))
+        ).otherwise(token)
 
-    return F.transform(tokens, key)
+    any_length = F.array_join(F.transform(tokens, long_token), "")
+    key = F.when(low.rlike(rf"\d{{{_DIGITS + 1}}}"), any_length).otherwise(padded)
+    return F.regexp_replace(key, "^\u0000", "")
 
 
 def cover_key(name: Column) -> Column:
@@ -54,16 +70,20 @@ def ordered_prefix(
     total: str | None = None,
     sums: Mapping[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
+    sliced: bool | None = None,
 ) -> DataFrame:
     """Add a 1-based position, the group size and inclusive running sums per group.
 
     ``order`` must be a total order within each group.  When every group is small (checked,
     not assumed) this is a plain window.  Otherwise rows are range-partitioned over the keys
     *and* the order, so a hot group is cut into many slices; each slice is numbered on its own
-    and shifted by what the slices before it hold.
+    and shifted by what the slices before it hold.  A caller that has checked already passes
+    ``sliced``.
     """
     sums = dict(sums or {})
-    if largest_group(df, keys) <= hot_rows:
+    if sliced is None:
+        sliced = largest_group(df, keys) > hot_rows
+    if not sliced:
         grouped = Window.partitionBy(*keys)
         running = grouped.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         out = df.withColumns(

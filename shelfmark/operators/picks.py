@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import constants as C
 from ..functions.paths import extension, file_name, folder, stem
 from ..scratch import pin
-from .ordering import HOT_ROWS, cover_key, natural_key, ordered_prefix
+from .ordering import HOT_ROWS, cover_key, largest_group, natural_key, ordered_prefix
 
 
 def cover_candidates(entries: DataFrame) -> DataFrame:
@@ -183,20 +183,25 @@ def _claim(
     })
     todo = asked.filter(~F.col("in_place"))
     taken = _taken_slots(asked, existing, first_suffix)
+    claims = todo.select("_slot").unionByName(taken.select("_slot"))
+    sliced = largest_group(claims, ["_slot"]) > hot_rows
     # Ranks among the requests of one slot, then the taken numbers that push them up.
-    ranked = ordered_prefix(todo, ["_slot"], [F.col("ord")], number="_rank", hot_rows=hot_rows)
-    holes = ordered_prefix(
-        taken, ["_slot"], [F.col("_taken")], number="_nth", hot_rows=hot_rows
-    ).select("_slot", (F.col("_taken") - F.col("_nth") + 1).alias("_at"), F.lit(1).alias("_hole"))
-    events = ranked.select(
-        "_slot", F.col("_rank").alias("_at"), F.lit(0).alias("_hole"), "ord"
-    ).unionByName(holes.withColumn("ord", F.lit(None).cast(todo.schema["ord"].dataType)))
+    ranked = ordered_prefix(todo, ["_slot"], [F.col("ord")], number="_at", sliced=sliced).withColumn(
+        "_hole", F.lit(0)
+    )
+    holes = ordered_prefix(taken, ["_slot"], [F.col("_taken")], number="_nth", sliced=sliced).select(
+        "_slot", (F.col("_taken") - F.col("_nth") + 1).alias("_at"), F.lit(1).alias("_hole")
+    )
     # A hole at or before a rank shifts it by one.
-    shifted = ordered_prefix(
-        events, ["_slot"], [F.col("_at"), F.col("_hole").desc(), F.col("ord")],
-        number="_seq", sums={"_shift": F.col("_hole")}, hot_rows=hot_rows,
-    ).filter("_hole = 0").select("ord", (F.col("_at") + F.col("_shift")).alias("_number"))
-    numbered = ranked.join(shifted, "ord")
+    numbered = (
+        ordered_prefix(
+            ranked.unionByName(holes, allowMissingColumns=True), ["_slot"],
+            [F.col("_at"), F.col("_hole").desc(), F.col("ord")],
+            number="_seq", sums={"_shift": F.col("_hole")}, sliced=sliced,
+        )
+        .filter("_hole = 0")
+        .withColumn("_number", F.col("_at") + F.col("_shift"))
+    )
     suffix = F.when(F.col("_number") > 1, F.col("_number") - 2 + first_suffix)
     target = F.when(suffix.isNull(), _join_name(F.col("base"), None, F.col("ext"))).otherwise(
         _join_name(F.col("base"), suffix, F.col("ext"))

@@ -133,7 +133,7 @@ def w5_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w6_neighbours", f"""
 WITH {FILES_CTE}, d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, path || '#' || ord AS path FROM files),
-o AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY {SQL_NATURAL.format("regexp_extract(path, '([^/]*)$', 1)")}, path) AS position, count(*) OVER (PARTITION BY folder) AS n FROM d),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY {SQL_NATURAL.format("regexp_extract(path, '([^/]*)$', 1)")}, path) AS position, count(*) OVER (PARTITION BY folder) AS n FROM d),
 m AS (SELECT folder, position, path FROM o)
 SELECT o.folder, o.position, n, o.path, a.path AS next_path, b.path AS ahead_2, c.path AS ahead_3, p.path AS previous_path FROM o
 JOIN m a ON a.folder = o.folder AND a.position = o.position % n + 1 JOIN m b ON b.folder = o.folder AND b.position = (o.position + 1) % n + 1

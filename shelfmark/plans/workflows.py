@@ -49,7 +49,7 @@ def pages_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(
         H.page_language(F.col("html")).alias("lang"),
         F.regexp_count(H.html_text(F.col("html")), F.lit(r"\S+")).alias("words"),
-        F.size(H.links(F.col("html"))).alias("links"),
+        H.link_count(H.drop_invisible(F.col("html"))).alias("links"),
     )
     return (
         pages.groupBy("lang")
