@@ -152,22 +152,26 @@ def rename_plan(
     """
     plan = _claim(requests, existing, first_suffix, hot_rows)
     if requests.filter(F.col("base").rlike(r" \(\d+\)$")).isEmpty():
-        return plan
-    # A base that itself looks numbered can meet another base's suffix: the earlier claim stays,
-    # the later one claims again with every settled name taken.
+        return plan.drop("_slot")
+    # A base that itself looks numbered can meet another base's suffix.  The earlier claim stays;
+    # the later one, and whoever stands behind it for the same name, claims again with every
+    # settled name taken.
     settled = None
     while True:
         plan = pin(plan, "claims")
         winner = plan.groupBy(F.lower("destination").alias("_to")).agg(F.min("ord").alias("_first"))
-        marked = plan.join(winner, F.lower("destination") == F.col("_to")).drop("_to")
-        kept = marked.filter("ord = _first").drop("_first")
+        beaten = plan.join(winner, F.lower("destination") == F.col("_to")).filter("ord <> _first")
+        if beaten.isEmpty():
+            done = plan if settled is None else settled.unionByName(plan)
+            return done.drop("_slot")
+        redo = beaten.groupBy("_slot").agg(F.min("ord").alias("_from"))
+        marked = plan.join(redo, "_slot", "left")
+        kept = marked.filter("_from IS NULL OR ord < _from").drop("_from")
         settled = kept if settled is None else settled.unionByName(kept)
-        losers = requests.join(marked.filter("ord <> _first").select("ord"), "ord", "left_semi")
-        if losers.isEmpty():
-            return settled
+        again = marked.filter("ord >= _from").select("ord")
         names = settled.select(F.col("destination").alias("path"))
         taken = names if existing is None else existing.select("path").unionByName(names)
-        plan = _claim(losers, taken, first_suffix, hot_rows)
+        plan = _claim(requests.join(again, "ord", "left_semi"), taken, first_suffix, hot_rows)
 
 
 def _claim(
@@ -208,10 +212,10 @@ def _claim(
     )
     done = numbered.select(
         "ord", "path", F.concat(F.col("folder"), F.lit("/"), target).alias("destination"),
-        F.lit("rename").alias("action"),
+        F.lit("rename").alias("action"), "_slot",
     )
     stay = asked.filter("in_place").select(
-        "ord", "path", F.col("path").alias("destination"), F.lit("in_place").alias("action")
+        "ord", "path", F.col("path").alias("destination"), F.lit("in_place").alias("action"), "_slot"
     )
     return done.unionByName(stay)
 
