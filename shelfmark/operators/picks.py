@@ -19,21 +19,19 @@ def cover_candidates(entries: DataFrame) -> DataFrame:
     left" keeps exactly the best class an archive has: clean before credit, native before exotic.
     """
     name = F.col("name")
-    base = F.lower(F.regexp_extract(name, r"([^/\\]*)$", 1))
-    ext = F.lower(F.regexp_extract(name, r"([^.]*)$", 1))
-    credit = F.lit(False)
-    for word in C.CREDIT_WORDS:
-        credit = credit | F.contains(base, F.lit(word))
-    base_ext = F.regexp_extract(base, r"([^.]*)$", 1)
+    last = r"[^/\\]*$"
+    image = rf"(?i)(?:^|\.)(?:{'|'.join(C.COVER_IMAGE_EXTS)})$"
+    exotic = rf"(?i)(?:^|[./\\])(?:{'|'.join(C.LAST_RESORT_COVER_EXTS)})$"
+    credit = rf"(?i)(?:{'|'.join(C.CREDIT_WORDS)}){last}"
+    # A thumbs.db is no image name, so the image test already drops it.
     return entries.filter(
         ~F.col("is_dir")
         & F.col("size").between(1, C.MAX_COVER_BYTES)
+        & name.rlike(image)
         & ~F.contains(name, F.lit("__MACOSX"))
-        & (base != "thumbs.db")
-        & ext.isin(*C.COVER_IMAGE_EXTS)
     ).withColumns({
-        "_class": credit.cast("int") * 2 + base_ext.isin(*C.LAST_RESORT_COVER_EXTS).cast("int"),
-        "_cover": F.contains(base, F.lit("cover")),
+        "_class": name.rlike(credit).cast("int") * 2 + name.rlike(exotic).cast("int"),
+        "_cover": name.rlike(rf"(?i)cover{last}"),
     })
 
 

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.paths import DEFAULT_KNOWN
 from ..operators import gates, limits, summaries, vectors
 from .derived import FILES_CTE, RUNS_CTE, case_of, event_runs, part_files
+from .pipelines import backlog_report, performance_gate, view_documents
 from .registry import query, table
 
 
+def _known_sql() -> str:
+    return ", ".join(f"'{e}'" for e in sorted(DEFAULT_KNOWN))
+
+
 # --- joins --------------------------------------------------------------------------------
 
 @query("j1_regression_diff", """
@@ -460,3 +466,59 @@ def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
     allowed = vecs.filter("vec_id % 17 = 0").select(F.col("vec_id").alias("name"))
     found = vectors.render_verdict(samples, peers, allowed)
     return found.select("name", "verdict", F.round("sd", 6).alias("sd"), "peer_sd")
+
+
+# --- whole jobs ---------------------------------------------------------------------------
+
+@query("e2_backlog_report", BACKLOG_SQL + f""",
+k AS (SELECT * FROM b WHERE lower(regexp_extract(path, '[^/]\\.([^./]*)$', 1)) IN ({_known_sql()})),
+o AS (SELECT path, CASE WHEN stored THEN 'already' WHEN (ord + size) % 5 = 0 THEN 'failed' ELSE 'built' END AS outcome FROM k),
+v AS (SELECT CASE WHEN NOT bool_or(outcome IN ('built', 'already')) THEN 'failed' WHEN bool_or(outcome = 'failed') THEN 'partial'
+  WHEN bool_or(outcome = 'built') THEN 'built' ELSE 'already' END AS verdict FROM o GROUP BY path)
+SELECT count(*) AS found, count(*) FILTER (WHERE verdict = 'built') AS built, count(*) FILTER (WHERE verdict = 'already') AS already,
+  count(*) FILTER (WHERE verdict = 'partial') AS partial, count(*) FILTER (WHERE verdict = 'failed') AS failed, CAST(0 AS BIGINT) AS skipped FROM v""")
+def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = part_files(spark, sf_dir)
+    outcome = F.when((F.col("ord") + F.col("size")) % 5 == 0, "failed").otherwise("built")
+    return backlog_report(files, (90, 200, 700, 9000), _stored(spark, sf_dir, files), outcome)
+
+
+VIEW_NAME = "'/v/' || doc_id || " + case_of("doc_id", [".txt", ".html", "", ".png", ".md"])
+
+
+@query("e3_view_documents", """
+WITH t AS (SELECT doc_id, '/v/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.html' WHEN 2 THEN '' WHEN 3 THEN '.png' ELSE '.md' END AS path,
+  CASE doc_id % 5 WHEN 4 THEN 'Markdown' WHEN 3 THEN 'Image' ELSE 'Text' END AS kind,
+  CASE doc_id % 5 WHEN 1 THEN 'a ' || lang || ' & the' || chr(10) || 'The end' WHEN 3 THEN NULL ELSE text END AS text FROM documents)
+SELECT path, kind, md5(text) AS digest, CAST((strlen(text) - strlen(replace(translate(text, 'THE', 'the'), 'the', ''))) // 3 AS INT) AS n_hits FROM t""")
+def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = F.concat(F.lit("<p>a <b>"), "lang", F.lit("</b> &amp; the</p>\n<p>The end</p>"))
+    body = F.when(F.col("doc_id") % 5 == 1, page).otherwise(F.col("text"))
+    files = table(spark, sf_dir, "documents").select(F.expr(VIEW_NAME).alias("path"), F.encode(body, "UTF-8").alias("content"))
+    return view_documents(files, "the").select(
+        "path", "kind", F.md5("text").alias("digest"), F.size("hits").alias("n_hits")
+    )
+
+
+GATE_SQL = f"""
+WITH {RUNS_CTE}, m AS (SELECT name, ext, max(ms) AS ms, max(peer_ms) AS peer_ms FROM runs WHERE ord % 2 = 0 AND ms IS NOT NULL GROUP BY ALL),
+w AS (SELECT name, greatest(min(ms), 0.001) AS was FROM runs WHERE ord % 2 = 1 AND ms IS NOT NULL GROUP BY 1),
+g AS (SELECT name, avg(ms) AS ms, max(peer_ms) AS peer_ms FROM runs WHERE ord % 3 = 0 AND ms IS NOT NULL GROUP BY 1),
+p AS (SELECT name, ms, peer_ms, round_even(ms / peer_ms * 100, 0) / 100 AS ratio, ext, row_number() OVER (PARTITION BY ext ORDER BY round_even(ms / peer_ms * 100, 0) / 100 DESC, name) AS rn
+  FROM m WHERE peer_ms > 0 AND ms >= 25 AND ms - peer_ms >= 40),
+s AS (SELECT 'peer' AS gate, name, ms, peer_ms AS ref, CASE ext WHEN 'avif' THEN 6.0::DOUBLE ELSE 3.0::DOUBLE END AS max_ratio FROM p WHERE rn = 1 AND ratio > CASE ext WHEN 'avif' THEN 6.0 ELSE 3.0 END
+  UNION ALL SELECT 'self', m.name, ms, was, 2.5::DOUBLE FROM m JOIN w ON m.name = w.name WHERE ms >= 25 AND ms - was >= 40 AND round_even(ms / was * 100, 0) / 100 > 2.5),
+c AS (SELECT gate, s.name, max_ratio, coalesce(g.ms, s.ms) AS now, CASE gate WHEN 'peer' THEN coalesce(g.peer_ms, ref) ELSE ref END AS ref FROM s LEFT JOIN g ON s.name = g.name)
+SELECT gate, name, round_even(now / ref * 100, 0) / 100 AS ratio, max_ratio,
+  CASE WHEN round_even(now / ref * 100, 0) / 100 > max_ratio AND now - ref >= 40 THEN 'confirmed' ELSE 'cleared' END AS verdict FROM c"""
+
+
+@query("e4_performance_gate", GATE_SQL)
+def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = event_runs(spark, sf_dir).filter("ms IS NOT NULL")
+    now = runs.filter("ord % 2 = 0").groupBy("name", "ext").agg(F.max("ms").alias("ms"), F.max("peer_ms").alias("peer_ms"))
+    recorded = summaries.best_of_n(runs.filter("ord % 2 = 1"))
+    again = runs.filter("ord % 3 = 0").groupBy("name").agg(F.avg("ms").alias("ms"), F.max("peer_ms").alias("peer_ms"))
+    allowed = spark.createDataFrame([("avif", 6.0)], "ext string, max_ratio double")
+    steady = runs.filter("tier = 'small'").agg(F.lit(0.05).alias("drift"))
+    return performance_gate(now, recorded, allowed, again, steady)

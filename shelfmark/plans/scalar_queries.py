@@ -385,10 +385,10 @@ def f5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f6_local_to_utc", """
 SELECT event_id, strftime(date_trunc('second', ts) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS taken_utc FROM events""")
 def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stamp = F.date_format("ts", "yyyy:MM:dd HH:mm:ss")
-    utc = media.local_to_utc(stamp, "Asia/Tokyo")
+    written = F.substring(F.col("ts").cast("string"), 1, 19)
+    utc = media.local_to_utc(F.replace(written, F.lit("-"), F.lit(":")), "Asia/Tokyo")
     return table(spark, sf_dir, "events").select(
-        "event_id", F.date_format(utc, "yyyy-MM-dd HH:mm:ss").alias("taken_utc")
+        "event_id", F.substring(utc.cast("string"), 1, 19).alias("taken_utc")
     )
 
 

@@ -27,15 +27,15 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def start_catalog(spark: SparkSession, source: str, catalog: str, checkpoint: str, *, glob: str | None = None):
-    """Stream a folder into a catalogue table until all present files are handled.
+    """Stream the new files of a folder into a catalogue table until all present are handled.
 
-    The file source alone ignores a rewritten file, so every batch is compared with the stored
-    identities; each batch writes its own folder, so a retried batch replaces itself.
+    Every batch is compared with the stored identities and writes its own folder, so a retried
+    batch replaces itself.  The file source never offers a known path again: a rewritten file is
+    found by :func:`catalog_rescan`.
     """
     reader = (
         spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
         .option("recursiveFileLookup", "true")
-        # A rewritten file must be offered again: key the seen-set by path and new mtime.
         .option("maxFilesPerTrigger", 100_000)
     )
     if glob:

@@ -5,13 +5,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import TimestampNTZType
 
 from ..constants import THROTTLE_SECONDS
 from ..scratch import pin
 
 
+def _micros(events: DataFrame, at: str) -> Column:
+    """Microseconds since 1970; a time stamp without a zone is read as it stands."""
+    if isinstance(events.schema[at].dataType, TimestampNTZType):
+        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+        return F.timestamp_diff("MICROSECOND", epoch, F.col(at))
+    return F.unix_micros(at)
+
+
 class _Throttle(StatefulProcessor):
     """Keeps the time of the last accepted event per key."""
 
@@ -44,9 +53,7 @@ class _Throttle(StatefulProcessor):
 def throttle_stream(events: DataFrame, key: str, at: str, seconds: int = THROTTLE_SECONDS) -> DataFrame:
     """Stateful stream of accepted (key, at_us); needs the RocksDB state store."""
     key_type = events.schema[key].dataType.simpleString()
-    micros = events.select(
-        F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_us")
-    )
+    micros = events.select(F.col(key).alias("key"), _micros(events, at).alias("at_us"))
     return micros.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_Throttle(seconds * 1_000_000),
         outputStructType=f"key {key_type}, at_us bigint",
@@ -67,9 +74,7 @@ def throttle_batch(
     """
     step = seconds * 1_000_000
     times = (
-        events.select(
-            F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at_us")
-        )
+        events.select(F.col(key).alias("key"), _micros(events, at).alias("at_us"))
         .filter("at_us IS NOT NULL AND key IS NOT NULL")
         .distinct()
         .withColumn("_b", F.floor(F.col("at_us") / step))

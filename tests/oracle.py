@@ -74,11 +74,13 @@ def main() -> int:
     parser = argparse.ArgumentParser()
     parser.add_argument("names", nargs="*")
     parser.add_argument("--sf", default="0.001")
+    parser.add_argument("--zone", default="UTC")
     args = parser.parse_args()
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", args.zone)
+        .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     sf_dir = str(DATA / f"sf{args.sf}")
