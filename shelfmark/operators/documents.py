@@ -231,39 +231,30 @@ def secrets(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 # --- JSON documents -----------------------------------------------------------------------
 
-def _explode_variant(df: DataFrame, column: str) -> DataFrame:
-    spark = df.sparkSession
-    return df.lateralJoin(spark.tvf.variant_explode(F.col(column).outer()))
-
-
 def secrets_in_json(docs: DataFrame, key: str, doc: str, depth: int = 4) -> DataFrame:
     """First credential of each document: the top-level key that holds it and its kind.
 
     Strings are looked at down to ``depth`` nested levels below a top-level value.  Each level
-    is one lateral explode inside the row's own task; only flagged values are shuffled.
+    replaces a container by its children and passes anything else on, all inside the row's own
+    task; only flagged values are shuffled.
     """
-    parsed = docs.select(key, F.try_parse_json(doc).alias("_v"))
+    tvf = docs.sparkSession.tvf
+    parsed = docs.select(F.col(key).alias("_id"), F.try_parse_json(doc).alias("_v"))
     level = (
-        _explode_variant(parsed, "_v")
+        parsed.lateralJoin(tvf.variant_explode(F.col("_v").outer()))
         .filter(F.col("key").isNotNull())
-        .select(
-            F.col(key).alias("_id"), F.col("key").alias("_top"), F.array(F.lit("")).alias("_path"),
-            F.col("value").alias("_v"),
-        )
+        .select("_id", F.col("key").alias("_top"), F.array("key").alias("_path"), F.col("value").alias("_v"))
     )
-    found = None
-    for remaining in range(depth, -1, -1):
-        text = F.when(F.schema_of_variant("_v") == "STRING", F.try_variant_get("_v", "$", "string"))
-        flagged = level.select("_id", "_top", "_path", secret_kind(text).alias("kind")).filter(
-            "kind IS NOT NULL"
+    for _ in range(depth):
+        step = F.coalesce(F.col("key"), F.lpad(F.col("pos").cast("string"), 10, "0"))
+        opened = F.col("value").isNotNull()
+        level = level.lateralJoin(tvf.variant_explode_outer(F.col("_v").outer())).select(
+            "_id", "_top",
+            F.when(opened, F.concat("_path", F.array(step))).otherwise(F.col("_path")).alias("_path"),
+            F.coalesce("value", "_v").alias("_v"),
         )
-        found = flagged if found is None else found.unionByName(flagged)
-        if remaining:
-            step = F.coalesce(F.col("key"), F.lpad(F.col("pos").cast("string"), 10, "0"))
-            nested = level.filter(F.schema_of_variant("_v").rlike("^(?:OBJECT|ARRAY)"))
-            level = _explode_variant(nested, "_v").select(
-                "_id", "_top", F.concat("_path", F.array(step)).alias("_path"), F.col("value").alias("_v")
-            )
+    text = F.when(F.schema_of_variant("_v") == "STRING", F.try_variant_get("_v", "$", "string"))
+    found = level.select("_id", "_top", "_path", secret_kind(text).alias("kind")).filter("kind IS NOT NULL")
     first = F.min_by(F.struct("_top", "kind"), F.struct("_top", "_path")).alias("_f")
     return found.groupBy("_id").agg(first).select(
         F.col("_id").alias(key), F.col("_f._top").alias("top_key"), "_f.kind"
@@ -275,8 +266,9 @@ def oversize_docs(docs: DataFrame, key: str, doc: str, limit: int = C.MAX_DOCUME
     sized = docs.select(key, F.try_parse_json(doc).alias("_v")).withColumn(
         "bytes", F.octet_length(F.to_json("_v")).cast("bigint")
     )
-    parts = _explode_variant(sized.filter(F.col("bytes") > limit), "_v").select(
-        F.col("_v").alias("_doc"), key, "bytes", F.col("key").alias("_k"),
+    over = sized.filter(F.col("bytes") > limit)
+    parts = over.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(
+        key, "bytes", F.col("key").alias("_k"),
         F.octet_length(F.to_json("value")).cast("bigint").alias("_b"),
     )
     biggest = F.max_by(F.struct("_k", "_b"), F.struct("_b", "_k")).alias("_big")

@@ -134,10 +134,9 @@ def w5_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w6_neighbours", f"""
 WITH {FILES_CTE}, d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, path || '#' || ord AS path FROM files),
 o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY {SQL_NATURAL.format("regexp_extract(path, '([^/]*)$', 1)")}, path) AS position, count(*) OVER (PARTITION BY folder) AS n FROM d),
-m AS (SELECT folder, position, path FROM o)
-SELECT o.folder, o.position, n, o.path, a.path AS next_path, b.path AS ahead_2, c.path AS ahead_3, p.path AS previous_path FROM o
-JOIN m a ON a.folder = o.folder AND a.position = o.position % n + 1 JOIN m b ON b.folder = o.folder AND b.position = (o.position + 1) % n + 1
-JOIN m c ON c.folder = o.folder AND c.position = (o.position + 2) % n + 1 JOIN m p ON p.folder = o.folder AND p.position = (o.position - 2 + n) % n + 1""")
+l AS (SELECT folder, list(path ORDER BY position) AS l FROM o GROUP BY folder)
+SELECT o.folder, position, n, path, l[position % n + 1] AS next_path, l[(position + 1) % n + 1] AS ahead_2, l[(position + 2) % n + 1] AS ahead_3,
+  l[(position - 2 + n) % n + 1] AS previous_path FROM o JOIN l ON o.folder = l.folder""")
 def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_files(spark, sf_dir).select(
         F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import let
+
 # Fixed patterns: a heading, a bullet and the markers an unfilled template leaves behind.
 HEADING = r"(?m)^##[ ]+(\S[^\r\n]*?)[ ]*\r?$"
 BULLET = r"(?m)^-[ ]+\S"
@@ -33,14 +35,20 @@ def split_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
             F.regexp_replace(F.regexp_replace(p, r"^[^\n]*", ""), r"^\s+|\s+\z", "").alias("body"),
         ),
     )
+
+    def judged(all_: Column) -> Column:
+        return F.transform(
+            all_,
+            lambda s: F.struct(
+                s["heading"].alias("heading"), s["body"].alias("body"),
+                (F.size(F.filter(all_, lambda o: o["heading"] == s["heading"])) == 1).alias("unique"),
+            ),
+        )
+
+    rows = docs.select(key, F.posexplode(let(sections, judged)).alias("section", "_s"))
     body = F.col("_s.body")
-    same = F.size(F.filter("_all", lambda s: s["heading"] == F.col("_s.heading")))
-    rows = docs.select(key, sections.alias("_all")).select(
-        key, "_all", F.posexplode("_all").alias("section", "_s")
-    )
     return rows.select(
-        key, "section", "_s.heading", "_s.body",
-        (same == 1).alias("unique"),
+        key, "section", "_s.heading", "_s.body", "_s.unique",
         (F.length(body) >= MIN_SECTION_CHARS).alias("long_enough"),
         body.rlike(BULLET).alias("has_bullet"),
         has_marker(body).alias("unfilled"),

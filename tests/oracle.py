@@ -50,6 +50,10 @@ def _rows(columns, rows):
 def compare(spark, con, query, sql, sf_dir):
     """(matches, message) for one query."""
     df = query(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for pairing in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        if pairing in plan:
+            return False, f"the plan holds a {pairing}"
     got_cols, got = _rows(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return True, f"{len(got)} rows (no oracle)"
