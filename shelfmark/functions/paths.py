@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as C
 
@@ -52,6 +52,12 @@ def category_label(name: Column) -> Column:
     return out
 
 
+def format_table(spark: SparkSession, known: Iterable[str] = DEFAULT_KNOWN) -> DataFrame:
+    """The registry as a table: extension and the label of its category."""
+    exts = spark.createDataFrame([(e,) for e in sorted(known)], "ext string")
+    return exts.select("ext", category_label(category(F.col("ext"))).alias("category"))
+
+
 def is_known(ext: Column, known: Iterable[str] = DEFAULT_KNOWN) -> Column:
     """Membership in the registry (a parameter: pass the extensions you register)."""
     return F.lower(ext).isin(*sorted(known))

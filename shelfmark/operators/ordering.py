@@ -197,13 +197,12 @@ def rank_values(
 SPREAD_BYTES = 256 * 1024 * 1024
 
 
-def spread_small(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
+def spread_small(df: DataFrame, stored_bytes: int, limit: int = SPREAD_BYTES) -> DataFrame:
     """Deal a small stored table evenly over the cores before heavy work on each row.
 
-    A small table is often one row group, hence one busy task.  The size is the optimizer's own
-    estimate; anything larger is left exactly as stored, with no shuffle.
+    A small table is often one row group, hence one busy task.  Anything over ``limit`` is left
+    exactly as stored, with no shuffle.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > limit:
+    if stored_bytes > limit:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.ordering import spread_small
+from ..sources.files import stored_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,5 +33,8 @@ TEXT_TABLES = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    stored = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread_small(stored) if name in TEXT_TABLES else stored
+    path = f"{sf_dir}/{name}.parquet"
+    stored = spark.read.parquet(path)
+    if name in TEXT_TABLES:
+        return spread_small(stored, stored_bytes(spark, path))
+    return stored

@@ -91,3 +91,9 @@ def identity(df: DataFrame) -> DataFrame:
         "id_length": F.col("length"),
         "id_mtime": F.floor(F.col("modificationTime").cast("double")).cast("bigint"),
     })
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files at a path, from the listing alone."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return listed.agg(F.sum("length")).first()[0] or 0
