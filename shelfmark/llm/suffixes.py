@@ -457,8 +457,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     ``texts`` has the columns of ``numbered``.
     """
-    runs = texts.filter(F.octet_length("text") >= length).select("doc", "copy", "text")
-    runs = runs.mapInArrow(_find_runs(length, gram), _ddl(_RUNS))
+    # No filter here: it would sink below the exchange, which could then not be used again.
+    runs = texts.mapInArrow(_find_runs(length, gram), _ddl(_RUNS))
     known = F.col("shape") < 0
     shape = F.when(known, F.bitwise_not("shape")).otherwise(F.col("shape"))
     copy = F.shiftright(shape, 24)
