@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..scratch import scratch_path
-from . import chat, pieces, planes, shards, simhash, suffixes
-from .common import documents
+from . import chat, langid, pieces, planes, shards, simhash, suffixes
+from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+def _held_out_lang() -> Column:
+    return remainder(F.col("doc_id"), 4) == 2
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = langid.learn(docs.filter(~_held_out_lang()))
+    return langid.identify(docs, model).select("doc_id", _held_out_lang().alias("held_out"), "lang_pred", "score")
