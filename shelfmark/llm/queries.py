@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..scratch import scratch_path
-from . import chat, langid, pieces, planes, shards, simhash, suffixes
+from . import chat, langid, pieces, planes, quality, shards, simhash, suffixes
 from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.learn(docs.filter(~_held_out_lang()))
     return langid.identify(docs, model).select("doc_id", _held_out_lang().alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out)
+    weights = quality.fit(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    scored = quality.score(docs, weights)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
