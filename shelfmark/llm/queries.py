@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..scratch import scratch_path
-from . import chat, langid, pieces, planes, quality, shards, simhash, suffixes
+from . import chat, decontam, langid, pieces, planes, quality, shards, simhash, suffixes
 from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,40 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@_query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontam.contaminated(documents(spark, sf_dir), benchmark)
+    return found.select(
+        "doc_id", "item_id", F.col("equal_words").cast("long").alias("equal_words"),
+        F.col("of_words").cast("long").alias("of_words"),
+    )
+
+
+ORACLES["op6_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents
+), b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM benchmark
+), m(mask, picks) AS (VALUES (0, [1, 2, 4, 5, 8, 10]), (1, [1, 3, 6, 7, 9, 10])),
+ds AS (
+  SELECT doc_id, pos, mask, list_transform(picks, lambda k: t[pos + k]) AS seed
+  FROM (SELECT doc_id, t, unnest(range(0, len(t) - 9)) AS pos FROM d WHERE len(t) >= 10), m
+), bs AS (
+  SELECT item_id, pos, mask, list_transform(picks, lambda k: t[pos + k]) AS seed
+  FROM (SELECT item_id, t, unnest(range(0, len(t) - 9)) AS pos FROM b WHERE len(t) >= 10), m
+), hits AS (
+  SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs USING (mask, seed)
+), laid AS (
+  SELECT doc_id, item_id, least(len(b.t), 16) AS w, len(b.t) AS n,
+    list_transform(range(1, len(b.t) + 1),
+      lambda k: CASE WHEN k + shift >= 1 AND d.t[k + shift] = b.t[k] THEN 1 ELSE 0 END) AS eq
+  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
+), most AS (
+  SELECT doc_id, item_id, w, list_max(list_transform(range(1, n - w + 2), lambda s: list_sum(eq[s:s + w - 1]))) AS e FROM laid
+)
+SELECT doc_id, item_id, max(e)::BIGINT AS equal_words, max(w)::BIGINT AS of_words
+FROM most WHERE e >= ceil(w * 0.75) GROUP BY doc_id, item_id
+"""
