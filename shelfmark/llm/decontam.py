@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import let
+
 # Which words of a window count, in both cases ignoring what was substituted elsewhere.
 MASKS = ("1101100101", "1010011011")
 
@@ -52,12 +54,15 @@ def _hashed(text: Column) -> Column:
 
 def _most_equal(theirs: Column, item: Column, shift: Column, width: Column) -> Column:
     """Most equal words in any ``width`` neighbouring words of the item, laid on a text at ``shift``."""
-    equal = F.transform(item, lambda w, k: F.coalesce((F.get(theirs, k + shift) == w).cast("int"), F.lit(0)))
+    def equal(text: Column) -> Column:
+        return F.transform(item, lambda w, k: F.coalesce((F.get(text, k + shift) == w).cast("int"), F.lit(0)))
 
-    def held(from_: Column) -> Column:
-        return F.aggregate(F.slice(equal, from_, width), F.lit(0), lambda a, b: a + b)
+    def most(places: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(places) - width + 1)
+        held = lambda s: F.aggregate(F.slice(places, s, width), F.lit(0), lambda a, b: a + b)
+        return F.array_max(F.transform(starts, held))
 
-    return F.array_max(F.transform(F.sequence(F.lit(1), F.size(item) - width + 1), held))
+    return let(theirs, lambda text: let(equal(text), most))
 
 
 def contaminated(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..scratch import scratch_path
-from . import chat, decontam, langid, pieces, planes, quality, shards, simhash, suffixes
+from . import chat, decontam, langid, pieces, planes, quality, rules, shards, simhash, suffixes
 from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,8 @@ ds AS (
 SELECT doc_id, item_id, max(e)::BIGINT AS equal_words, max(w)::BIGINT AS of_words
 FROM most WHERE e >= ceil(w * 0.75) GROUP BY doc_id, item_id
 """
+
+
+@_query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(documents(spark, sf_dir)).drop("distance")
