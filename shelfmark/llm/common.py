@@ -24,6 +24,16 @@ def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def carried(docs: DataFrame, carry: bool, without: str | None = None) -> list[Column]:
+    """The whole input row (but for one column, perhaps) as one struct named ``row``, if wanted."""
+    return [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != without]).alias("row")] if carry else []
+
+
+def carried_type(rows: DataFrame) -> str:
+    """The part of a schema that names a carried ``row``."""
+    return "".join(f"row {f.dataType.simpleString()}, " for f in rows.schema if f.name == "row")
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """``crc32`` of the key's decimal text, modulo ``divisor``: how held-out rows are told apart."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % divisor

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import keyed_text
+from .common import carried, carried_type
 
 GRAM = 4
 SLOTS = 1 << 21
@@ -195,21 +195,31 @@ def learn(
     return LanguageFilter(languages, table, probes, gram)
 
 
-def identify(docs: DataFrame, model: LanguageFilter, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score`` of every whole text; ``und`` and 0 for null or letterless ones."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.slots, model.false_share()))
+def identify(
+    docs: DataFrame, model: LanguageFilter, *, key: str = "doc_id", text: str = "text", carry: bool = False
+) -> DataFrame:
+    """``doc_id, lang_pred, score`` of every whole text; ``und`` and 0 for null or letterless ones.
+
+    With ``carry`` the whole input row comes along as a struct ``row``.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model.slots, model.false_share()))
     languages, probes, gram = model.languages, model.probes, model.gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, false_share = shared.value
         own = LanguageFilter(languages, slots, probes, gram)
-        for rows, texts in _grouped(batches):
-            names, scores = own.predict(texts, false_share)
+        for batch in batches:
+            names, scores = [], []
+            for _, texts in _grouped([batch.select(["text"])]):
+                some_names, some_scores = own.predict(texts, false_share)
+                names += some_names
+                scores += some_scores
+            others = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array(names, pa.string()),
-                 pa.array(scores, pa.float64())],
-                ["doc_id", "lang_pred", "score"],
+                [*(batch.column(n) for n in others), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [*others, "lang_pred", "score"],
             )
 
-    return keyed_text(docs, key, text).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carried(docs, carry))
+    schema = f"doc_id long, {carried_type(rows)}lang_pred string, score double"
+    return rows.mapInArrow(run, schema)

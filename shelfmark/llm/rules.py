@@ -25,7 +25,7 @@ LEAST_ROWS = 50
 
 # Statistics of the vector, and the spread that each has at least, so that a group in which
 # nearly all rows have no symbols, say, does not reject a row for having one.
-FLOORS = {"length": 0.08, "symbols": 0.3, "lines": 0.3, "repeats": 0.3}
+FLOORS = {"length": 0.08, "symbols": 0.3, "lines": 0.45, "repeats": 0.3}
 
 # Fixed values for four statistics: the covariance of the central 75 % of a normal sample times
 # the first is that of the whole; squared distances above the second have a chance of 0.0001.

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..scratch import pin
 from .common import keyed_text, text_bytes
@@ -18,6 +18,9 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
 
+# Stands for a null document id where ids are compared.
+_NO_ID = -(1 << 63)
+
 # Shingles are hashed and counted this many at a time, so one long text needs no more memory.
 _STRIDE = 1 << 16
 
@@ -59,7 +62,7 @@ def fingerprint_of(text: bytes, words_each: int = SHINGLE_WORDS, seed: int = SEE
 
 
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """``doc_id, fingerprint`` (a signed bigint with the 64 bits) of every whole text.
+    """``doc_id, text_hash, fingerprint`` (a signed bigint with the 64 bits) of every whole text.
 
     A null, empty or blank text has fingerprint zero; a text of fewer words than a shingle is
     one shingle.
@@ -67,13 +70,15 @@ def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, seed: int = S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint_of(t, words_each, seed) for t in text_bytes(batch.column(1))]
+            prints = [fingerprint_of(t, words_each, seed) for t in text_bytes(batch.column("text"))]
             values = np.array(prints, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fingerprint"]
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(values, pa.int64())],
+                ["doc_id", "text_hash", "fingerprint"],
             )
 
-    return keyed_text(docs).mapInArrow(run, "doc_id long, fingerprint long")
+    rows = keyed_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fingerprint long")
 
 
 def _signed(value: int) -> int:
@@ -128,7 +133,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, max_bits: int = MAX_BITS, words_each: int = SHINGLE_WORDS, seed: int = SEED
 ) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every row.
+    """``doc_id, text_hash, fingerprint, component_id`` of every row.
 
     ``component_id`` is the smallest ``doc_id`` that can be reached over links of at most
     ``max_bits`` differing bits.  Equal fingerprints, those of null and empty texts included, are
@@ -144,9 +149,28 @@ def near_duplicates(
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(named, prints.fingerprint == named.fp).select(
-        "doc_id", "fingerprint", "component_id"
+        "doc_id", "text_hash", "fingerprint", "component_id"
     )
 
 
+def one_of_each(
+    docs: DataFrame, max_bits: int = MAX_BITS, words_each: int = SHINGLE_WORDS, seed: int = SEED
+) -> DataFrame:
+    """The rows of ``docs`` with one of each component: that of the smallest ``doc_id``.
+
+    Among rows of that ``doc_id`` the one with the smallest text hash stays, and one of equal
+    rows.  A null ``doc_id`` stays only where its component has no other.
+    """
+    found = near_duplicates(docs, max_bits, words_each, seed)
+    low = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    stays = found.groupBy("component_id").agg(F.min(low).alias("stays"))
+    stays = pin(stays.select(F.coalesce("stays.doc_id", F.lit(_NO_ID)).alias("_stays"), F.col("stays.text_hash").alias("_as")), "stays")
+    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_hash": F.xxhash64(F.col("text").cast("string"))})
+    # Both uses of the exchange by document: equal rows are numbered, then looked up.
+    rows = rows.repartition("_id").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id")))
+    match = (F.col("_id") == F.col("_stays")) & (F.col("_hash").bitwiseXOR(F.col("_as")) == 0)
+    return rows.filter("_nth = 1").join(stays, match, "left_semi").select(*docs.columns)
+
+
 def hex_print(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")

@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import keyed_text, text_bytes
+from .common import carried, carried_type, text_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -400,7 +400,16 @@ def _find_spans(length: int) -> Callable:
     return run
 
 
-def _remove(length: int) -> Callable:
+def _whole(text: bytes, lo: int, hi: int) -> tuple[int, int]:
+    """The part of a span that holds whole UTF-8 characters."""
+    while lo < hi and text[lo] & 0xC0 == 0x80:
+        lo += 1
+    while lo < hi < len(text) and text[hi] & 0xC0 == 0x80:
+        hi -= 1
+    return lo, hi
+
+
+def _remove(characters: bool) -> Callable:
     span = pa.struct([("lo", pa.int64()), ("hi", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,26 +419,29 @@ def _remove(length: int) -> Callable:
             for k, text in enumerate(texts):
                 rows = slice(edges[k], edges[k + 1])
                 runs = list(zip(*(x.tolist() for x in _merged(removed["lo"][rows], removed["hi"][rows]))))
+                if characters:
+                    runs = [(a, b) for a, b in (_whole(text, *r) for r in runs) if a < b]
                 starts, ends = [0] + [b for _, b in runs], [a for a, _ in runs] + [len(text)]
                 kept.append(b"".join([text[a:b] for a, b in zip(starts, ends)]))
                 spans.append([{"lo": a, "hi": b} for a, b in runs])
             sizes = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("copy"), sizes, pa.array(kept, pa.binary()),
-                 pa.array(spans, pa.list_(span))],
-                ["doc_id", "copy", "n_bytes", "kept", "spans"],
-            )
+            columns = {n: batch.column(n) for n in ("doc_id", "copy", "row") if n in batch.schema.names}
+            columns |= {"n_bytes": sizes, "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(span))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """``doc_id, doc, copy, text``: one exchange by document, from which every step reads the texts.
 
+    With ``carry`` the other input columns come along as a struct ``row``.
+
     ``doc`` is ``doc_id`` with a null one put below all others; rows that repeat a ``doc_id`` are
     told apart by ``copy``, in text order.
     """
-    rows = keyed_text(docs, key, text)
+    columns = F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")
+    rows = docs.select(*columns, *carried(docs, carry, without=text))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63)))).repartition("doc")
     by = Window.partitionBy("doc").orderBy("text")
     return rows.withColumn("copy", F.row_number().over(by).cast("long"))
@@ -442,7 +454,7 @@ def _beside(texts: DataFrame, other: DataFrame, column: str, how: str) -> DataFr
     """
     other = other.select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), column)
     match = (F.col("doc") == F.col("_doc")) & (F.col("copy") - F.col("_copy") == 0)
-    return texts.join(other, match, how).select("doc_id", "doc", "copy", "text", column)
+    return texts.join(other, match, how).select(*texts.columns, column)
 
 
 def _by_document(rows: DataFrame, name: str, *columns: str | Column) -> DataFrame:
@@ -458,6 +470,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     ``texts`` has the columns of ``numbered``.
     """
     # No filter here: it would sink below the exchange, which could then not be used again.
+    # All columns go along for the same reason.
     runs = texts.mapInArrow(_find_runs(length, gram), _ddl(_RUNS))
     known = F.col("shape") < 0
     shape = F.when(known, F.bitwise_not("shape")).otherwise(F.col("shape"))
@@ -479,7 +492,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 
 def without_repeats(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, *, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, *, key: str = "doc_id", text: str = "text",
+    characters: bool = False, carry: bool = False,
 ) -> DataFrame:
     """Each row's text without the bytes that a string of ``length`` bytes covers which also starts earlier.
 
@@ -487,13 +501,14 @@ def without_repeats(
     ``doc_id`` count as documents one after the other, in text order, and a null ``doc_id``
     comes first.  Strings are judged on the input, overlaps count, matches never cross documents.
 
-    Returns ``doc_id, copy, n_bytes, kept`` (binary) and ``spans`` (maximal removed runs).  A null
-    text is empty; a text shorter than ``length`` keeps every byte.  ``gram`` is at most
-    ``length``, and ``length`` below 4096.
+    Returns ``doc_id, copy, n_bytes, kept`` (binary) and ``spans`` (maximal removed runs), and with
+    ``carry`` the other input columns as a struct ``row``.  A null text is empty; a text shorter
+    than ``length`` keeps every byte.  With ``characters`` a character of which a byte stays stays
+    whole, so that ``kept`` is UTF-8.  ``gram`` is at most ``length``, and ``length`` below 4096.
     """
-    texts = numbered(docs, key, text)
+    texts = numbered(docs, key, text, carry)
     removed = repeated_spans(texts, length, gram)
+    schema = "n_bytes long, kept binary, spans array<struct<lo: long, hi: long>>"
     return _beside(texts, removed, "removed", "left").mapInArrow(
-        _remove(length),
-        "doc_id long, copy long, n_bytes long, kept binary, spans array<struct<lo: long, hi: long>>",
+        _remove(characters), f"doc_id long, copy long, {carried_type(texts)}{schema}"
     )
