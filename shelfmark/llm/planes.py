@@ -36,7 +36,7 @@ END_ID = 2
 LEVEL = 3
 
 # Distinct words whose ids a task remembers; beyond that it starts over.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 _HEAD = "<4scIQ"
 _PLANES = {b"B": 4, b"b": 32}
@@ -92,30 +92,69 @@ class WordTokens:
     """Ids of texts by the tokenizers library, asked once for each distinct word.
 
     White space between words neither reaches a token nor joins its neighbours in this kind of
-    vocabulary, so a text's ids are those of its words in order.
+    vocabulary, so a text's ids are those of its words in order.  Words of letters alone, whatever
+    stops follow them, go to the library many at a time: each then ends at the next token that
+    ends a word.
     """
 
+    STOPS = ".,!?;:"
+    WORD_END = "</w>"
+
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encode_batch = Tokenizer.from_file(path).encode_batch
-        self.remembered, self.known = remembered, {}
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith(self.WORD_END)]] = True
+        self.encode_batch = tokenizer.encode_batch_fast
+        self.remembered, self.known, self.stems = remembered, {}, {}
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        found = self.encode_batch(words, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+
+    def _together(self, stems: list[str]) -> list[bytes]:
+        """Ids of words that are letters alone."""
+        (found,) = self.encode_batch([" ".join(stems)], add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        last = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+        if len(last) != len(stems):
+            return self._each(stems)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *last], last)]
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.remembered:
+        if len(self.known) + len(words) > self.remembered:
             self.known.clear()
-            new = list(words)
-        found = self.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        for word, encoding in zip(new, found):
-            self.known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+            self.stems.clear()
+        new = [w for w in words if w not in self.known]
+        plain, other, stems = [], [], set()
+        for word in new:
+            text = word.decode()
+            stem = text.rstrip(self.STOPS)
+            # A letter may turn into one and a mark in lower case, which would meet the stop.
+            if stem.lower().isalpha():
+                plain.append((word, stem, text[len(stem) :]))
+                stems.update({stem, text[len(stem) :]} - self.stems.keys())
+            else:
+                other.append(word)
+        letters = [x for x in stems if x.isalpha()]
+        stops = [x for x in stems if not x.isalpha()]
+        if letters:
+            self.stems.update(zip(letters, self._together(letters)))
+        self.stems.update(zip(stops, self._each(stops)))
+        self.known.update((word, self.stems[stem] + self.stems[stop]) for word, stem, stop in plain)
+        self.known.update(zip(other, self._each([w.decode() for w in other])))
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        split = [t.split() for t in texts]
+        # The vocabulary is lower case; only its special tokens must stay as they are written.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         self.learn({w for words in split for w in words})
+        known = self.known.__getitem__
         for words in split:
-            yield np.frombuffer(b"".join([self.known[w] for w in words]), dtype="<u4")
+            yield np.frombuffer(b"".join(map(known, words)), dtype="<u4")
 
 
 _SEGMENTS = pa.schema([
