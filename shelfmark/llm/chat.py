@@ -55,15 +55,15 @@ def _joined(parts: Column) -> Column:
 
 
 def _walk(roles: Column, template: Template) -> Column:
-    """State behind each conversation's last turn (null once a role was out of turn), and that turn."""
+    """State behind each conversation's last turn (empty once a role was out of turn), and that turn."""
     steps = [F.lit(x) for s, n in template.flow.items() for r, t in n.items() for x in (f"{s} {r}", t)]
     moves = F.create_map(*steps)
     begin = F.struct(F.lit(START).alias("state"), F.lit(0).alias("turns"))
 
     def step(so_far: Column, role: Column) -> Column:
-        after = F.try_element_at(moves, F.concat_ws(" ", so_far.state, role))
-        moved = F.struct(after.alias("state"), (so_far.turns + F.when(after.isNull(), 0).otherwise(1)).alias("turns"))
-        return F.when(so_far.state.isNull(), so_far).otherwise(moved)
+        after = F.coalesce(F.try_element_at(moves, F.concat_ws(" ", so_far.state, role)), F.lit(""))
+        moved = F.struct(after.alias("state"), (so_far.turns + F.when(after == "", 0).otherwise(1)).alias("turns"))
+        return F.when(so_far.state == "", so_far).otherwise(moved)
 
     return F.aggregate(roles, begin, step)
 
@@ -108,12 +108,12 @@ def format_chats(
         "segments": F.flatten(F.transform("turns", laid_out)),
         "walk": _walk(F.transform("turns", lambda t: t.role), template),
     })
-    refused = F.col("walk.state").isNull()
+    refused = F.col("walk.state") == ""
     return walked.select(
         "conv_id",
         "segments",
         _joined(F.transform("segments", lambda s: s.text)).alias("formatted"),
-        F.coalesce(F.col("walk.state").isin(*template.ends), F.lit(False)).alias("valid"),
+        F.col("walk.state").isin(*template.ends).alias("valid"),
         F.when(refused, F.col("walk.turns")).alias("wrong_turn"),
     )
 
