@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,13 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
 
+# For texts that are similar rather than nearly equal: 128 bits, of which as many may differ.
+WIDE_BITS = 24
+WIDE_PARTS = 3
+
+# An entry's key holds a segment's bits below and the number of the left-out bit from here on.
+_TAG = 57
+
 # Stands for a null document id where ids are compared.
 _NO_ID = -(1 << 63)
 
@@ -85,16 +93,48 @@ def _signed(value: int) -> int:
     return value - (1 << BITS) if value >> (BITS - 1) else value
 
 
-def _segments(max_bits: int) -> list[tuple[int, int]]:
-    """First bit and width of so few segments that one of them differs by at most one bit."""
-    parts = max_bits // 2 + 1
+def _segments(parts: int) -> list[tuple[int, int]]:
+    """First bit and width of the segments of one 64-bit word."""
     base, more = divmod(BITS, parts)
     widths = [base + (k < more) for k in range(parts)]
     return [(sum(widths[:k]), width) for k, width in enumerate(widths)]
 
 
+def _index(prints: DataFrame, words: Sequence[str], parts: int) -> DataFrame:
+    """``words`` and ``key``: an entry for every segment of every word and left-out bit."""
+    entries = []
+    for n, word in enumerate(words):
+        for start, width in _segments(parts):
+            mask = ((1 << width) - 1) << start
+            for bit in range(start, start + width):
+                left = F.col(word).bitwiseAND(F.lit(_signed(mask & ~(1 << bit))))
+                tag = F.lit(_signed((n * BITS + bit) << _TAG))
+                entries.append(F.shiftrightunsigned(left, start).bitwiseOR(tag))
+    return prints.select(*words, F.explode(F.array(*entries)).alias("key"))
+
+
+def _distance(words: Sequence[str], a: str, b: str) -> Column:
+    counts = [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words]
+    return reduce(lambda x, y: x + y, counts)
+
+
+def _first_entry(words: Sequence[str], parts: int, a: str, b: str) -> Column:
+    """Whether this entry is the first on which two prints agree."""
+    own = F.shiftrightunsigned(F.col(f"{a}.key"), _TAG).cast("int")
+    first, clear = F.lit(False), F.lit(True)
+    for n, word in enumerate(words):
+        diff = F.col(f"{a}.{word}").bitwiseXOR(F.col(f"{b}.{word}"))
+        for start, width in _segments(parts):
+            part = diff.bitwiseAND(F.lit(_signed(((1 << width) - 1) << start)))
+            low = n * BITS + start
+            at_bit = F.when(part == 0, own == low).otherwise(True)
+            first = first | (own.between(low, low + width - 1) & clear & at_bit)
+            clear = clear & (F.bit_count(part) > 1)
+    return first
+
+
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs ``u < v`` of distinct fingerprints that differ in at most ``max_bits`` bits.
+    """Pairs ``u < v`` of distinct fingerprints ``fp`` that differ in at most ``max_bits`` bits.
 
     The bits are cut into ``max_bits // 2 + 1`` segments.  Two fingerprints within the limit have
     a segment that differs by one bit at most, so they agree on the segment with that one bit
@@ -102,32 +142,12 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     itself on equality; the join's condition verifies the distance and lets a pair through at
     its first agreeing entry alone, so no pair is made twice and no copy takes part.
     """
-    entries, masks = [], [sum(1 << b for b in range(s, s + w)) for s, w in _segments(max_bits)]
-    fp = F.col("fp")
-    for (start, width), mask in zip(_segments(max_bits), masks):
-        for bit in range(start, start + width):
-            left = fp.bitwiseAND(F.lit(_signed(mask & ~(1 << bit))))
-            segment = F.shiftrightunsigned(left, start)
-            entries.append(segment.bitwiseOR(F.lit(_signed(bit << (BITS - 6)))))
-    index = prints.select(fp, F.explode(F.array(*entries)).alias("key"))
-
+    words, parts = ["fp"], max_bits // 2 + 1
+    index = _index(prints, words, parts)
     a, b = index.alias("a"), index.alias("b")
-    diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    own_bit = F.shiftrightunsigned(F.col("a.key"), BITS - 6).cast("int")
-
-    def within(mask: int) -> Column:
-        return diff.bitwiseAND(F.lit(_signed(mask)))
-
-    first_entry, clear = F.lit(False), F.lit(True)
-    for (start, width), mask in zip(_segments(max_bits), masks):
-        here = own_bit.between(start, start + width - 1)
-        at_bit = F.when(within(mask) == 0, own_bit == start).otherwise(True)
-        first_entry = first_entry | (here & clear & at_bit)
-        clear = clear & (F.bit_count(within(mask)) > 1)
-    verified = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(diff) <= max_bits) & first_entry
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & verified).select(
-        F.col("a.fp").alias("u"), F.col("b.fp").alias("v")
-    )
+    verified = (F.col("a.fp") < F.col("b.fp")) & (_distance(words, "a", "b") <= max_bits)
+    match = (F.col("a.key") == F.col("b.key")) & verified & _first_entry(words, parts, "a", "b")
+    return a.join(b, match).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
 def near_duplicates(
@@ -153,24 +173,89 @@ def near_duplicates(
     )
 
 
-def one_of_each(
-    docs: DataFrame, max_bits: int = MAX_BITS, words_each: int = SHINGLE_WORDS, seed: int = SEED
-) -> DataFrame:
-    """The rows of ``docs`` with one of each component: that of the smallest ``doc_id``.
+def wide_prints(docs: DataFrame, words_each: int, seed: int = SEED) -> DataFrame:
+    """``doc_id, text_hash, p0, p1``: a SimHash of 128 bits in two words."""
 
-    Among rows of that ``doc_id`` the one with the smallest text hash stays, and one of equal
-    rows.  A null ``doc_id`` stays only where its component has no other.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = text_bytes(batch.column("text"))
+            halves = [[fingerprint_of(t, words_each, seed + n) for t in texts] for n in range(2)]
+            values = [pa.array(np.array(h, dtype=np.uint64).view(np.int64)) for h in halves]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"), *values], ["doc_id", "text_hash", "p0", "p1"]
+            )
+
+    rows = keyed_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, p0 long, p1 long")
+
+
+def connecting_links(prints: DataFrame, words: Sequence[str], max_bits: int, parts: int) -> DataFrame:
+    """Pairs of distinct prints (structs ``u`` and ``v``) that connect all pairs the index finds.
+
+    Where many prints share an entry, most lie close to its smallest one, the pivot.  Two prints
+    that are both linked to the pivot are connected through it, so the pair itself is left out;
+    all other pairs within ``max_bits`` are made.  (A link to a pivot may itself be left out at
+    its first entry for that entry's still smaller pivot, which connects the two.)  A dense group
+    so yields links in proportion to its members, not to their pairs.
     """
-    found = near_duplicates(docs, max_bits, words_each, seed)
+    own = F.struct(*words)
+    index = _index(prints, words, parts).repartition("key")
+    by = Window.partitionBy("key")
+    index = index.withColumns({"pivot": F.min(own).over(by), "n": F.count("*").over(by)}).filter("n > 1")
+    to_pivot = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"pivot.{w}"))) for w in words]
+    index = index.withColumn("linked", reduce(lambda x, y: x + y, to_pivot) <= max_bits)
+    index = index.select(*words, "key", "linked", (own == F.col("pivot")).alias("is_pivot"))
+    a, b = index.alias("a"), index.alias("b")
+    u, v = F.struct(*[f"a.{w}" for w in words]), F.struct(*[f"b.{w}" for w in words])
+    needed = F.col("a.is_pivot") | ~(F.col("a.linked") & F.col("b.linked"))
+    match = (
+        (F.col("a.key") == F.col("b.key")) & (u < v) & needed
+        & (_distance(words, "a", "b") <= max_bits) & _first_entry(words, parts, "a", "b")
+    )
+    return a.join(b, match).select(u.alias("u"), v.alias("v"))
+
+
+def similar_documents(
+    docs: DataFrame, *, words_each: int = 5, max_bits: int = WIDE_BITS, parts: int = WIDE_PARTS, seed: int = SEED
+) -> DataFrame:
+    """``doc_id, text_hash, component_id, first_id, first_hash`` of every row, for similar texts.
+
+    Texts are linked where two SimHashes of five-word shingles differ in at most ``max_bits`` of
+    their 128 bits together: about where four fifths of the shingles are shared.  Candidates are
+    pairs that agree on a segment but for one bit; texts that share nine tenths do so nearly
+    always, texts at four fifths in about every second case.  ``first_id`` and ``first_hash`` name the row
+    that stands for the component: the smallest ``doc_id``, a null one only if there is no other,
+    then the smallest text hash.
+    """
+    words = ["p0", "p1"]
+    prints = pin(wide_prints(docs, words_each, seed), "prints")
     low = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    stays = found.groupBy("component_id").agg(F.min(low).alias("stays"))
-    stays = pin(stays.select(F.coalesce("stays.doc_id", F.lit(_NO_ID)).alias("_stays"), F.col("stays.text_hash").alias("_as")), "stays")
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_hash": F.xxhash64(F.col("text").cast("string"))})
-    # Both uses of the exchange by document: equal rows are numbered, then looked up.
-    rows = rows.repartition("_id").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id")))
-    match = (F.col("_id") == F.col("_stays")) & (F.col("_hash").bitwiseXOR(F.col("_as")) == 0)
-    return rows.filter("_nth = 1").join(stays, match, "left_semi").select(*docs.columns)
+    node = F.xxhash64(*words)
+    nodes = prints.groupBy(*words).agg(F.min(low).alias("first")).withColumn("node", node)
+    found = connecting_links(nodes.select(*words), words, max_bits, parts)
+    pairs = found.select(F.xxhash64("u.p0", "u.p1").alias("u"), F.xxhash64("v.p0", "v.p1").alias("v"))
+    roots = components(pairs).withColumnRenamed("node", "_node")
+    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(
+        "node", "first", F.coalesce("root", "node").alias("root")
+    )
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = rooted.select("node", "root").join(least, "root")
+    own = prints.withColumn("_own", node)
+    return own.join(named, F.col("_own") == F.col("node")).select(
+        "doc_id", "text_hash", F.col("root").alias("component_id"),
+        F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"),
+    )
 
 
-def hex_print(fingerprint: Column) -> Column:
-    return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
+def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of ``docs`` with one of each component of ``similar_documents``; equal rows are one."""
+    found = similar_documents(docs, **options)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
+    stays = first.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_stays"), F.col("text_hash").alias("_as")).distinct()
+    stays = pin(stays, "stays")
+    marks = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_hash": F.xxhash64(F.col("text").cast("string"))}
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *[m.alias(n) for n, m in marks.items()]).repartition("_id")
+    # The exchange by document serves both: equal rows are numbered, then looked up.
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id")))
+    match = (F.col("_id") == F.col("_stays")) & (F.col("_hash").bitwiseXOR(F.col("_as")) == 0)
+    return rows.filter("_nth = 1").join(stays, match, "left_semi").select("_row.*")
