@@ -67,7 +67,9 @@ def test_near_duplicates_of_odd_rows(odd, odd_rows, empty):
     expected = sorted(str((r[0], p - (1 << 64) if p >> 63 else p, least[g])) for r, p, g in zip(odd_rows, prints, group))
     assert sorted(str((r.doc_id, r.fingerprint, r.component_id)) for r in got) == expected
     kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns and kept.count() == len(set(group))
+    wide = simhash.similar_documents(odd)
+    assert wide.count() == len(odd_rows)
+    assert kept.columns == odd.columns and kept.count() == wide.select("component_id").distinct().count() <= len(set(group))
     assert simhash.near_duplicates(empty).count() == 0 == simhash.one_of_each(empty).count()
 
 
