@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..constants import TEXT_CAP_BYTES
 from .text import script_profile, script_score
 
 # Legacy double-byte code pages in order of preference: fixed values.
@@ -80,7 +79,7 @@ def text_encoding(content: Column) -> Column:
     )
 
 
-def decode_text(content: Column, cap: int | None = TEXT_CAP_BYTES) -> Column:
+def decode_text(content: Column, cap: int | None = None) -> Column:
     """Bytes to text: marks first, then the UTF-16 pattern, strict UTF-8, and legacy code pages.
 
     UTF-8 never leaves the JVM.  Other rows are decoded in Arrow batches, and their candidate

@@ -7,9 +7,10 @@ from pyspark.sql import Column, functions as F
 from .text import collapse_ws, decode_entities
 
 # Ordered cuts: fixed patterns.  Comments and skipped bodies go before any tag is looked at.
-COMMENT = r"(?is)<!--.*?-->"
-SKIPPED = r"(?is)<(style|script|svg|title)\b.*?</(style|script|svg|title)[^>]*>"
-DECLARATION = r"(?is)<![^>]*>"
+# A body ends at its own close tag; what is never closed goes up to the end of the page.
+COMMENT = r"(?is)<!--.*?(?:-->|\z)"
+SKIPPED = r"(?is)<(style|script|svg|title)\b.*?(?:</\1\b[^>]*(?:>|\z)|\z)"
+DECLARATION = r"(?is)<![^>]*(?:>|\z)"
 BLOCK_TAG = (
     r"(?is)</?(?:p|figcaption|h[1-6]|div|section|article|main|figure|header|footer|details|center"
     r"|summary|blockquote|ul|ol|li|table|tr|td|th|br|hr)\b[^>]*>"

@@ -115,8 +115,7 @@ def _packet_facts(packet: Column) -> Column:
         for name in ("amp", "lt", "gt", "quot", "apos"):
             out = F.replace(out, F.lit(f"&{name};"), F.lit(C.ENTITIES[name]))
         out = F.trim(out)
-        clipped = F.concat(F.substring(out, 1, 300), F.lit("…"))
-        return F.when(out != "", F.when(F.length(out) > 300, clipped).otherwise(out))
+        return F.nullif(out, F.lit(""))
 
     def single(prop: str) -> Column:
         attr = F.regexp_extract_all(packet, F.lit(rf'{prop}="([^"]*)"'), F.lit(1))

@@ -75,9 +75,9 @@ def clip_lines(text: Column, limit: int = C.LINE_CLIP_CHARS) -> Column:
     return F.when(too_long, F.array_join(clipped, "\n")).otherwise(text)
 
 
-def script_profile(text: Column) -> Column:
-    """Counts per script in the first 20,000 characters, and the CJK plausibility score."""
-    head = F.substring(text, 1, 20_000)
+def script_profile(text: Column, chars: int | None = None) -> Column:
+    """Counts per script of a text (of its first ``chars`` characters, if given)."""
+    head = text if chars is None else F.substring(text, 1, chars)
 
     def count(cls: str) -> Column:
         return F.regexp_count(head, F.lit(f"[{cls}]")).cast("bigint")
@@ -286,9 +286,11 @@ def _entity(token: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric entities in one pass: what a decoded entity spells is not decoded again."""
-    tokens = F.regexp_extract_all(text, F.lit(_ENTITY_TOKEN), F.lit(1))
-    decoded = F.array_join(F.transform(tokens, _entity), "")
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    def decoded(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit(_ENTITY_TOKEN), F.lit(1))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(tokens, _entity), "")).otherwise(t)
+
+    return let(text, decoded)
 
 
 def clip_text(text: Column, limit: int) -> Column:

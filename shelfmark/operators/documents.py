@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,11 +18,10 @@ from ..functions.sizes import dimension_folder
 from ..functions.text import (
     expand_template, find_folded, fold_ascii, linkify, secret_kind, template_path, valid_email,
 )
-from .ordering import HOT_ROWS, natural_key, ordered_prefix
+from .ordering import natural_key, ordered_prefix
 
 # Bytes per block when hits are matched to pages.
 PAGE_BLOCK = 1 << 16
-MAX_TERMS = 1_000
 
 
 def page_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -83,8 +84,6 @@ def doc_links(docs: DataFrame, key: str, text: str) -> DataFrame:
 # --- search -------------------------------------------------------------------------------
 
 def _terms(terms: Sequence[str]) -> Column:
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"at most {MAX_TERMS} search terms per job, got {len(terms)}")
     return F.array(*[F.lit(t) for t in terms])
 
 
@@ -95,12 +94,11 @@ def doc_hits(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> Data
     """
     kept = sorted({t for t in terms if t})
     folded = docs.select(key, fold_ascii(F.col(text)).alias("_text"))
-    return (
-        folded.withColumn("term", F.explode(_terms(kept)))
-        .withColumn("_needle", fold_ascii(F.col("term")))
-        .filter(F.contains("_text", F.col("_needle")))
-        .select(key, "term", find_folded(F.col("_text"), F.col("_needle")).alias("hits"))
+    hit = F.filter(_terms(kept), lambda t: F.contains("_text", fold_ascii(t)))
+    found = F.transform(
+        hit, lambda t: F.struct(t.alias("term"), find_folded(F.col("_text"), fold_ascii(t)).alias("hits"))
     )
+    return folded.select(key, F.explode(found).alias("_f")).select(key, "_f.*")
 
 
 def doc_search(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
@@ -134,7 +132,7 @@ def resume_hit(hits: Column, start: Column) -> Column:
 
 
 def page_starts(
-    pages: DataFrame, doc: str, page: str, text: str, *, hot_rows: int = HOT_ROWS
+    pages: DataFrame, doc: str, page: str, text: str
 ) -> DataFrame:
     """Byte range [start, next_start) of every page; each page ends with one separator byte.
 
@@ -143,7 +141,7 @@ def page_starts(
     width = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
     sized = pages.select(doc, page, width.alias("_w"))
     return ordered_prefix(
-        sized, [doc], [F.col(page)], number="_n", sums={"next_start": F.col("_w")}, hot_rows=hot_rows
+        sized, [doc], [F.col(page)], number="_n", sums={"next_start": F.col("_w")}
     ).select(doc, page, (F.col("next_start") - F.col("_w")).alias("start"), "next_start")
 
 
@@ -174,14 +172,12 @@ def keyword_search(
     kept = sorted({t.strip().lower() for t in terms if len(t.strip().encode()) >= 2})
     if not kept:
         return entries.limit(0).select(F.lit("").alias("term"), F.lit(0).alias("position"), *entries.columns)
-    lowered = [F.lower(F.col(c)) for c in columns]
-    hit = F.lit(False)
-    for c in lowered:
-        hit = hit | F.coalesce(F.contains(c, F.col("term")), F.lit(False))
+    def hit(term: Column) -> Column:
+        return reduce(or_, [F.coalesce(F.contains(F.lower(F.col(c)), term), F.lit(False)) for c in columns])
+
     order = Window.partitionBy("term").orderBy(ord_)
     return (
-        entries.withColumn("term", F.explode(_terms(kept)))
-        .filter(hit)
+        entries.withColumn("term", F.explode(F.filter(_terms(kept), hit)))
         .withColumn("position", F.row_number().over(order))
         .filter(F.col("position") <= first)
         .select("term", "position", *entries.columns)
@@ -208,7 +204,7 @@ def contacts(docs: DataFrame, key: str, text: str) -> DataFrame:
 # Where a credential token can begin; the exact shape is judged afterwards.
 _SECRET_START = (
     r"(?<![A-Za-z0-9_.\-])((?:sk[_-]|[pr]k_|gh[pousr]_|github_pat_|xox[baprs]-|AKIA|AIza|ey)"
-    r"[A-Za-z0-9_.\-]{6,})"
+    r"(?:(?<=ey)[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+|[A-Za-z0-9_\-]{6,}))"
 )
 
 
@@ -262,12 +258,12 @@ def secrets_in_json(docs: DataFrame, key: str, doc: str, depth: int = 4) -> Data
 
 
 def oversize_docs(docs: DataFrame, key: str, doc: str, limit: int = C.MAX_DOCUMENT_BYTES) -> DataFrame:
-    """Documents over the byte limit once serialised, with their largest top-level key."""
+    """Documents over the byte limit once serialised, with their largest top-level key (null for none)."""
     sized = docs.select(key, F.try_parse_json(doc).alias("_v")).withColumn(
         "bytes", F.octet_length(F.to_json("_v")).cast("bigint")
     )
     over = sized.filter(F.col("bytes") > limit)
-    parts = over.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("_v").outer())).select(
+    parts = over.lateralJoin(docs.sparkSession.tvf.variant_explode_outer(F.col("_v").outer())).select(
         key, "bytes", F.col("key").alias("_k"),
         F.octet_length(F.to_json("value")).cast("bigint").alias("_b"),
     )
@@ -383,12 +379,12 @@ def route_plan(requests: DataFrame, existing: DataFrame | None = None, **options
 
 
 def page_manifest(
-    pages: DataFrame, output: str, path: str, *, hot_rows: int = HOT_ROWS
+    pages: DataFrame, output: str, path: str
 ) -> DataFrame:
     """0-based page index in natural order and page count per combined output; page 0 is the cover."""
     keyed = pages.withColumn("_k", natural_key(file_name(F.col(path))))
     placed = ordered_prefix(
-        keyed, [output], [F.col("_k"), F.col(path)], number="_n", total="page_count", hot_rows=hot_rows
+        keyed, [output], [F.col("_k"), F.col(path)], number="_n", total="page_count"
     )
     return placed.select(
         *pages.columns, (F.col("_n") - 1).alias("page"), "page_count", (F.col("_n") == 1).alias("is_cover")

@@ -41,8 +41,13 @@ def regression_diff(
     return folded.withColumn("status", status).filter("status IS NOT NULL").select(key, "status")
 
 
-def self_gate(rows: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Each measurement (name, ms) against its own recorded time: suspects and unseen names."""
+def self_gate(rows: DataFrame, recorded: DataFrame, exempt: Column | None = None) -> DataFrame:
+    """Each measurement (name, ms) against its own recorded time: suspects and unseen names.
+
+    Rows that are ``exempt`` (made in several sizes, say, and held against their peers) are skipped.
+    """
+    if exempt is not None:
+        rows = rows.filter(~F.coalesce(exempt, F.lit(False)))
     was = F.greatest(F.col("_was"), F.lit(0.001))
     ratio = round2(F.col("ms") / was)
     joined = rows.join(recorded.select("name", F.col("ms").alias("_was")), "name", "left")
@@ -129,7 +134,7 @@ def expected_values(expected: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def key_parity(entries: DataFrame, canonical: str) -> DataFrame:
-    """Per locale: missing, extra and repeated keys, and placeholder mismatches.
+    """Per locale, the canonical one too: missing, extra and repeated keys, and placeholder mismatches.
 
     ``entries`` holds (locale, key, ord, value); the first value of a repeated key counts.
     """
@@ -145,8 +150,7 @@ def key_parity(entries: DataFrame, canonical: str) -> DataFrame:
     n_canon = canon.agg(F.count("*")).scalar()
     known = F.coalesce(F.col("_known"), F.lit(False))
     return (
-        first.filter(F.col("locale") != canonical)
-        .join(canon, "key", "left")
+        first.join(canon, "key", "left")
         .groupBy("locale")
         .agg(
             F.count_if(known).alias("present"),

@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.paths import file_name
 from ..scratch import pin
 
-# A group up to this many rows is a comfortable single window partition.
-HOT_ROWS = 2_000_000
-
-
 _DIGITS = 18
 
 
@@ -55,12 +53,6 @@ def natural_order(df: DataFrame, path: str) -> DataFrame:
     )
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest group: one map-side-combined aggregation, one number back."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
-
-
 def ordered_prefix(
     df: DataFrame,
     keys: Sequence[str],
@@ -69,29 +61,14 @@ def ordered_prefix(
     number: str = "rn",
     total: str | None = None,
     sums: Mapping[str, Column] | None = None,
-    hot_rows: int = HOT_ROWS,
-    sliced: bool | None = None,
 ) -> DataFrame:
     """Add a 1-based position, the group size and inclusive running sums per group.
 
-    ``order`` must be a total order within each group.  When every group is small (checked,
-    not assumed) this is a plain window.  Otherwise rows are range-partitioned over the keys
-    *and* the order, so a hot group is cut into many slices; each slice is numbered on its own
-    and shifted by what the slices before it hold.  A caller that has checked already passes
-    ``sliced``.
+    ``order`` must be a total order within each group.  Rows are range-partitioned over the keys
+    *and* the order, so a hot group is cut into many slices; each slice is numbered on its own and
+    shifted by what the slices before it hold.
     """
     sums = dict(sums or {})
-    if sliced is None:
-        sliced = largest_group(df, keys) > hot_rows
-    if not sliced:
-        grouped = Window.partitionBy(*keys)
-        running = grouped.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        out = df.withColumns(
-            {number: F.row_number().over(grouped.orderBy(*order)).cast("bigint")}
-            | {name: F.sum(value).over(running) for name, value in sums.items()}
-        )
-        return out.withColumn(total, F.count("*").over(grouped)) if total else out
-
     ranged = (
         df.withColumns({f"_v_{name}": value for name, value in sums.items()})
         .repartitionByRange(*[F.col(k) for k in keys], *order)
@@ -146,7 +123,8 @@ def rank_values(
 
     ``ranks`` maps an output name to a 1-based rank written over the group's row count ``n``.
     Equal values are counted first; a coarse, order-preserving bucket of the value locates each
-    rank, and only the buckets that hold one are looked at value by value.
+    rank, and only the buckets that hold one are looked at value by value.  A bucket spans about a
+    hundred-thousandth of a value, so that values close together still spread.
     """
     v = F.col("_v")
     hist = (
@@ -154,7 +132,7 @@ def rank_values(
         .filter(v.isNotNull())
         .groupBy(*keys, "_v")
         .agg(F.count("*").alias("_n"))
-        .withColumn("_bucket", (F.signum(v) * F.floor(F.log1p(F.abs(v)) * 100)).cast("bigint"))
+        .withColumn("_bucket", (F.signum(v) * F.floor(F.log1p(F.abs(v) * 1e6) * 1e5)).cast("bigint"))
         .withColumn("_all", F.lit(0))
     )
     group = ["_all", *keys]
@@ -180,8 +158,10 @@ def rank_values(
     inside = (
         Window.partitionBy(*group, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
+    there = coarse.select(*[F.col(c).alias(f"_c{c}") for c in [*group, "_bucket"]], "n", "_name", "_left")
+    match = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_c{c}")) for c in [*group, "_bucket"]])
     return (
-        hist.join(coarse, [*group, "_bucket"])
+        hist.join(there, match)
         .withColumn("_seen", F.sum("_n").over(inside))
         .filter(F.col("_seen") >= F.col("_left"))
         .groupBy(*group)
@@ -191,18 +171,3 @@ def rank_values(
         )
         .drop("_all")
     )
-
-
-# Inputs up to this size may be too few row groups to keep every core busy.
-SPREAD_BYTES = 256 * 1024 * 1024
-
-
-def spread_small(df: DataFrame, stored_bytes: int, limit: int = SPREAD_BYTES) -> DataFrame:
-    """Deal a small stored table evenly over the cores before heavy work on each row.
-
-    A small table is often one row group, hence one busy task.  Anything over ``limit`` is left
-    exactly as stored, with no shuffle.
-    """
-    if stored_bytes > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

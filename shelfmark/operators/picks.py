@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import constants as C
 from ..functions.paths import extension, file_name, folder, stem
 from ..scratch import pin
-from .ordering import HOT_ROWS, cover_key, largest_group, natural_key, ordered_prefix
+from .ordering import cover_key, natural_key, ordered_prefix
 
 
 def cover_candidates(entries: DataFrame) -> DataFrame:
@@ -139,7 +139,6 @@ def rename_plan(
     existing: DataFrame | None = None,
     *,
     first_suffix: int = 2,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Collision-free destination per request.
 
@@ -148,7 +147,7 @@ def rename_plan(
     plain name first, then `` (n)`` from ``first_suffix`` (2 for moves, 1 for batch outputs).
     A request whose plain name is its own path is already in place.
     """
-    plan = _claim(requests, existing, first_suffix, hot_rows)
+    plan = _claim(requests, existing, first_suffix)
     if requests.filter(F.col("base").rlike(r" \(\d+\)$")).isEmpty():
         return plan.drop("_slot")
     # A base that itself looks numbered can meet another base's suffix.  The earlier claim stays;
@@ -169,11 +168,11 @@ def rename_plan(
         again = marked.filter("ord >= _from").select("ord")
         names = settled.select(F.col("destination").alias("path"))
         taken = names if existing is None else existing.select("path").unionByName(names)
-        plan = _claim(requests.join(again, "ord", "left_semi"), taken, first_suffix, hot_rows)
+        plan = _claim(requests.join(again, "ord", "left_semi"), taken, first_suffix)
 
 
 def _claim(
-    requests: DataFrame, existing: DataFrame | None, first_suffix: int, hot_rows: int
+    requests: DataFrame, existing: DataFrame | None, first_suffix: int
 ) -> DataFrame:
     """One round of claims, name slot by name slot."""
     name = file_name(F.col("path"))
@@ -185,13 +184,11 @@ def _claim(
     })
     todo = asked.filter(~F.col("in_place"))
     taken = _taken_slots(asked, existing, first_suffix)
-    claims = todo.select("_slot").unionByName(taken.select("_slot"))
-    sliced = largest_group(claims, ["_slot"]) > hot_rows
     # Ranks among the requests of one slot, then the taken numbers that push them up.
-    ranked = ordered_prefix(todo, ["_slot"], [F.col("ord")], number="_at", sliced=sliced).withColumn(
+    ranked = ordered_prefix(todo, ["_slot"], [F.col("ord")], number="_at").withColumn(
         "_hole", F.lit(0)
     )
-    holes = ordered_prefix(taken, ["_slot"], [F.col("_taken")], number="_nth", sliced=sliced).select(
+    holes = ordered_prefix(taken, ["_slot"], [F.col("_taken")], number="_nth").select(
         "_slot", (F.col("_taken") - F.col("_nth") + 1).alias("_at"), F.lit(1).alias("_hole")
     )
     # A hole at or before a rank shifts it by one.
@@ -199,7 +196,7 @@ def _claim(
         ordered_prefix(
             ranked.unionByName(holes, allowMissingColumns=True), ["_slot"],
             [F.col("_at"), F.col("_hole").desc(), F.col("ord")],
-            number="_seq", sums={"_shift": F.col("_hole")}, sliced=sliced,
+            number="_seq", sums={"_shift": F.col("_hole")},
         )
         .filter("_hole = 0")
         .withColumn("_number", F.col("_at") + F.col("_shift"))
@@ -223,10 +220,10 @@ def _taken_slots(asked: DataFrame, existing: DataFrame | None, first_suffix: int
     own = asked.filter("in_place").select(F.col("path"))
     paths = own if existing is None else own.unionByName(existing.select("path"))
     low = F.lower("path")
-    numbered = F.regexp_extract(low, r"^(.*) \(([1-9]\d{0,8})\)(\.[^./\\]*)?$", 2)
+    numbered = F.regexp_extract(low, r"^(.*) \(([1-9]\d{0,17})\)(\.[^./\\]*)?$", 2)
     base = F.concat(
-        F.regexp_extract(low, r"^(.*) \(([1-9]\d{0,8})\)(\.[^./\\]*)?$", 1),
-        F.regexp_extract(low, r"^(.*) \(([1-9]\d{0,8})\)(\.[^./\\]*)?$", 3),
+        F.regexp_extract(low, r"^(.*) \(([1-9]\d{0,17})\)(\.[^./\\]*)?$", 1),
+        F.regexp_extract(low, r"^(.*) \(([1-9]\d{0,17})\)(\.[^./\\]*)?$", 3),
     )
     position = numbered.try_cast("bigint") - first_suffix + 2
     slots = F.array(
@@ -252,7 +249,7 @@ def batch_output_plan(inputs: DataFrame, ext: str, out_dir: str | None = None, *
 
 
 def neighbours(
-    files: DataFrame, folder_col: str, path: str, *, hot_rows: int = HOT_ROWS
+    files: DataFrame, folder_col: str, path: str
 ) -> DataFrame:
     """Previous, next and two files ahead in natural order, wrapping at both ends.
 
@@ -265,7 +262,6 @@ def neighbours(
     )
     placed = ordered_prefix(
         keyed, ["folder"], [F.col("_k"), F.col("path")], number="position", total="n",
-        hot_rows=hot_rows,
     ).drop("_k")
     roles = {"path": 0, "next_path": 1, "ahead_2": 2, "ahead_3": 3, "previous_path": -1}
     scattered = placed.withColumn(
@@ -285,11 +281,11 @@ def neighbours(
 
 
 def numbered_rows(
-    df: DataFrame, order: Sequence[Column], number: str = "row_no", *, hot_rows: int = HOT_ROWS
+    df: DataFrame, order: Sequence[Column], number: str = "row_no"
 ) -> DataFrame:
     """1-based data row numbers over a whole table."""
     keyed = df.withColumn("_all", F.lit(0))
-    return ordered_prefix(keyed, ["_all"], order, number=number, hot_rows=hot_rows).drop("_all")
+    return ordered_prefix(keyed, ["_all"], order, number=number).drop("_all")
 
 
 def routed(plan: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -85,8 +87,15 @@ def latency_percentiles(
     out = rank_values(df, keys, value, ranks)
     if ok is None:
         return out
+    # A group without a single value is a row too: its failures count.
     failed = df.groupBy(*keys).agg(F.count_if(~ok).alias("failed"))
-    return out.join(failed, list(keys)) if keys else out.withColumn("failed", failed.scalar())
+    if not keys:
+        return out.withColumn("failed", failed.scalar())
+    own = out.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "n", *ranks)
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return failed.join(own, match, "left").select(
+        *keys, F.coalesce("n", F.lit(0)).alias("n"), *ranks, "failed"
+    )
 
 
 def true_median(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

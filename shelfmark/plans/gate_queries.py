@@ -51,7 +51,7 @@ def j1_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("j2_self_gate", """
-WITH now AS (SELECT 'r' || (event_id // 2) AS name, value * 4 AS ms FROM events WHERE event_id % 2 = 1),
+WITH now AS (SELECT 'r' || (event_id // 2) AS name, value * 4 AS ms FROM events WHERE event_id % 2 = 1 AND user_id % 11 <> 0),
 was AS (SELECT 'r' || (event_id // 2) AS name, greatest(value, 0.001) AS was FROM events WHERE event_id % 2 = 0 AND event_id % 14 <> 0),
 j AS (SELECT now.name, ms, was, round_even(ms / was * 100, 0) / 100 AS ratio FROM now LEFT JOIN was ON now.name = was.name)
 SELECT name, ms, was, ratio, CASE WHEN was IS NULL THEN 'unseen' ELSE 'suspect' END AS verdict FROM j
@@ -60,9 +60,9 @@ def j2(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = table(spark, sf_dir, "events").withColumn(
         "name", F.concat(F.lit("r"), F.expr("event_id div 2").cast("string"))
     )
-    now = named.filter("event_id % 2 = 1").select("name", (F.col("value") * 4).alias("ms"))
+    now = named.filter("event_id % 2 = 1").select("name", (F.col("value") * 4).alias("ms"), "user_id")
     was = named.filter("event_id % 2 = 0 AND event_id % 14 <> 0").select("name", F.col("value").alias("ms"))
-    return gates.self_gate(now, was)
+    return gates.self_gate(now, was, exempt=F.col("user_id") % 11 == 0)
 
 
 @query("j3_peer_gate", f"""
@@ -116,18 +116,18 @@ LOCALE_ROWS = {
     "locale": "CAST(conv_id AS VARCHAR(20))",
     "key": "'k' || (turn - turn % 2)",
     "ord": "turn",
-    "value": "CASE (conv_id + turn) % 5 WHEN 0 THEN '{a} {b} ' WHEN 1 THEN '{b}{a} ' WHEN 2 THEN '{a} ' ELSE '' END || left(text, 10)",
+    "value": "CASE (conv_id + turn) % 5 WHEN 0 THEN '{a} {b} ' WHEN 1 THEN '{b}{a} ' WHEN 2 THEN '{a} ' ELSE '' END || text",
 }
 
 
 @query("j6_key_parity", r"""
 WITH e AS (SELECT CAST(conv_id AS VARCHAR) AS locale, 'k' || (turn - turn % 2) AS key, turn AS ord,
-  CASE (conv_id + turn) % 5 WHEN 0 THEN '{a} {b} ' WHEN 1 THEN '{b}{a} ' WHEN 2 THEN '{a} ' ELSE '' END || left(text, 10) AS value FROM conversations),
+  CASE (conv_id + turn) % 5 WHEN 0 THEN '{a} {b} ' WHEN 1 THEN '{b}{a} ' WHEN 2 THEN '{a} ' ELSE '' END || text AS value FROM conversations),
 f AS (SELECT locale, key, arg_min(value, ord) AS value, count(*) AS n FROM e GROUP BY ALL),
 p AS (SELECT *, list_sort(regexp_extract_all(value, '\{[a-z_]+\}')) AS ph FROM f), c AS (SELECT * FROM p WHERE locale = '3')
 SELECT p.locale, (SELECT count(*) FROM c) - count(c.key) AS missing, count(*) FILTER (WHERE c.key IS NULL) AS extra,
   count(*) FILTER (WHERE p.n > 1) AS duplicates, count(*) FILTER (WHERE c.ph <> p.ph) AS placeholder_mismatches
-FROM p LEFT JOIN c ON p.key = c.key WHERE p.locale <> '3' GROUP BY p.locale""")
+FROM p LEFT JOIN c ON p.key = c.key GROUP BY p.locale""")
 def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = table(spark, sf_dir, "conversations").selectExpr(*[f"{e} AS {n}" for n, e in LOCALE_ROWS.items()])
     return gates.key_parity(entries, "3")

@@ -156,7 +156,7 @@ def w7_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same numbering, forced onto the path that cuts a hot group into slices."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return picks.numbered_rows(
-        rows, [F.col("o_totalprice"), F.col("o_orderkey")], hot_rows=100
+        rows, [F.col("o_totalprice"), F.col("o_orderkey")]
     ).drop("o_totalprice")
 
 

@@ -171,7 +171,7 @@ _CJK = case_of("doc_id", ["これは日本語です", "中文内容", "한국어
 
 
 @query("p8_script_profile", f"""
-WITH d AS (SELECT doc_id, left({_CJK} || CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END, 20000) AS t FROM documents),
+WITH d AS (SELECT doc_id, {_CJK} || CASE WHEN doc_id % 2 = 0 THEN text ELSE reverse(text) END AS t FROM documents),
 c AS (SELECT doc_id,
   len(regexp_extract_all(t, '[^\\x00-\\x7F]')) AS na, len(regexp_extract_all(t, '[\\x{{3040}}-\\x{{30FF}}]')) AS kana,
   len(regexp_extract_all(t, '[\\x{{AC00}}-\\x{{D7A3}}]')) AS hangul, len(regexp_extract_all(t, '[\\x{{4E00}}-\\x{{9FFF}}]')) AS ideo,
@@ -185,7 +185,7 @@ SELECT doc_id, ideo, kana, hangul, punct, na AS non_ascii,
         OR kana * 20 >= (ideo + kana + hangul) * 3) THEN 1000 ELSE 0 END) END AS BIGINT) AS score
 FROM c""")
 def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = F.concat(F.expr(_CJK), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(""))
+    mixed = F.concat(F.expr(_CJK), F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.reverse("text")))
     profiled = table(spark, sf_dir, "documents").select("doc_id", T.script_profile(mixed).alias("p"))
     return profiled.select(
         "doc_id", "p.ideo", "p.kana", "p.hangul", "p.punct", "p.non_ascii",

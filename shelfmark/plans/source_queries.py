@@ -283,7 +283,7 @@ def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN length(text) > 160 THEN left(text, 160) || '…' ELSE text END AS text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars
 FROM documents ORDER BY documents.doc_id LIMIT 50""")
 def s15_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overview.table_preview(table(spark, sf_dir, "documents"), "doc_id")
+    return overview.table_preview(table(spark, sf_dir, "documents"), "doc_id", max_chars=160)
 
 
 # --- streams ------------------------------------------------------------------------------

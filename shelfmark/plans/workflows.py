@@ -10,9 +10,9 @@ from .registry import query, table
 # Visible text and links of a page in plain SQL, shared by several twins.
 SQL_VISIBLE = r"""
   regexp_replace(regexp_replace(regexp_replace(html,
-    '(?is)<!--.*?-->', '', 'g'),
-    '(?is)<(style|script|svg|title)\b.*?</(style|script|svg|title)[^>]*>', '', 'g'),
-    '(?is)<![^>]*>', '', 'g')"""
+    '(?is)<!--.*?(?:-->|\z)', '', 'g'),
+    '(?is)<style\b.*?(?:</style\b[^>]*(?:>|\z)|\z)|<script\b.*?(?:</script\b[^>]*(?:>|\z)|\z)|<svg\b.*?(?:</svg\b[^>]*(?:>|\z)|\z)|<title\b.*?(?:</title\b[^>]*(?:>|\z)|\z)', '', 'g'),
+    '(?is)<![^>]*(?:>|\z)', '', 'g')"""
 SQL_BLOCKS = (
     r"'(?is)</?(?:p|figcaption|h[1-6]|div|section|article|main|figure|header|footer|details|center"
     r"|summary|blockquote|ul|ol|li|table|tr|td|th|br|hr)\b[^>]*>'"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .. import constants as C
 from ..functions.text import text_lines
 
 # Candidates in order; a tie goes to the later one.  Fixed values.
@@ -61,19 +60,25 @@ def records(text: Column, delim: Column) -> Column:
 
 def delimited_rows(
     docs: DataFrame, key: str, text: str, ext: Column | None = None, *,
-    max_cols: int | None = C.MAX_TABLE_COLS,
+    max_cols: int | None = None,
 ) -> DataFrame:
-    """(key, delimiter, row_no, cells): row 0 is the header; ragged rows are padded to the widest."""
+    """(key, delimiter, row_no, cells): row 0 is the header; ragged rows are padded to the widest.
+
+    With ``max_cols`` wider tables are cut, and ``n_cols`` and ``truncated`` tell what there was.
+    """
     ext = F.lit("csv") if ext is None else ext
     parsed = docs.select(key, delimiter_for(ext, F.col(text)).alias("delimiter"), F.col(text).alias("_t"))
     rows = parsed.select(key, "delimiter", records(F.col("_t"), F.col("delimiter")).alias("_r"))
     widest = F.array_max(F.transform("_r", F.size))
     width = F.least(widest, F.lit(max_cols)) if max_cols else widest
+    marks = [widest.alias("n_cols"), (widest > max_cols).alias("truncated")] if max_cols else []
+    names = ["n_cols", "truncated"] if max_cols else []
     return (
-        rows.select(key, "delimiter", width.alias("_w"), F.posexplode("_r").alias("row_no", "_c"))
+        rows.select(key, "delimiter", width.alias("_w"), *marks, F.posexplode("_r").alias("row_no", "_c"))
         .select(
             key, "delimiter", "row_no",
             F.slice(F.concat("_c", F.array_repeat(F.lit(""), F.col("_w"))), F.lit(1), F.col("_w")).alias("cells"),
+            *names,
         )
     )
 
@@ -87,10 +92,3 @@ def scan_delimited(spark: SparkSession, path: str) -> DataFrame:
 
     keyed = docs.withColumn("_ext", extension(F.col("path")))
     return delimited_rows(keyed, "path", "value", F.col("_ext"))
-
-
-def read_table(spark: SparkSession, path: str, delim: str) -> DataFrame:
-    """A delimited table too large for one row: the native splitting reader, all text columns."""
-    return spark.read.csv(
-        path, sep=delim, header=True, quote='"', escape='"', multiLine=True, inferSchema=False
-    )

@@ -29,7 +29,7 @@ def scan_files(
     roots: Sequence[str],
     *,
     recurse: bool = True,
-    max_depth: int = C.MAX_WALK_DEPTH,
+    max_depth: int | None = None,
     known: Iterable[str] = DEFAULT_KNOWN,
     with_content: bool = False,
 ) -> DataFrame:
@@ -46,8 +46,9 @@ def scan_files(
             .load(root)
             .select(*columns)
         )
-        depth = _depth(_bare(F.col("path")), root.removeprefix("file:"))
-        kept = listed.filter(is_known(extension(F.col("path")), known) & (depth <= max_depth))
+        kept = listed.filter(is_known(extension(F.col("path")), known))
+        if max_depth is not None:
+            kept = kept.filter(_depth(_bare(F.col("path")), root.removeprefix("file:")) <= max_depth)
         out = kept if out is None else out.unionByName(kept)
     return out.dropDuplicates(["path"]) if len(roots) > 1 else out
 
@@ -91,9 +92,3 @@ def identity(df: DataFrame) -> DataFrame:
         "id_length": F.col("length"),
         "id_mtime": F.floor(F.col("modificationTime").cast("double")).cast("bigint"),
     })
-
-
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files at a path, from the listing alone."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return listed.agg(F.sum("length")).first()[0] or 0

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .. import constants as C
 from ..functions.text import strip_ansi
 
 
@@ -50,12 +49,8 @@ def _output(output: Column) -> Column:
         .when(kind == "error", strip_ansi(F.coalesce(F.array_join(trace, "\n"), F.lit(""))))
     )
     trimmed = F.regexp_replace(text, r"\s+\z", "")
-    clipped = F.when(
-        F.length(trimmed) > C.MAX_OUTPUT_CHARS,
-        F.concat(F.substring(trimmed, 1, C.MAX_OUTPUT_CHARS), F.lit("\n…")),
-    ).otherwise(trimmed)
     picture = F.when(kind.isin("execute_result", "display_data") & (plain == "") & has_image, "[image output]")
-    return F.coalesce(F.nullif(clipped, F.lit("")), picture)
+    return F.coalesce(F.nullif(trimmed, F.lit("")), picture)
 
 
 def _parsed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -64,10 +59,12 @@ def _parsed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return parsed.withColumn("_cells", F.when(_is(cells, "ARRAY"), cells).cast("array<variant>"))
 
 
-def notebook_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, cell, kind, source, outputs, lang, n_cells): the first cells of every notebook.
+def notebook_cells(docs: DataFrame, key: str, text: str, max_cells: int | None = None) -> DataFrame:
+    """(key, cell, kind, source, outputs, lang, n_cells): the cells of every notebook.
 
-    A text that is not a notebook stays whole as a single ``raw-json`` row.
+    A text that is not a notebook stays whole as a single ``raw-json`` row; a notebook without
+    cells is one row without a cell.  ``max_cells`` keeps the first cells only: ``n_cells`` has
+    the true number, and a ``truncated`` column says whether some were left out.
     """
     v = F.col("_v")
     lang = F.coalesce(
@@ -92,7 +89,7 @@ def notebook_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
             F.when(kind == "code", F.coalesce(F.array_join(outputs, "\n"), F.lit(""))).otherwise("").alias("outputs"),
         )
 
-    cells = F.transform(F.slice("_cells", 1, C.MAX_NOTEBOOK_CELLS), cell)
+    cells = F.transform(F.slice("_cells", 1, max_cells) if max_cells else F.col("_cells"), cell)
     raw = F.array(F.struct(
         F.lit(0).alias("cell"), F.lit("raw-json").alias("kind"), F.col("_t").alias("source"),
         F.lit("").alias("outputs"),
@@ -101,11 +98,12 @@ def notebook_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
         _parsed(docs, key, text)
         .select(
             key, lang.alias("lang"), F.size("_cells").alias("_n"),
-            F.explode(F.coalesce(cells, raw)).alias("_c"),
+            F.explode_outer(F.coalesce(cells, raw)).alias("_c"),
         )
         .select(
             key, "_c.*", F.when(F.col("_c.kind") == "raw-json", "json").otherwise(F.col("lang")).alias("lang"),
-            F.greatest(F.col("_n"), F.lit(1)).alias("n_cells"),
+            F.when(F.col("_c.kind") == "raw-json", 1).otherwise(F.col("_n")).alias("n_cells"),
+            *([(F.col("_n") > max_cells).alias("truncated")] if max_cells else []),
         )
     )
 
@@ -114,7 +112,7 @@ _BASE64 = r"^(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
 
 
 def attachments(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, name, content): pictures pasted into Markdown cells, named ``c<cell>/attachment:<name>``."""
+    """(key, name, content): all pictures pasted into Markdown cells, named ``c<cell>/attachment:<name>``."""
 
     def of_cell(c: Column, i: Column) -> Column:
         files = F.map_entries(_field(c, "$.attachments").try_cast("map<string,variant>"))
@@ -137,9 +135,9 @@ def attachments(docs: DataFrame, key: str, text: str) -> DataFrame:
             F.array().cast("array<struct<name:string,content:binary>>"),
         )
 
-    found = F.flatten(F.transform(F.slice("_cells", 1, C.MAX_NOTEBOOK_CELLS), of_cell))
+    found = F.flatten(F.transform("_cells", of_cell))
     return (
         _parsed(docs, key, text)
-        .select(key, F.explode(F.slice(found, 1, C.MAX_ATTACHMENTS)).alias("_a"))
+        .select(key, F.explode(found).alias("_a"))
         .select(key, "_a.name", "_a.content")
     )

@@ -22,12 +22,12 @@ def _cell(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
-def table_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table_name, n_columns, columns, n_rows): exact counts, at most 24 column names listed."""
+def table_summary(tables: Mapping[str, DataFrame], max_cols: int | None = None) -> DataFrame:
+    """(table_name, n_columns, columns, n_rows) of every table; ``max_cols`` shortens the list of names."""
     out = None
-    for name in sorted(tables)[: C.OVERVIEW_TABLES]:
+    for name in sorted(tables):
         df = tables[name]
-        shown = ", ".join(df.columns[: C.OVERVIEW_COLS])
+        shown = ", ".join(df.columns[:max_cols])
         row = df.agg(F.count("*").alias("n_rows")).select(
             F.lit(name).alias("table_name"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"),
             F.lit(shown).alias("columns"), "n_rows",
@@ -36,12 +36,14 @@ def table_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def table_preview(df: DataFrame, *order: str, n: int = C.OVERVIEW_ROWS) -> DataFrame:
-    """First ``n`` rows in key order as display text, clipped per cell."""
-    names = df.columns[: C.OVERVIEW_COLS]
-    return df.orderBy(*order).limit(n).select(
-        *[clip_text(_cell(df, c), C.OVERVIEW_CHARS).alias(c) for c in names]
-    )
+def table_preview(
+    df: DataFrame, *order: str, n: int = C.OVERVIEW_ROWS, max_cols: int | None = None, max_chars: int | None = None
+) -> DataFrame:
+    """First ``n`` rows in key order as display text; the limits shorten them where they are set."""
+    cells = {c: _cell(df, c) for c in df.columns[:max_cols]}
+    if max_chars is not None:
+        cells = {c: clip_text(cell, max_chars) for c, cell in cells.items()}
+    return df.orderBy(*order).limit(n).select(*[cell.alias(c) for c, cell in cells.items()])
 
 
 def catalog_overview(spark: SparkSession, database: str | None = None) -> DataFrame:

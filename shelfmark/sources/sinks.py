@@ -32,7 +32,7 @@ def _line(cells: Sequence[Column]) -> Column:
 
 
 def gfm_table(
-    df: DataFrame, order: Sequence[Column | str], columns: Sequence[str], n: int = C.MAX_TABLE_ROWS
+    df: DataFrame, order: Sequence[Column | str], columns: Sequence[str], n: int
 ) -> DataFrame:
     """(line_no, line) of a Markdown table over the first ``n`` rows, numbered from 1.
 

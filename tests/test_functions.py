@@ -206,3 +206,24 @@ def test_xmp(evaluate):
     raw = '<x:xmpmeta Iptc4xmpExt:DigitalSourceType="made &amp; born"><mwg-rs:PersonDisplayName>Zoé</mwg-rs:PersonDisplayName></x:xmpmeta>'
     got = evaluate(signatures.xmp_facts, [bytearray(b"\xff" + raw.encode() + b"\xff"), bytearray(b"<x:xmpmeta>")], "v binary")
     assert [[tuple(f) for f in facts] for facts in got] == [[("Digital source type", "made & born"), ("People", "Zoé")], []]
+
+
+def test_bodies_end_at_their_own_tag_or_never(evaluate):
+    from shelfmark.functions.html import html_text
+
+    pages = [
+        "a<svg><title>x</title><text>LEAK</text></svg>b", "a<style>p{} <b>LEAK", "a<!-- LEAK <p>", "a<! LEAK",
+        "a<script>'</style>'</script>b", "a<SVG>x</svg >b<title>t</title>c",
+    ]
+    assert evaluate(html_text, pages) == ["ab", "a", "a", "a", "ab", "abc"]
+
+
+def test_texts_are_decoded_to_the_end(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.functions.encoding import decode_text
+    from shelfmark.functions.paths import DEFAULT_KNOWN
+
+    df = spark.range(1).select(F.encode(F.repeat(F.lit("abcdef"), 1_000_001), "UTF-8").alias("b"))
+    assert df.select(F.length(decode_text(F.col("b"))).alias("n")).first()["n"] == 6_000_006
+    assert {"kra", "sgi", "pnm", "ai", "eps", "blend32"} <= DEFAULT_KNOWN

@@ -120,7 +120,7 @@ def test_overview(spark):
     empty = users.filter("false")
     rows = {r["table_name"]: (r["n_columns"], r["n_rows"]) for r in overview.table_summary({"users": users, "none": empty}).collect()}
     assert rows == {"users": (4, 60), "none": (4, 0)}
-    first = overview.table_preview(users.withColumn("name", F.repeat("name", 100)), "id").collect()
+    first = overview.table_preview(users.withColumn("name", F.repeat("name", 100)), "id", max_chars=160).collect()
     assert len(first) == 50 and first[0]["blob"] == "(3 bytes)" and first[0]["w"] == "1.0" and len(first[0]["name"]) == 161
     users.createOrReplaceTempView("users_view")
     listed = overview.catalog_overview(spark).filter("table_name = 'users_view'").first()
@@ -182,3 +182,25 @@ def test_throttle_stream_remembers_across_batches(spark, tmp_path):
         ).trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["key"], r["at_us"]) for r in spark.read.parquet(out).collect())
     assert got == [("a", 0), ("a", DAY), ("b", 10)]
+
+
+def test_nothing_is_cut_by_default(spark):
+    import json
+
+    cells = [{"cell_type": "markdown", "source": f"c{n}", "attachments": {"p": {"image/png": "aGk="}}} for n in range(301)]
+    cells.append({"cell_type": "code", "source": "x", "outputs": [{"output_type": "stream", "text": "y" * 9000}]})
+    docs = spark.createDataFrame([(1, json.dumps({"cells": cells})), (2, '{"cells": []}')], "i int, t string")
+    rows = notebooks.notebook_cells(docs, "i", "t").collect()
+    assert [r["n_cells"] for r in rows if r["i"] == 1] == [302] * 302
+    assert [(r["cell"], r["n_cells"]) for r in rows if r["i"] == 2] == [(None, 0)]
+    assert max(len(r["outputs"] or "") for r in rows) == 9000
+    few = notebooks.notebook_cells(docs, "i", "t", max_cells=2).filter("i = 1").collect()
+    assert [(r["n_cells"], r["truncated"]) for r in few] == [(302, True)] * 2
+    assert notebooks.attachments(docs, "i", "t").count() == 301
+
+    wide = spark.createDataFrame([(1, ",".join(map(str, range(100))))], "i int, t string")
+    assert len(delimited.delimited_rows(wide, "i", "t").first()["cells"]) == 100
+    cut = delimited.delimited_rows(wide, "i", "t", max_cols=64).first()
+    assert (len(cut["cells"]), cut["n_cols"], cut["truncated"]) == (64, 100, True)
+    tables = {f"t{n:02}": spark.range(1) for n in range(65)}
+    assert overview.table_summary(tables).count() == 65
