@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,11 +23,25 @@ from .scalar_queries import SQL_EXT, SQL_KNOWN
 # --- files --------------------------------------------------------------------------------
 
 
-@query("s1_scan_files")
+LISTED_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+LISTED_SQL = " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows FROM {t}" for t in LISTED_TABLES)
+
+
+def _with_rows(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """Listed files (path, length) by the table they belong to, with the rows these tables hold."""
+    name = F.regexp_extract("path", r"([^/]+)\.parquet(?:/[^/]*)?$", 1)
+    listed = found.groupBy(name.alias("name")).agg(F.bool_and(F.col("length") > 0).alias("all_filled"))
+    counts = [table(spark, sf_dir, t).agg(F.count("*").alias("n_rows")).select(F.lit(t).alias("name"), "n_rows") for t in LISTED_TABLES]
+    return listed.join(reduce(DataFrame.unionByName, counts), "name")
+
+
+@query("s1_scan_files", f"SELECT name, true AS all_filled, n_rows FROM ({LISTED_SQL})")
 def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored tables themselves as files; contents are not opened."""
-    found = files.scan_files(spark, [sf_dir], known=("parquet",))
-    return found.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length")
+    """The files of the stored tables, held against what the tables hold."""
+    return _with_rows(spark, sf_dir, files.scan_files(spark, [sf_dir], known=("parquet",)))
 
 
 @query("s2_expand_inputs", f"""
@@ -288,16 +303,14 @@ def s15_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- streams ------------------------------------------------------------------------------
 
-@query("t1s_incremental_catalog")
+@query("t1s_incremental_catalog", f"SELECT name, true AS all_filled, n_rows, CAST(0 AS BIGINT) AS new_files FROM ({LISTED_SQL})")
 def t1s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored tables streamed into a catalogue; a second look finds nothing new."""
     catalog, checkpoint = scratch_path(spark, "catalog"), scratch_path(spark, "offsets")
     start_catalog(spark, sf_dir, catalog, checkpoint, glob="*.parquet").awaitTermination()
     again = catalog_rescan(spark, sf_dir, catalog).agg(F.count("*").alias("new_files"))
     stored = spark.read.parquet(catalog)
-    return stored.select(
-        F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length",
-    ).withColumn("new_files", again.scalar())
+    return _with_rows(spark, sf_dir, stored).withColumn("new_files", again.scalar())
 
 
 THROTTLE_SQL = """

@@ -18,12 +18,10 @@ def new_files(batch: DataFrame, catalog: DataFrame | None) -> DataFrame:
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The stored catalogue; none if its folder does not exist, an error if it cannot be read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.parquet(path) if there else None
 
 
 def start_catalog(spark: SparkSession, source: str, catalog: str, checkpoint: str, *, glob: str | None = None):
