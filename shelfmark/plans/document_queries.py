@@ -64,7 +64,8 @@ _NL = "chr(10)"
 MARKDOWN = (
     f"'---' || {_NL} || 'title: d' || doc_id || {_NL} || '---' || {_NL} || '# Doc ' || doc_id || ' #' || {_NL} || {_NL}"
     f" || text || {_NL} || '- one' || {_NL} || '  - [x] two' || {_NL} || '3. [ ] three' || {_NL} || '```python' || {_NL} || '# not a heading' || {_NL} || doc_id || {_NL} || '```' || {_NL}"
-    f" || '> said' || {_NL} || '***' || {_NL} || '| a | b |' || {_NL} || '![p](x.png)' || {_NL} || '~~~' || {_NL} || 'open'"
+    f" || '> said' || {_NL} || '***' || {_NL} || 'a | b' || {_NL} || '--- | :-:' || {_NL} || '1 | ' || doc_id || {_NL} || '![p](x.png)' || {_NL}"
+    f" || 'Title ' || doc_id || {_NL} || '=====' || {_NL} || {_NL} || '    x = 1' || {_NL} || '    y' || {_NL} || '~~~' || {_NL} || 'open'"
 )
 
 
@@ -78,16 +79,20 @@ f AS (SELECT doc_id, unnest([
   {{'i': 1000001, 'kind': 'item', 'level': 1, 'text': 'one', 'lang': NULL, 'task': NULL}}, {{'i': 1000002, 'kind': 'item', 'level': 2, 'text': 'two', 'lang': NULL, 'task': true}},
   {{'i': 1000003, 'kind': 'item', 'level': 1, 'text': 'three', 'lang': NULL, 'task': false}}, {{'i': 1000004, 'kind': 'code', 'level': NULL, 'text': '# not a heading' || chr(10) || doc_id, 'lang': 'py', 'task': NULL}},
   {{'i': 1000005, 'kind': 'quote', 'level': NULL, 'text': 'said', 'lang': NULL, 'task': NULL}}, {{'i': 1000006, 'kind': 'rule', 'level': NULL, 'text': '', 'lang': NULL, 'task': NULL}},
-  {{'i': 1000007, 'kind': 'table', 'level': NULL, 'text': '| a | b |', 'lang': NULL, 'task': NULL}}, {{'i': 1000008, 'kind': 'image', 'level': NULL, 'text': '![p](x.png)', 'lang': NULL, 'task': NULL}},
-  {{'i': 1000009, 'kind': 'code', 'level': NULL, 'text': 'open', 'lang': 'plain', 'task': NULL}}], recursive := true) FROM documents),
+  {{'i': 1000007, 'kind': 'table', 'level': NULL, 'text': 'a | b' || chr(10) || '--- | :-:' || chr(10) || '1 | ' || doc_id, 'lang': NULL, 'task': NULL}}, {{'i': 1000008, 'kind': 'image', 'level': NULL, 'text': '![p](x.png)', 'lang': NULL, 'task': NULL}},
+  {{'i': 1000009, 'kind': 'heading', 'level': 1, 'text': 'Title ' || doc_id, 'lang': NULL, 'task': NULL}}, {{'i': 1000010, 'kind': 'code', 'level': NULL, 'text': 'x = 1' || chr(10) || 'y', 'lang': 'plain', 'task': NULL}},
+  {{'i': 1000011, 'kind': 'code', 'level': NULL, 'text': 'open', 'lang': 'plain', 'task': NULL}}], recursive := true) FROM documents),
 u AS (SELECT doc_id, i, kind, level, text, NULL AS lang, NULL AS task FROM t UNION ALL SELECT doc_id, i, kind, level, text, lang, task FROM f)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS ord, kind, CAST(level AS INT) AS level, text, lang, task FROM u""")
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS ord, kind, CAST(level AS INT) AS level, text, lang, task,
+  CASE WHEN kind = 'table' THEN '[["a","b"],["1","' || doc_id || '"]]' END AS cells FROM u""")
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(MARKDOWN).alias("md"))
-    return D.md_rows(docs, "doc_id", "md")
+    return D.md_rows(docs, "doc_id", "md").withColumn("cells", F.to_json("cells"))
 
 
-@query("d3_md_outline", "SELECT doc_id, 1 AS ord, 1 AS level, 'Doc ' || doc_id AS text FROM documents")
+@query("d3_md_outline", r"""
+SELECT doc_id, CAST(1 AS INT) AS ord, CAST(1 AS INT) AS level, 'Doc ' || doc_id AS text FROM documents
+UNION ALL SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\S'))) + 10 AS INT), 1, 'Title ' || doc_id FROM documents""")
 def d3_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(MARKDOWN).alias("md"))
     return D.md_outline(docs, "doc_id", "md")

@@ -227,3 +227,13 @@ def test_texts_are_decoded_to_the_end(spark):
     df = spark.range(1).select(F.encode(F.repeat(F.lit("abcdef"), 1_000_001), "UTF-8").alias("b"))
     assert df.select(F.length(decode_text(F.col("b"))).alias("n")).first()["n"] == 6_000_006
     assert {"kra", "sgi", "pnm", "ai", "eps", "blend32"} <= DEFAULT_KNOWN
+
+
+def test_markdown_tables_underlines_and_indented_code(evaluate):
+    doc = "a | b\n---|:-:\n1 | x \\| y\n2 | z\n\nTitle\n=====\nUnder\n---\n\n    code\n    more\ntext\n    not code\n| no | table |"
+    got = [(b["kind"], b["level"], b["text"], b["cells"]) for b in evaluate(markdown.md_blocks, [doc])[0]]
+    assert got == [
+        ("table", None, "a | b\n---|:-:\n1 | x \\| y\n2 | z", [["a", "b"], ["1", "x | y"], ["2", "z"]]),
+        ("heading", 1, "Title", None), ("heading", 2, "Under", None), ("code", None, "code\nmore", None),
+        ("para", None, "text", None), ("para", None, "not code", None), ("para", None, "| no | table |", None),
+    ]
