@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,19 +21,19 @@ def cover_candidates(entries: DataFrame) -> DataFrame:
     left" keeps exactly the best class an archive has: clean before credit, native before exotic.
     """
     name = F.col("name")
-    last = r"[^/\\]*$"
-    image = rf"(?i)(?:^|\.)(?:{'|'.join(C.COVER_IMAGE_EXTS)})$"
-    exotic = rf"(?i)(?:^|[./\\])(?:{'|'.join(C.LAST_RESORT_COVER_EXTS)})$"
-    credit = rf"(?i)(?:{'|'.join(C.CREDIT_WORDS)}){last}"
+    low = F.lower(name)
+    ext = F.substring_index(low, ".", -1)
+    last = F.substring_index(F.substring_index(low, "/", -1), "\\", -1)
+    credit = reduce(or_, [F.contains(last, F.lit(w)) for w in C.CREDIT_WORDS])
     # A thumbs.db is no image name, so the image test already drops it.
     return entries.filter(
         ~F.col("is_dir")
         & F.col("size").between(1, C.MAX_COVER_BYTES)
-        & name.rlike(image)
+        & ext.isin(*C.COVER_IMAGE_EXTS)
         & ~F.contains(name, F.lit("__MACOSX"))
     ).withColumns({
-        "_class": name.rlike(credit).cast("int") * 2 + name.rlike(exotic).cast("int"),
-        "_cover": name.rlike(rf"(?i)cover{last}"),
+        "_class": credit.cast("int") * 2 + ext.isin(*C.LAST_RESORT_COVER_EXTS).cast("int"),
+        "_cover": F.contains(last, F.lit("cover")),
     })
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import let
 
-# Fixed patterns: a heading, a bullet and the markers an unfilled template leaves behind.
-HEADING = r"(?m)^##[ ]+(\S[^\r\n]*?)[ ]*\r?$"
+# Fixed patterns: a bullet and the markers an unfilled template leaves behind.
 BULLET = r"(?m)^-[ ]+\S"
 MARKERS = (
     r"(?i)\b(?:TODO|TBD|CHANGEME)\b",
@@ -37,15 +36,27 @@ def split_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
     def judged(all_: Column) -> Column:
+        """Equal headings are neighbours once sorted, so one sort tells which stand alone."""
         return F.transform(
             all_,
-            lambda s: F.struct(
-                s["heading"].alias("heading"), s["body"].alias("body"),
-                (F.size(F.filter(all_, lambda o: o["heading"] == s["heading"])) == 1).alias("unique"),
+            lambda s, i: F.struct(
+                F.when(
+                    (s["heading"] == F.get(all_, i - 1)["heading"]) | (s["heading"] == F.get(all_, i + 1)["heading"]), False
+                ).otherwise(True).alias("unique"),
+                s["section"].alias("section"), s["heading"].alias("heading"), s["body"].alias("body"),
             ),
         )
 
-    rows = docs.select(key, F.posexplode(let(sections, judged)).alias("section", "_s"))
+    placed = F.transform(
+        sections, lambda s, i: F.struct(s["heading"].alias("heading"), i.alias("section"), s["body"].alias("body"))
+    )
+    marked = F.array_sort(
+        F.transform(
+            let(F.array_sort(placed), judged),
+            lambda s: F.struct(s["section"].alias("section"), s["heading"].alias("heading"), s["body"].alias("body"), s["unique"].alias("unique")),
+        )
+    )
+    rows = docs.select(key, F.explode(marked).alias("_s")).select(key, F.col("_s.section").cast("int").alias("section"), "_s")
     body = F.col("_s.body")
     return rows.select(
         key, "section", "_s.heading", "_s.body", "_s.unique",

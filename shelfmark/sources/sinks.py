@@ -73,7 +73,9 @@ def baseline_lines(passed: DataFrame, key: str, reasons: DataFrame | None = None
     keys = passed.select(F.col(key).alias("key")).distinct()
     if reasons is None:
         return keys.select("key", F.col("key").alias("line"))
-    joined = keys.join(reasons.select("key", "reason"), "key", "left")
+    # A key stands on one line, however often a reason is given for it.
+    reasons = reasons.groupBy("key").agg(F.min(F.nullif("reason", F.lit(""))).alias("reason"))
+    joined = keys.join(reasons, "key", "left")
     with_reason = F.concat("key", F.lit("  # "), "reason")
     return joined.select(
         "key",
