@@ -100,8 +100,8 @@ def _segments(parts: int) -> list[tuple[int, int]]:
     return [(sum(widths[:k]), width) for k, width in enumerate(widths)]
 
 
-def _index(prints: DataFrame, words: Sequence[str], parts: int) -> DataFrame:
-    """``words`` and ``key``: an entry for every segment of every word and left-out bit."""
+def _index(prints: DataFrame, words: Sequence[str], parts: int, *carried: str) -> DataFrame:
+    """``words``, ``carried`` and ``key``: an entry for every segment of every word and left-out bit."""
     entries = []
     for n, word in enumerate(words):
         for start, width in _segments(parts):
@@ -110,7 +110,7 @@ def _index(prints: DataFrame, words: Sequence[str], parts: int) -> DataFrame:
                 left = F.col(word).bitwiseAND(F.lit(_signed(mask & ~(1 << bit))))
                 tag = F.lit(_signed((n * BITS + bit) << _TAG))
                 entries.append(F.shiftrightunsigned(left, start).bitwiseOR(tag))
-    return prints.select(*words, F.explode(F.array(*entries)).alias("key"))
+    return prints.select(*words, *carried, F.explode(F.array(*entries)).alias("key"))
 
 
 def _distance(words: Sequence[str], a: str, b: str) -> Column:
@@ -193,27 +193,48 @@ def wide_prints(docs: DataFrame, words_each: int, seed: int = SEED) -> DataFrame
     return rows.mapInArrow(run, "doc_id long, text_hash long, p0 long, p1 long")
 
 
+def segment_links(prints: DataFrame, words: Sequence[str], max_bits: int, parts: int) -> DataFrame:
+    """Pairs (structs ``u`` and ``v``) of a print and the smallest one with an equal segment.
+
+    At most one link a segment, but in a dense group these connect nearly everything.
+    """
+    keys = [
+        F.shiftrightunsigned(F.col(w).bitwiseAND(F.lit(_signed(((1 << width) - 1) << start))), start)
+        .bitwiseOR(F.lit(_signed((n * BITS + start) << _TAG)))
+        for n, w in enumerate(words)
+        for start, width in _segments(parts)
+    ]
+    own = F.struct(*words)
+    entries = prints.select(own.alias("u"), F.explode(F.array(*keys)).alias("key"))
+    least = entries.groupBy("key").agg(F.min("u").alias("v"))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"u.{w}").bitwiseXOR(F.col(f"v.{w}"))) for w in words])
+    return entries.join(least, "key").filter((F.col("u") > F.col("v")) & (apart <= max_bits)).select("u", "v").distinct()
+
+
 def connecting_links(prints: DataFrame, words: Sequence[str], max_bits: int, parts: int) -> DataFrame:
     """Pairs of distinct prints (structs ``u`` and ``v``) that connect all pairs the index finds.
 
-    Where many prints share an entry, most lie close to its smallest one, the pivot.  Two prints
-    that are both linked to the pivot are connected through it, so the pair itself is left out;
-    all other pairs within ``max_bits`` are made.  (A link to a pivot may itself be left out at
-    its first entry for that entry's still smaller pivot, which connects the two.)  A dense group
-    so yields links in proportion to its members, not to their pairs.
+    ``prints`` has the words and ``comp``, a component that is known already: pairs within one are
+    left out, and so are entries all of whose prints lie in one.  Of the rest, two prints that are
+    both linked to the smallest print of their entry, the pivot, are connected through it, so
+    the pair itself is left out too.  (A link to a pivot may be left out at its first entry for
+    that entry's still smaller pivot, which connects the two.)  A dense group so yields
+    links in proportion to its members, not to their pairs.
     """
     own = F.struct(*words)
-    index = _index(prints, words, parts).repartition("key")
+    index = _index(prints, words, parts, "comp").repartition("key")
     by = Window.partitionBy("key")
-    index = index.withColumns({"pivot": F.min(own).over(by), "n": F.count("*").over(by)}).filter("n > 1")
+    index = index.withColumns({
+        "pivot": F.min(own).over(by), "low": F.min("comp").over(by), "high": F.max("comp").over(by),
+    }).filter("low < high")
     to_pivot = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"pivot.{w}"))) for w in words]
     index = index.withColumn("linked", reduce(lambda x, y: x + y, to_pivot) <= max_bits)
-    index = index.select(*words, "key", "linked", (own == F.col("pivot")).alias("is_pivot"))
+    index = index.select(*words, "comp", "key", "linked", (own == F.col("pivot")).alias("is_pivot"))
     a, b = index.alias("a"), index.alias("b")
     u, v = F.struct(*[f"a.{w}" for w in words]), F.struct(*[f"b.{w}" for w in words])
     needed = F.col("a.is_pivot") | ~(F.col("a.linked") & F.col("b.linked"))
     match = (
-        (F.col("a.key") == F.col("b.key")) & (u < v) & needed
+        (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & (u < v) & needed
         & (_distance(words, "a", "b") <= max_bits) & _first_entry(words, parts, "a", "b")
     )
     return a.join(b, match).select(u.alias("u"), v.alias("v"))
@@ -236,12 +257,21 @@ def similar_documents(
     low = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     node = F.xxhash64(*words)
     nodes = prints.groupBy(*words).agg(F.min(low).alias("first")).withColumn("node", node)
-    found = connecting_links(nodes.select(*words), words, max_bits, parts)
-    pairs = found.select(F.xxhash64("u.p0", "u.p1").alias("u"), F.xxhash64("v.p0", "v.p1").alias("v"))
-    roots = components(pairs).withColumnRenamed("node", "_node")
-    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left").select(
-        "node", "first", F.coalesce("root", "node").alias("root")
-    )
+    nodes = pin(nodes, "nodes")
+
+    def numbered(found: DataFrame) -> DataFrame:
+        return found.select(F.xxhash64("u.p0", "u.p1").alias("u"), F.xxhash64("v.p0", "v.p1").alias("v"))
+
+    def rooted_by(links_: DataFrame) -> DataFrame:
+        roots = components(links_).withColumnRenamed("node", "_node")
+        own = nodes.join(roots, F.col("node") == F.col("_node"), "left")
+        return own.select(*words, "node", "first", F.coalesce("root", "node").alias("root"))
+
+    # Equal segments first: what they connect needs no comparison of all pairs afterwards.
+    near = pin(rooted_by(numbered(segment_links(nodes, words, max_bits, parts))), "near")
+    known = near.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    rest = connecting_links(near.withColumnRenamed("root", "comp"), words, max_bits, parts)
+    rooted = pin(rooted_by(known.union(numbered(rest))).select("node", "first", "root"), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
     named = rooted.select("node", "root").join(least, "root")
     own = prints.withColumn("_own", node)
