@@ -255,21 +255,22 @@ def p11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p12_junk_sample", f"""
-WITH s AS (SELECT page_id, {case_of('page_id', ['', 'x', '404: Not Found ', 'ok <b>'])} || CASE WHEN page_id % 4 = 3 THEN left(html, 5 + page_id % 90) WHEN page_id % 4 = 1 THEN replace(html, '<', ' ') ELSE html END AS body FROM pages),
+WITH s AS (SELECT page_id, {case_of('page_id', ['', 'x', '404: Not Found ', 'ok <b>'])} || CASE WHEN page_id % 4 = 1 THEN replace(html, '<', ' ') ELSE html END AS body FROM pages
+  UNION ALL SELECT -1 - page_id, left(html, 5 + page_id % 90) FROM pages),
 h AS (SELECT page_id, strlen(body) AS n, left(body, 256) AS head FROM s)
 SELECT page_id, n < 64 OR regexp_matches(head, '(?im)^\\s*<!doctype\\s+html') OR regexp_matches(head, '(?im)^\\s*<html[\\s>]')
   OR regexp_matches(head, '(?i)404:?\\s*Not Found|Access Denied|<Error>') OR regexp_matches(head, '(?i)^version https://git-lfs') AS junk
 FROM h""")
 def p12(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix = F.expr(case_of("page_id", ["", "x", "404: Not Found ", "ok <b>"]))
-    which = F.col("page_id") % 4
-    body = (
-        F.when(which == 3, F.substring("html", F.lit(1), (5 + F.col("page_id") % 90).cast("int")))
-        .when(which == 1, F.replace("html", F.lit("<"), F.lit(" ")))
-        .otherwise(F.col("html"))
-    )
-    content = F.encode(F.concat(prefix, body), "UTF-8")
-    return table(spark, sf_dir, "pages").select("page_id", signatures.junk_sample(content).alias("junk"))
+    body = F.when(F.col("page_id") % 4 == 1, F.replace("html", F.lit("<"), F.lit(" "))).otherwise(F.col("html"))
+    pages = table(spark, sf_dir, "pages")
+    # Whole pages, and beside each one a short beginning of it.
+    short = F.substring("html", F.lit(1), (5 + F.col("page_id") % 90).cast("int"))
+    samples = pages.select("page_id", F.concat(prefix, body).alias("body")).union(
+        pages.select(-1 - F.col("page_id"), short)
+    )
+    return samples.select("page_id", signatures.junk_sample(F.encode("body", "UTF-8")).alias("junk"))
 
 
 @query("p13_valid_email", r"""

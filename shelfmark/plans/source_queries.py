@@ -169,11 +169,11 @@ def s8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s9_scan_locales", """
 SELECT CAST(conv_id AS VARCHAR) AS locale, CAST(turn AS INT) AS ord, 'k_' || (turn - turn % 2) AS key,
-  replace(replace(left(text, 12), chr(10), ' '), '"', '') AS value FROM conversations WHERE turn % 5 <> 4""")
+  replace(replace(text, chr(10), ' '), '"', '') AS value FROM conversations WHERE turn % 5 <> 4""")
 def s9(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.expr(
-        "CASE WHEN turn % 5 = 4 THEN '# ' || left(text, 5) ELSE 'k_' || (turn - turn % 2) || ' = \"' || "
-        "replace(replace(left(text, 12), chr(10), ' '), '\"', '') || '\"' END"
+        "CASE WHEN turn % 5 = 4 THEN '# ' || replace(text, chr(10), ' ') ELSE 'k_' || (turn - turn % 2) || ' = \"' || "
+        "replace(replace(text, chr(10), ' '), '\"', '') || '\"' END"
     )
     text = table(spark, sf_dir, "conversations").select(
         F.concat(F.col("conv_id").cast("string"), F.lit(".toml")).alias("file"),
