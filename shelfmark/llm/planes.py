@@ -126,35 +126,38 @@ class WordTokens:
         return [data[a:b] for a, b in zip([0, *last], last)]
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.remembered:
-            self.known.clear()
-            self.stems.clear()
-        new = [w for w in words if w not in self.known]
-        plain, other, stems = [], [], set()
-        for word in new:
+        """Ask for the ids of words that are not known."""
+        plain, other, letters, stops = [], [], set(), set()
+        for word in words:
             text = word.decode()
             stem = text.rstrip(self.STOPS)
             # A letter may turn into one and a mark in lower case, which would meet the stop.
-            if stem.lower().isalpha():
-                plain.append((word, stem, text[len(stem) :]))
-                stems.update({stem, text[len(stem) :]} - self.stems.keys())
+            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
+                stop = text[len(stem) :]
+                plain.append((word, stem, stop))
+                letters.add(stem)
+                stops.add(stop)
             else:
                 other.append(word)
-        letters = [x for x in stems if x.isalpha()]
-        stops = [x for x in stems if not x.isalpha()]
+        letters, stops = list(letters.difference(self.stems)), list(stops.difference(self.stems))
         if letters:
             self.stems.update(zip(letters, self._together(letters)))
         self.stems.update(zip(stops, self._each(stops)))
-        self.known.update((word, self.stems[stem] + self.stems[stop]) for word, stem, stop in plain)
+        stems = self.stems
+        self.known.update([(word, stems[stem] + stems[stop]) for word, stem, stop in plain])
         self.known.update(zip(other, self._each([w.decode() for w in other])))
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         # The vocabulary is lower case; only its special tokens must stay as they are written.
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self.learn({w for words in split for w in words})
+        words = set().union(*split)
+        if len(self.known) + len(words) > self.remembered:
+            self.known.clear()
+            self.stems.clear()
+        self.learn(words.difference(self.known))
         known = self.known.__getitem__
-        for words in split:
-            yield np.frombuffer(b"".join(map(known, words)), dtype="<u4")
+        for own in split:
+            yield np.frombuffer(b"".join(map(known, own)), dtype="<u4")
 
 
 _SEGMENTS = pa.schema([
