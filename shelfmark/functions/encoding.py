@@ -79,15 +79,29 @@ def text_encoding(content: Column) -> Column:
     )
 
 
+def _plain_utf16(raw: Column, kind: Column) -> Column:
+    """Text of UTF-16 bytes without surrogate units, which the JVM reads; NULL for all others."""
+    size = F.octet_length(raw)
+    skip = F.when(kind.endswith("-sniffed"), 0).otherwise(2)
+    body = F.substring(raw, skip + 1, (F.floor((size - skip) / 2) * 2).cast("int"))
+    little = kind.startswith("utf-16le")
+    surrogate = F.when(little, F.hex(body).rlike("^(?:....)*?..D[89A-F]")).otherwise(
+        F.hex(body).rlike("^(?:....)*?D[89A-F]..")
+    )
+    text = F.when(little, F.decode(body, "UTF-16LE")).otherwise(F.decode(body, "UTF-16BE"))
+    return F.when(kind.startswith("utf-16") & ~surrogate, text)
+
+
 def decode_text(content: Column, cap: int | None = None) -> Column:
     """Bytes to text: marks first, then the UTF-16 pattern, strict UTF-8, and legacy code pages.
 
-    UTF-8 never leaves the JVM.  Other rows are decoded in Arrow batches, and their candidate
+    UTF-8, and UTF-16 without surrogates, never leave the JVM.  Other rows are decoded in Arrow batches, and their candidate
     readings are scored back in Spark: the best plausible one wins, ties go to the earlier page.
     """
     raw = content if cap is None else F.substring(content, 1, cap)
     kind = text_encoding(raw)
-    in_jvm = kind.isin("utf-8", "utf-8-bom")
+    wide = _plain_utf16(raw, kind)
+    in_jvm = kind.isin("utf-8", "utf-8-bom") | wide.isNotNull()
     readings = _decode_readings(F.when(~in_jvm, kind), F.when(~in_jvm, raw))
     scored = F.transform(
         F.slice(readings, 1, len(LEGACY_CODECS)),
@@ -100,6 +114,7 @@ def decode_text(content: Column, cap: int | None = None) -> Column:
     return (
         F.when(kind == "utf-8", raw.cast("string"))
         .when(kind == "utf-8-bom", F.make_valid_utf8(body.cast("string")))
+        .when(wide.isNotNull(), wide)
         .when(kind == "legacy", F.coalesce(best, F.element_at(readings, -1)))
         .otherwise(F.get(readings, 0))
     )

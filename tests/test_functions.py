@@ -237,3 +237,15 @@ def test_markdown_tables_underlines_and_indented_code(evaluate):
         ("heading", 1, "Title", None), ("heading", 2, "Under", None), ("code", None, "code\nmore", None),
         ("para", None, "text", None), ("para", None, "not code", None), ("para", None, "| no | table |", None),
     ]
+
+
+def test_utf16_with_and_without_surrogates(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.functions.encoding import decode_text
+
+    texts = ["plain text of some length", "ünï 日本 text", "🙂 smile", "\ud7ff\ue000 edges", ""]
+    rows = [(t, bytearray(mark + t.encode(codec))) for t in texts for mark, codec in ((b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))]
+    rows += [("odd", bytearray(b"\xff\xfe" + "odd".encode("utf-16-le") + b"x")), ("\ufffdx", bytearray(b"\xff\xfe\x00\xd8x\x00"))]
+    got = spark.createDataFrame(rows, "want string, b binary").select("want", decode_text(F.col("b")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
