@@ -19,7 +19,6 @@ that a third of all documents share arrives once a task, not once a document.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
