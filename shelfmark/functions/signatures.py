@@ -39,11 +39,6 @@ def is_binary(content: Column) -> Column:
     return F.contains(F.substring(content, 1, C.TEXT_SNIFF_BYTES + 1), F.unhex(F.lit("0000")))
 
 
-def looks_like_text(content: Column) -> Column:
-    head = F.substring(content, 1, C.TEXT_SNIFF_BYTES)
-    return (F.octet_length(head) > 0) & ~F.contains(head, F.unhex(F.lit("0000")))
-
-
 def read_head(content: Column, length: Column, cap: int) -> Column:
     """First ``cap`` bytes and whether the file was longer."""
     return F.struct(F.substring(content, 1, cap).alias("head"), (length > cap).alias("was_longer"))

@@ -19,10 +19,6 @@ def slowest_k(df: DataFrame, by: str, k: int, tie: str = "name") -> DataFrame:
     return df.orderBy(F.col(by).desc(), F.col(tie)).limit(k)
 
 
-def largest_first(df: DataFrame, size: str, *ties: str) -> DataFrame:
-    return df.orderBy(F.col(size).desc(), *ties)
-
-
 def first_n_of_m(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
     """The first ``n`` rows together with the exact total."""
     return df.orderBy(*order).limit(n).withColumn("total", df.agg(F.count("*")).scalar())

@@ -1,4 +1,4 @@
-"""Picks, plans and neighbours: what the reference walks in order, as windows that stay bounded."""
+"""Picks, plans and neighbours: what a serial walk would do in order, as windows that stay bounded."""
 
 from __future__ import annotations
 

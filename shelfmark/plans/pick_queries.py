@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import limits, picks, summaries
 from ..operators.ordering import natural_key, natural_order
-from .derived import ENTRIES_CTE, FILES_CTE, event_runs, line_entries, part_files
+from .derived import ENTRIES_CTE, FILES_CTE, line_entries, part_files
 from .registry import query, table
 
 # Natural sort key in plain SQL: digit runs as (length, digits), other runs as they are.

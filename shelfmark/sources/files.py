@@ -6,7 +6,6 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .. import constants as C
 from ..functions.paths import DEFAULT_KNOWN, extension, is_known
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
