@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import carried, carried_type
+from .common import carried, carried_type, keyed_text
 
 GRAM = 4
 SLOTS = 1 << 21
@@ -200,7 +200,7 @@ def identify(
 ) -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text; ``und`` and 0 for null or letterless ones.
 
-    With ``carry`` the whole input row comes along as a struct ``row``.
+    With ``carry`` the whole input row comes along as a struct ``row``, in place of the key.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.slots, model.false_share()))
     languages, probes, gram = model.languages, model.probes, model.gram
@@ -210,7 +210,8 @@ def identify(
         own = LanguageFilter(languages, slots, probes, gram)
         for batch in batches:
             names, scores = [], []
-            for _, texts in _grouped([batch.select(["text"])]):
+            column = batch.column("row").field(text) if carry else batch.column("text")
+            for _, texts in _grouped([pa.RecordBatch.from_arrays([column], ["text"])]):
                 some_names, some_scores = own.predict(texts, false_share)
                 names += some_names
                 scores += some_scores
@@ -220,6 +221,7 @@ def identify(
                 [*others, "lang_pred", "score"],
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carried(docs, carry))
-    schema = f"doc_id long, {carried_type(rows)}lang_pred string, score double"
+    # A carried row holds the text already; it does not travel twice.
+    rows = docs.select(*carried(docs, carry)) if carry else keyed_text(docs, key, text)
+    schema = f"{carried_type(rows) or 'doc_id long, '}lang_pred string, score double"
     return rows.mapInArrow(run, schema)
