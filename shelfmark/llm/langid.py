@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +29,12 @@ MAX_LANGUAGES = 63
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@cache
-def _letters() -> np.ndarray:
+def letter_table() -> np.ndarray:
+    """Which code points are letters."""
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool)
 
 
-def gram_hashes(texts: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def gram_hashes(texts: list[str], gram: int, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every letter n-gram, all texts at once.
 
     Texts are lower-cased and everything between letters is one space; a text has a space more
@@ -44,7 +43,7 @@ def gram_hashes(texts: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndar
     codes, owners = [], []
     for k, text in enumerate(texts):
         code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        letter = _letters()[code]
+        letter = letters[code]
         code = np.where(letter, code, 0)
         code = code[letter | np.concatenate([[True], letter[:-1]])] if len(code) else code
         if not code.any():
@@ -83,11 +82,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterato
 
 def _count(gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters = letter_table()
         for rows, texts in _grouped(batches):
             langs = sorted({r[0] for r in rows})
             number = {lang: k for k, lang in enumerate(langs)}
             lang = np.array([number[r[0]] for r in rows])
-            hashes, owner = gram_hashes(texts, gram)
+            hashes, owner = gram_hashes(texts, gram, letters)
             for k, name in enumerate(langs):
                 values, counts = np.unique(hashes[lang[owner] == k], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -134,13 +134,13 @@ class LanguageFilter:
             masks &= self.slots[place]
         return masks
 
-    def predict(self, texts: list[str], false_share: np.ndarray) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str], false_share: np.ndarray, letters: np.ndarray) -> tuple[list[str], list[float]]:
         """Language and score of each text.
 
         A language's popcount is corrected for the grams that pass by chance; the largest share
         decides, the first language in order of name among equal ones.
         """
-        hashes, owner = gram_hashes(texts, self.gram)
+        hashes, owner = gram_hashes(texts, self.gram, letters)
         total = np.bincount(owner, minlength=len(texts)).astype(float)
         if not self.languages or not len(hashes):
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -206,13 +206,13 @@ def identify(
     languages, probes, gram = model.languages, model.probes, model.gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, false_share = shared.value
+        (slots, false_share), letters = shared.value, letter_table()
         own = LanguageFilter(languages, slots, probes, gram)
         for batch in batches:
             names, scores = [], []
             column = batch.column("row").field(text) if carry else batch.column("text")
             for _, texts in _grouped([pa.RecordBatch.from_arrays([column], ["text"])]):
-                some_names, some_scores = own.predict(texts, false_share)
+                some_names, some_scores = own.predict(texts, false_share, letters)
                 names += some_names
                 scores += some_scores
             others = [n for n in batch.schema.names if n != "text"]

@@ -36,7 +36,7 @@ END_ID = 2
 LEVEL = 3
 
 # Distinct words whose ids a task remembers; beyond that it starts over.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 
 _HEAD = "<4scIQ"
 _PLANES = {b"B": 4, b"b": 32}
@@ -109,7 +109,7 @@ class WordTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith(self.WORD_END)]] = True
         self.encode_batch = tokenizer.encode_batch_fast
-        self.remembered, self.known, self.stems = remembered, {}, {}
+        self.remembered, self.known = remembered, {}
 
     def _each(self, words: list[str]) -> list[bytes]:
         found = self.encode_batch(words, add_special_tokens=False)
@@ -133,19 +133,20 @@ class WordTokens:
             stem = text.rstrip(self.STOPS)
             # A letter may turn into one and a mark in lower case, which would meet the stop.
             if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
-                stop = text[len(stem) :]
-                plain.append((word, stem, stop))
-                letters.add(stem)
-                stops.add(stop)
+                own, stop = word[: len(word) - len(text) + len(stem)], text[len(stem) :].encode()
+                letters.add(own)
+                if stop:
+                    stops.add(stop)
+                    plain.append((word, own, stop))
             else:
                 other.append(word)
-        letters, stops = list(letters.difference(self.stems)), list(stops.difference(self.stems))
-        if letters:
-            self.stems.update(zip(letters, self._together(letters)))
-        self.stems.update(zip(stops, self._each(stops)))
-        stems = self.stems
-        self.known.update([(word, stems[stem] + stems[stop]) for word, stem, stop in plain])
-        self.known.update(zip(other, self._each([w.decode() for w in other])))
+        known = self.known
+        stems = list(letters.difference(known))
+        other += stops.difference(known)
+        if stems:
+            known.update(zip(stems, self._together([x.decode() for x in stems])))
+        known.update(zip(other, self._each([x.decode() for x in other])))
+        known.update([(word, known[stem] + known[stop]) for word, stem, stop in plain])
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         # The vocabulary is lower case; only its special tokens must stay as they are written.
@@ -153,7 +154,6 @@ class WordTokens:
         words = set().union(*split)
         if len(self.known) + len(words) > self.remembered:
             self.known.clear()
-            self.stems.clear()
         self.learn(words.difference(self.known))
         known = self.known.__getitem__
         for own in split:
@@ -198,15 +198,16 @@ def _write_segments(tokenizer_path: str, end_id: int, kind: bytes, segment_ids:
 
 def write_tokens(
     docs: DataFrame, tokenizer_path: str, path: str, *, end_id: int = END_ID, kind: bytes = b"B",
-    segment_ids: int = SEGMENT_IDS, key: str = "doc_id", text: str = "text",
+    segment_ids: int = SEGMENT_IDS, shards: int | None = None, key: str = "doc_id", text: str = "text",
 ) -> None:
     """Write every document's ids and ``end_id``, in ascending ``doc_id`` order, to ``path``.
 
     A null ``doc_id`` comes first, rows that repeat one follow in text order; a null or empty text
-    has the end id alone.
+    has the end id alone.  ``shards`` are by default a quarter of the shuffle partitions: a task
+    asks the library for each word once, so longer tasks ask less.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     ordered = (
         keyed_text(docs, key, text)
         .repartitionByRange(shards, "doc_id")

@@ -34,7 +34,7 @@ def test_languages(labelled):
 def test_the_filter_returns_every_language_of_a_gram(spark):
     both = spark.createDataFrame([("x", "same"), ("y", "same"), ("z", "else")], "lang string, text string")
     model = langid.learn(both, slots=1 << 12)
-    hashes, _ = langid.gram_hashes(["same"])
+    hashes, _ = langid.gram_hashes(["same"], langid.GRAM, langid.letter_table())
     assert {int(m) & 7 for m in model.languages_of(hashes)} == {0b011}
 
 
