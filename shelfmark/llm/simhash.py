@@ -19,9 +19,15 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
 
-# For texts that are similar rather than nearly equal: 128 bits, of which as many may differ.
-WIDE_BITS = 24
-WIDE_PARTS = 3
+# Texts are similar that have this part of all their five-word shingles in common.
+SIMILAR_WORDS = 5
+SIMILAR_PERCENT = 80
+
+# Which texts are sampled for frequent shingles, from how many of them on a shingle is frequent,
+# and how many such shingles every executor gets at most.
+SAMPLE_EVERY = 16
+COMMON_TIMES = 3
+COMMON_SHINGLES = 1 << 20
 
 # An entry's key holds a segment's bits below and the number of the left-out bit from here on.
 _TAG = 57
@@ -177,105 +183,155 @@ def hex_print(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def wide_prints(docs: DataFrame, words_each: int, seed: int = SEED) -> DataFrame:
-    """``doc_id, text_hash, p0, p1``: a SimHash of 128 bits in two words."""
+def shingle_set(text: bytes, words_each: int = SIMILAR_WORDS) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, in order; a text of fewer words is one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    count, digest = max(1, len(words) - words_each + 1), xxhash.xxh64_intdigest
+    spans = (digest(b" ".join(words[k : k + words_each]), SEED) for k in range(count))
+    return np.unique(np.fromiter(spans, dtype=np.uint64, count=count))
+
+
+def _common_shingles(texts: DataFrame, words_each: int) -> np.ndarray:
+    """Shingles that are frequent in a sample of the texts.
+
+    They only decide in which order shingles are indexed, so neither the sample nor the bound
+    has a part in what is found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in text_bytes(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words_each).view(np.int64))], ["gram"])
+
+    sample = texts.filter(F.pmod("text_hash", F.lit(SAMPLE_EVERY)) == 0).select("text")
+    often = sample.mapInArrow(run, "gram long").groupBy("gram").count().filter(F.col("count") >= COMMON_TIMES)
+    found = often.orderBy(F.desc("count"), "gram").select("gram").limit(COMMON_SHINGLES).toArrow()
+    return np.sort(found["gram"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def shingle_prefixes(texts: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """``doc_id, text_hash, node, size, prefix`` of rows of ``doc_id, text, text_hash``.
+
+    ``node`` stands for the set of shingles.  ``prefix`` has its first shingles in an order that
+    is one for all texts (those not known as frequent first, then by hash): as many that two sets
+    with ``percent`` of their union in common share one of them.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, words_each))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for batch in batches:
-            texts = text_bytes(batch.column("text"))
-            halves = [[fingerprint_of(t, words_each, seed + n) for t in texts] for n in range(2)]
-            values = [pa.array(np.array(h, dtype=np.uint64).view(np.int64)) for h in halves]
+            nodes, sizes, prefixes = [], [], []
+            for text in text_bytes(batch.column("text")):
+                grams = shingle_set(text, words_each)
+                often = np.isin(grams, common, assume_unique=True)
+                length = len(grams) - -(-percent * len(grams) // 100) + 1 if len(grams) else 0
+                prefixes.append(np.concatenate([grams[~often], grams[often]])[:length].view(np.int64))
+                nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
+                sizes.append(len(grams))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), *values], ["doc_id", "text_hash", "p0", "p1"]
+                [batch.column("doc_id"), batch.column("text_hash"),
+                 pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
+                 pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "node", "size", "prefix"],
             )
 
-    rows = keyed_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, p0 long, p1 long")
+    return texts.mapInArrow(run, "doc_id long, text_hash long, node long, size long, prefix array<long>")
 
 
-def segment_links(prints: DataFrame, words: Sequence[str], max_bits: int, parts: int) -> DataFrame:
-    """Pairs (structs ``u`` and ``v``) of a print and the smallest one with an equal segment.
+def _may_share(a: str, b: str, percent: int) -> Column:
+    """Whether sets with a common shingle at places ``at`` can have ``percent`` of their union in common.
 
-    At most one link a segment, but in a dense group these connect nearly everything.
+    Said of the first common shingle, which every pair that does has in both prefixes.
     """
-    keys = [
-        F.shiftrightunsigned(F.col(w).bitwiseAND(F.lit(_signed(((1 << width) - 1) << start))), start)
-        .bitwiseOR(F.lit(_signed((n * BITS + start) << _TAG)))
-        for n, w in enumerate(words)
-        for start, width in _segments(parts)
-    ]
-    own = F.struct(*words)
-    entries = prints.select(own.alias("u"), F.explode(F.array(*keys)).alias("key"))
-    least = entries.groupBy("key").agg(F.min("u").alias("v"))
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"u.{w}").bitwiseXOR(F.col(f"v.{w}"))) for w in words])
-    return entries.join(least, "key").filter((F.col("u") > F.col("v")) & (apart <= max_bits)).select("u", "v").distinct()
-
-
-def connecting_links(prints: DataFrame, words: Sequence[str], max_bits: int, parts: int) -> DataFrame:
-    """Pairs of distinct prints (structs ``u`` and ``v``) that connect all pairs the index finds.
-
-    ``prints`` has the words and ``comp``, a component that is known already: pairs within one are
-    left out, and so are entries all of whose prints lie in one.  Of the rest, two prints that are
-    both linked to the smallest print of their entry, the pivot, are connected through it, so
-    the pair itself is left out too.  (A link to a pivot may be left out at its first entry for
-    that entry's still smaller pivot, which connects the two.)  A dense group so yields
-    links in proportion to its members, not to their pairs.
-    """
-    own = F.struct(*words)
-    index = _index(prints, words, parts, "comp").repartition("key")
-    by = Window.partitionBy("key")
-    index = index.withColumns({
-        "pivot": F.min(own).over(by), "low": F.min("comp").over(by), "high": F.max("comp").over(by),
-    }).filter("low < high")
-    to_pivot = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"pivot.{w}"))) for w in words]
-    index = index.withColumn("linked", reduce(lambda x, y: x + y, to_pivot) <= max_bits)
-    index = index.select(*words, "comp", "key", "linked", (own == F.col("pivot")).alias("is_pivot"))
-    a, b = index.alias("a"), index.alias("b")
-    u, v = F.struct(*[f"a.{w}" for w in words]), F.struct(*[f"b.{w}" for w in words])
-    needed = F.col("a.is_pivot") | ~(F.col("a.linked") & F.col("b.linked"))
-    match = (
-        (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & (u < v) & needed
-        & (_distance(words, "a", "b") <= max_bits) & _first_entry(words, parts, "a", "b")
+    size, other = F.col(f"{a}.size"), F.col(f"{b}.size")
+    most = F.least(size - F.col(f"{a}.at"), other - F.col(f"{b}.at"))
+    return most * (100 + percent) >= F.lit(percent) * (size + other)
+
+
+def verified_links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """Those of the pairs ``u, v`` of nodes whose sets have at least ``percent`` of their union in common."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [shingle_set(t, words_each).tobytes() for t in text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.binary())], ["node", "grams"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(100 * both >= percent * (len(a) + len(b) - both))
+            kept = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"])
+            yield kept.filter(pa.array(good, pa.bool_()))
+
+    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    first = nodes.join(named, "node").select(
+        "node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")
     )
-    return a.join(b, match).select(u.alias("u"), v.alias("v"))
+    match = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    own = texts.join(first, match).select("node", "text").mapInArrow(read, "node long, grams binary")
+    own = pin(own.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
+    left = own.select(F.col("node").alias("u"), F.col("grams").alias("a"))
+    right = own.select(F.col("node").alias("v"), F.col("grams").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def similar_documents(
-    docs: DataFrame, *, words_each: int = 5, max_bits: int = WIDE_BITS, parts: int = WIDE_PARTS, seed: int = SEED
+    docs: DataFrame, *, words_each: int = SIMILAR_WORDS, percent: int = SIMILAR_PERCENT
 ) -> DataFrame:
     """``doc_id, text_hash, component_id, first_id, first_hash`` of every row, for similar texts.
 
-    Texts are linked where two SimHashes of five-word shingles differ in at most ``max_bits`` of
-    their 128 bits together: about where four fifths of the shingles are shared.  Candidates are
-    pairs that agree on a segment but for one bit; texts that share nine tenths do so nearly
-    always, texts at four fifths in about every second case.  ``first_id`` and ``first_hash`` name the row
-    that stands for the component: the smallest ``doc_id``, a null one only if there is no other,
-    then the smallest text hash.
+    Texts are linked where their sets of word shingles have at least ``percent`` of their union
+    in common, and only there.  Candidates are all pairs with a common shingle in their prefixes,
+    which misses no such pair; each is then compared by its whole sets.  Every set is compared
+    with the smallest node at each of its prefix shingles first, and only pairs that these
+    links leave in different components are compared after that: a dense group needs comparisons
+    in proportion to its members.  ``first_id`` and ``first_hash`` name the row that stands for
+    the component: the smallest ``doc_id``, a null one only if there is no other, then the
+    smallest text hash.
     """
-    words = ["p0", "p1"]
-    prints = pin(wide_prints(docs, words_each, seed), "prints")
+    texts = keyed_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    prints = pin(shingle_prefixes(texts, words_each, percent), "prints")
     low = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    node = F.xxhash64(*words)
-    nodes = prints.groupBy(*words).agg(F.min(low).alias("first")).withColumn("node", node)
-    nodes = pin(nodes, "nodes")
-
-    def numbered(found: DataFrame) -> DataFrame:
-        return found.select(F.xxhash64("u.p0", "u.p1").alias("u"), F.xxhash64("v.p0", "v.p1").alias("v"))
-
-    def rooted_by(links_: DataFrame) -> DataFrame:
-        roots = components(links_).withColumnRenamed("node", "_node")
-        own = nodes.join(roots, F.col("node") == F.col("_node"), "left")
-        return own.select(*words, "node", "first", F.coalesce("root", "node").alias("root"))
-
-    # Equal segments first: what they connect needs no comparison of all pairs afterwards.
-    near = pin(rooted_by(numbered(segment_links(nodes, words, max_bits, parts))), "near")
-    known = near.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    rest = connecting_links(near.withColumnRenamed("root", "comp"), words, max_bits, parts)
-    rooted = pin(rooted_by(known.union(numbered(rest))).select("node", "first", "root"), "rooted")
+    nodes = pin(prints.groupBy("node").agg(F.min(low).alias("first")), "nodes")
+
+    sets = prints.dropDuplicates(["node"]).select("node", "size", F.posexplode("prefix").alias("at", "gram"))
+    by = Window.partitionBy("gram")
+    sets = sets.repartition("gram").withColumns({
+        "low": F.min(F.struct("node", "size", "at")).over(by), "high": F.max("node").over(by),
+    })
+    sets = pin(sets.filter("low.node < high").drop("high"), "shared")
+
+    to_low = sets.filter((F.col("node") > F.col("low.node")))
+    to_low = to_low.select(F.struct("node", "size", "at").alias("a"), F.col("low").alias("b"))
+    near = to_low.filter(_may_share("a", "b", percent)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    near = pin(near.distinct(), "near")
+    links_ = pin(verified_links(near, texts, nodes, words_each, percent), "links")
+
+    roots = components(links_).withColumnsRenamed({"node": "_node", "root": "_root"})
+    comps = sets.filter(F.col("node") > F.col("low.node")).join(roots, F.col("node") == F.col("_node"), "left")
+    comps = comps.select("node", "size", "at", "gram", F.coalesce("_root", "node").alias("comp")).repartition("gram")
+    comps = comps.withColumns({"one": F.min("comp").over(by), "other": F.max("comp").over(by)}).filter("one < other")
+    a, b = comps.alias("a"), comps.alias("b")
+    match = (
+        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") != F.col("b.comp"))
+        & (F.col("a.node") < F.col("b.node")) & _may_share("a", "b", percent)
+    )
+    far = a.join(b, match).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    far = pin(far, "far")
+    links_ = links_.union(verified_links(far, texts, nodes, words_each, percent))
+
+    roots = components(links_).withColumnRenamed("node", "_node")
+    rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left")
+    rooted = pin(rooted.select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    named = rooted.select("node", "root").join(least, "root")
-    own = prints.withColumn("_own", node)
-    return own.join(named, F.col("_own") == F.col("node")).select(
+    named = rooted.select("node", "root").join(least, "root").withColumnRenamed("node", "_own")
+    return prints.join(named, F.col("node") == F.col("_own")).select(
         "doc_id", "text_hash", F.col("root").alias("component_id"),
         F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"),
     )

@@ -145,3 +145,37 @@ def test_the_texts_are_exchanged_once(odd):
         odd.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def similar_groups(texts, percent=80):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_similar_texts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SAMPLE_EVERY", 2)
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    frame = rng.choices(words, k=90)
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=300)
+        for edits in rng.sample(range(4, 12), 2):
+            copy = list(base)
+            for at in rng.sample(range(300), edits):
+                copy[at] = "changed" + str(rng.random())
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base))
+    # Texts that share a frame, most of them less of it than four fifths.
+    texts += [" ".join(frame + rng.choices(words, k=rng.randint(10, 60))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.first_id for r in simhash.similar_documents(docs).collect()}
+    expected = similar_groups(texts)
+    assert [got[k] for k in range(len(texts))] == expected
+    assert 60 < len(set(expected)) < len(texts) - 40
