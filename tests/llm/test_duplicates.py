@@ -179,3 +179,14 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch):
     expected = similar_groups(texts)
     assert [got[k] for k in range(len(texts))] == expected
     assert 60 < len(set(expected)) < len(texts) - 40
+
+
+def test_texts_of_one_frame_stay_apart(spark):
+    rng = random.Random(10)
+    words = [f"w{k}" for k in range(3000)]
+    frame = rng.choices(words, k=150)
+    # Any two have 146 shingles of about 186 to 246 in common: under four fifths, and many by little.
+    texts = [" ".join(frame + rng.choices(words, k=rng.randint(24, 50))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert similar_groups(texts) == list(range(120))
+    assert simhash.one_of_each(docs).count() == 120
