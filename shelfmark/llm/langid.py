@@ -10,21 +10,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..scratch import pin
 from .common import carried, carried_type, keyed_text
 
 GRAM = 4
 SLOTS = 1 << 21
 PROBES = 3
 
-# A gram is a language's own from this share of its grams on, so a language has at most
-# 1 / LEAST_SHARE of them, however large the corpus.
-LEAST_SHARE = 1e-5
-# And from this part of the share that it has in the language where it is most common, so that
-# wrongly labelled rows do not make all grams everyone's.
+# A filter has at least this many slots for each gram, so it grows with what there is to tell apart.
+SLOTS_EACH = 4
+
+# A gram is a language's own from this part of the share that it has in the language where it is
+# most common, so that wrongly labelled rows do not make all grams everyone's.
 LEAST_PART = 0.2
 
 UNKNOWN = "und"
-MAX_LANGUAGES = 63
+# Languages in one bitmask; there are as many masks a slot as the languages need.
+MASK_BITS = 63
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -115,7 +117,10 @@ def _probes(hashes: np.ndarray, slots: int, probes: int) -> Iterator[np.ndarray]
 
 @dataclass(frozen=True)
 class LanguageFilter:
-    """The slots (a bitmask of languages each), and how often each language's bits lie."""
+    """The slots and how often each language's bits lie.
+
+    ``slots`` has a row of bitmasks for every ``MASK_BITS`` languages, as narrow as they allow.
+    """
 
     languages: tuple[str, ...]
     slots: np.ndarray
@@ -124,30 +129,34 @@ class LanguageFilter:
 
     def false_share(self) -> np.ndarray:
         """Chance that a gram of no language passes a language's filter."""
-        bits = (self.slots[:, None] >> np.arange(len(self.languages), dtype=np.int64)) & 1
-        return bits.mean(axis=0) ** self.probes
-
-    def languages_of(self, hashes: np.ndarray) -> np.ndarray:
-        """Bitmask of all languages that contain each gram."""
-        masks = np.full(len(hashes), -1, dtype=np.int64)
-        for place in _probes(hashes, len(self.slots), self.probes):
-            masks &= self.slots[place]
+        each = [np.mean((self.slots[k // MASK_BITS] >> k % MASK_BITS) & 1) for k in range(len(self.languages))]
+        return np.array(each) ** self.probes
+
+    def languages_of(self, hashes: np.ndarray, group: int = 0) -> np.ndarray:
+        """Bitmask of all languages (of one group of ``MASK_BITS``) that contain each gram."""
+        slots = self.slots[group]
+        masks = np.full(len(hashes), -1, dtype=slots.dtype)
+        for place in _probes(hashes, len(slots), self.probes):
+            masks &= slots[place]
         return masks
 
     def predict(self, texts: list[str], false_share: np.ndarray, letters: np.ndarray) -> tuple[list[str], list[float]]:
         """Language and score of each text.
 
         A language's popcount is corrected for the grams that pass by chance; the largest share
-        decides, the first language in order of name among equal ones.
+        decides, the first language in order of name among equal ones.  A text with letters but
+        without a gram of any language has a share of zero in all: it gets the first one too, with
+        score zero.
         """
         hashes, owner = gram_hashes(texts, self.gram, letters)
         total = np.bincount(owner, minlength=len(texts)).astype(float)
         if not self.languages or not len(hashes):
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        masks = self.languages_of(hashes)
         shares = np.zeros((len(self.languages), len(texts)))
         for k, by_chance in enumerate(false_share):
-            hits = np.bincount(owner, weights=(masks >> k) & 1, minlength=len(texts))
+            if k % MASK_BITS == 0:
+                masks = self.languages_of(hashes, k // MASK_BITS)
+            hits = np.bincount(owner, weights=(masks >> k % MASK_BITS) & 1, minlength=len(texts))
             own = (hits - total * by_chance) / max(1e-9, 1 - by_chance)
             shares[k] = np.clip(own / np.maximum(total, 1), 0, 1)
         best = shares.argmax(axis=0)
@@ -161,37 +170,50 @@ def _fill(slots: int, probes: int) -> Callable:
         for batch in batches:
             hashes, masks = batch.column("gram").to_numpy().view(np.uint64), batch.column("mask")
             for place in _probes(hashes, slots, probes):
-                yield pa.RecordBatch.from_arrays([pa.array(place), masks], ["slot", "mask"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("part"), pa.array(place), masks], ["part", "slot", "mask"]
+                )
 
     return run
 
 
 def learn(
-    labelled: DataFrame, *, gram: int = GRAM, slots: int = SLOTS, probes: int = PROBES,
-    least_share: float = LEAST_SHARE, least_part: float = LEAST_PART,
+    labelled: DataFrame, *, gram: int = GRAM, slots: int = SLOTS, probes: int = PROBES, least_part: float = LEAST_PART
 ) -> LanguageFilter:
     """Fit the filter on all rows of ``lang, text``.
 
-    Counting and filling run on Spark; the driver gets the languages (63 at most) and the filled
-    slots, whose number is fixed.
+    Every gram that stands out in a language against the others is kept, however rare it is.
+    Counting and filling run on Spark; the driver gets the languages and the filled slots: at least
+    ``slots``, and ``SLOTS_EACH`` for every gram, of a byte each for up to seven languages and of
+    eight for every 63.
     """
-    counts = gram_counts(labelled, gram)
+    counts = pin(gram_counts(labelled, gram), "grams")
     every = Window.partitionBy("gram")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = tuple(r.lang for r in totals.select("lang").orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = np.zeros(slots, dtype=np.int64)
-    if languages:
-        share = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
-        top = share.withColumn("top", F.max("share").over(every))
-        kept = top.filter((F.col("share") >= least_share) & (F.col("share") >= least_part * F.col("top")))
-        order = F.array(*[F.lit(x) for x in languages])
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.array_position(order, F.col("lang")).cast("int") - 1)
-        masks = kept.groupBy("gram").agg(F.bit_or(bit).alias("mask"))
-        filled = masks.mapInArrow(_fill(slots, probes), "slot long, mask long")
-        rows = filled.groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-        table[rows["slot"].to_numpy()] = rows["mask"].to_numpy()
+    languages = tuple(r.lang for r in totals.select("lang").orderBy("lang").collect())
+    if len(languages) > MASK_BITS:
+        raise ValueError(f"more than {MASK_BITS} languages")
+    narrow = [t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).bits > min(len(languages), MASK_BITS)]
+    groups = max(1, -(-len(languages) // MASK_BITS))
+    if not languages:
+        return LanguageFilter(languages, np.zeros((groups, slots), dtype=narrow[0]), probes, gram)
+    share = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
+    top = share.withColumn("top", F.max("share").over(every))
+    kept = top.filter(F.col("share") >= least_part * F.col("top"))
+    order = F.array(*[F.lit(x) for x in languages])
+    number = F.array_position(order, F.col("lang")).cast("int") - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("number") % MASK_BITS)
+    kept = kept.select("gram", number.alias("number")).withColumn("part", F.floor(F.col("number") / MASK_BITS).cast("int"))
+    masks = pin(kept.groupBy("gram", "part").agg(F.bit_or(bit).alias("mask")), "masks")
+    # The most grams of one part of the languages decide, as each part has its own masks.
+    most = masks.groupBy("part").count().agg(F.max("count")).first()[0] or 0
+    while slots < SLOTS_EACH * most:
+        slots *= 2
+    table = np.zeros((groups, slots), dtype=narrow[0])
+    filled = masks.mapInArrow(_fill(slots, probes), "part int, slot long, mask long")
+    filled = filled.groupBy("part", "slot").agg(F.bit_or("mask").alias("mask"))
+    rows = filled.select("part", F.col("slot").cast("int").alias("slot"), "mask").toArrow()
+    table[rows["part"].to_numpy(), rows["slot"].to_numpy()] = rows["mask"].to_numpy().astype(table.dtype)
     return LanguageFilter(languages, table, probes, gram)
 
 

@@ -122,3 +122,22 @@ def test_verdicts_of_odd_rows(odd, odd_rows, empty):
         failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
         assert r.base_failed == failed and (r.kept is False if failed else r.kept is not None)
     assert rules.judge(empty).count() == 0
+
+
+def test_a_large_alphabet_keeps_its_grams(spark):
+    rng = random.Random(11)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(2000)) for _ in range(80)]
+    rows = [("zh", t) for t in texts] + [("aa", sentence(rng, "aa")) for _ in range(20)]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    # 160,000 grams of one language, each of them a share of 0.000006.
+    model = langid.learn(labelled)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert langid.identify(docs, model).filter("lang_pred <> 'zh' OR score < 0.9").count() == 0
+
+
+def test_a_filter_grows_with_its_grams(spark):
+    rng = random.Random(12)
+    labelled = spark.createDataFrame([("aa", sentence(rng, "aa", 4000))], "lang string, text string")
+    model = langid.learn(labelled, slots=1 << 4)
+    grams = np.unique(langid.gram_hashes([labelled.first().text], langid.GRAM, langid.letter_table())[0])
+    assert model.slots.shape[1] >= langid.SLOTS_EACH * len(grams) and model.false_share()[0] < 0.2
