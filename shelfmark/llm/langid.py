@@ -191,8 +191,6 @@ def learn(
     every = Window.partitionBy("gram")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     languages = tuple(r.lang for r in totals.select("lang").orderBy("lang").collect())
-    if len(languages) > MASK_BITS:
-        raise ValueError(f"more than {MASK_BITS} languages")
     narrow = [t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).bits > min(len(languages), MASK_BITS)]
     groups = max(1, -(-len(languages) // MASK_BITS))
     if not languages:

@@ -141,3 +141,13 @@ def test_a_filter_grows_with_its_grams(spark):
     model = langid.learn(labelled, slots=1 << 4)
     grams = np.unique(langid.gram_hashes([labelled.first().text], langid.GRAM, langid.letter_table())[0])
     assert model.slots.shape[1] >= langid.SLOTS_EACH * len(grams) and model.false_share()[0] < 0.2
+
+
+@pytest.mark.parametrize("many", [63, 64, 130])
+def test_any_number_of_languages(spark, many):
+    rows = [(k, f"l{k:03d}", "".join(chr(0x4E00 + 100 * k + j) for j in range(60))) for k in range(many)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.learn(docs.select("lang", "text"))
+    got = langid.identify(docs, model).join(docs, "doc_id")
+    assert len(model.languages) == many
+    assert got.filter("lang_pred <> lang OR score < 0.9").count() == 0
