@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import let
 
-# Which words of a window count, in both cases ignoring what was substituted elsewhere.
-MASKS = ("1101100101", "1010011011")
+# Which words of a window count, ignoring what was substituted elsewhere, for an overlap of so
+# many words: wherever a quarter of these (rounded down) is substituted, one of the masks lies on
+# none of the substituted places.
+_WIDE = ("1101100101", "1010011011", "11110101", "1110000001011", "10100100001011", "11010000100011")
+MASKS = {
+    16: _WIDE, 15: _WIDE, 14: _WIDE,
+    13: (*_WIDE[:4], "11001010011", "100110100011"),
+    12: (*_WIDE[:3], "110001111", "1101111", "11100100011", "10110111", "11010001101"),
+    11: (*_WIDE[:3], "1110111", "1011111"),
+    10: (*_WIDE[:3], "1101111", "110100111", "111111"),
+    9: ("11110101", "111011", "1001111", "11010011"),
+    8: ("11110101", "11111", "111011", "110111", "11100011", "101111", "11010011", "1100111"),
+    7: ("111111", "1111101", "1111011", "1110111", "1101111", "1011111"),
+    6: ("11111", "111101", "111011", "110111", "101111"),
+    5: ("1111", "11101", "11011", "10111"),
+    4: ("111", "1101", "1011"),
+    3: ("111",), 2: ("11",), 1: ("1",),
+}
 
 # An overlap is this many aligned words (a whole item if it has fewer) of which this part is equal.
 OVERLAP_WORDS = 16
@@ -19,17 +37,24 @@ BROADCAST_SEEDS = 1_000_000
 
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
+# Letters of scripts that leave no space between words.
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
+
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; a null text has none."""
-    cut = F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _NOT_WORD)
-    return F.filter(cut, lambda w: w != "")
+    """Lower-cased runs of letters and digits; a null text has none.
+
+    A letter of a script without spaces is a word of its own.
+    """
+    lower = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    lower = F.when(lower.rlike(_UNSPACED), F.regexp_replace(lower, _UNSPACED, " $1 ")).otherwise(lower)
+    return F.filter(F.split(lower, _NOT_WORD), lambda w: w != "")
 
 
-def seeds(hashes: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """``(at, seed)`` of every window and mask over an array of word hashes.
+def seeds(hashes: Column, masks: Sequence[str], wanted: Mapping[str, Column] | None = None) -> Column:
+    """``(at, seed)`` of every window and mask (where it is ``wanted``) over an array of word hashes.
 
-    A window behind the last word but one is not seeded, so an array shorter than a mask has none.
+    An array shorter than a mask has no window of it.
     """
 
     def of(mask: str) -> Column:
@@ -43,7 +68,8 @@ def seeds(hashes: Column, masks: tuple[str, ...] = MASKS) -> Column:
 
         starts = F.sequence(F.lit(0), F.size(hashes) - len(mask))
         none = F.array().cast("array<struct<at: int, seed: bigint>>")
-        return F.when(F.size(hashes) >= len(mask), F.transform(starts, seed)).otherwise(none)
+        some = F.size(hashes) >= len(mask)
+        return F.when(some & wanted[mask] if wanted else some, F.transform(starts, seed)).otherwise(none)
 
     return F.concat(*[of(m) for m in masks])
 
@@ -67,7 +93,7 @@ def _most_equal(theirs: Column, item: Column, shift: Column, width: Column) -> C
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text",
-    item_key: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS,
+    item_key: str = "item_id", item_text: str = "text", masks: Mapping[int, Sequence[str]] = MASKS,
     overlap_words: int = OVERLAP_WORDS, least_equal: float = LEAST_EQUAL,
     broadcast_seeds: int = BROADCAST_SEEDS,
 ) -> DataFrame:
@@ -75,17 +101,23 @@ def contaminated(
 
     A pair is reported where a seed of the item occurs in the text and, with the item laid on the
     text at that place, some ``overlap_words`` neighbouring words (the whole item, if it has fewer)
-    agree in ``least_equal`` of their places.  ``equal_words`` is the most that agree.  An item
-    with fewer words than a mask is never found; null texts hold nothing.  Rows that repeat both
-    key and text are one; ``text_hash`` (of the text as it is) tells rows apart that share a key.
+    agree in ``least_equal`` of their places.  ``equal_words`` is the most that agree.  ``masks``
+    has the seeds for overlaps of each length; the given ones find every overlap for the given
+    bounds.  A text without words holds nothing.  Rows that repeat both key and text are one;
+    ``text_hash`` (of the text as it is) tells rows apart that share a key.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     items = benchmark.select(F.col(item_key).alias("item_id"), _hashed(F.col(item_text)).alias("item"))
-    items = items.distinct()
+    items = items.filter(F.size("item") > 0).distinct()
+    width = F.least(F.size("item"), F.lit(overlap_words))
+    # Texts are seeded for the lengths that the items have, of which there are few.
+    widths = sorted(r.width for r in items.select(width.alias("width")).distinct().collect())
+    used = list(dict.fromkeys(m for w in widths for m in masks[w])) or ["1"]
+    wanted = {m: width.isin([w for w in widths if m in masks[w]]) for m in used}
     item_seeds = (
-        items.select("item_id", F.explode(seeds(F.col("item"), masks)).alias("s"))
+        items.select("item_id", F.explode(seeds(F.col("item"), used, wanted)).alias("s"))
         .select("item_id", F.col("s.at").alias("item_at"), F.col("s.seed").alias("item_seed"))
     )
     # The size decides between two plans with equal results.
@@ -94,7 +126,7 @@ def contaminated(
 
     found = (
         rows.select("doc_id", "text_hash", _hashed(F.col("text")).alias("hashes"))
-        .select("doc_id", "text_hash", F.explode(seeds(F.col("hashes"), masks)).alias("s"))
+        .select("doc_id", "text_hash", F.explode(seeds(F.col("hashes"), used)).alias("s"))
         .select("doc_id", "text_hash", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
     )
     hits = (
@@ -106,7 +138,6 @@ def contaminated(
         F.col("doc_id").alias("hit_doc"), F.col("text_hash").alias("hit_hash"), "item_id", "shift"
     )
     same = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_hash") == F.col("hit_hash"))
-    width = F.least(F.size("item"), F.lit(overlap_words))
     beside = (
         rows.join(hits, same)
         .join(near(items), "item_id")

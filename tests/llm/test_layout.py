@@ -1,5 +1,7 @@
 """Chat formatting, sharding and decontamination."""
 
+import itertools
+import math
 import random
 import zlib
 
@@ -85,3 +87,46 @@ def test_passages_with_substitutions(spark, odd, empty):
     own = spark.createDataFrame([(1, "one two three " * 9)], "item_id long, text string")
     twice = odd.union(spark.createDataFrame([(None, "one two three " * 9, *[None] * 7)] * 2, odd.schema))
     assert [(r.doc_id, r.item_id) for r in decontam.contaminated(twice, own).collect()] == [(None, 1)]
+
+
+@pytest.mark.parametrize("width", range(1, 17))
+def test_masks_miss_no_overlap(width):
+    changes = width - math.ceil(width * decontam.LEAST_EQUAL)
+    laid = [
+        {at + k for k, bit in enumerate(mask) if bit == "1"}
+        for mask in decontam.MASKS[width] for at in range(width - len(mask) + 1)
+    ]
+    assert all(any(places.isdisjoint(gone) for places in laid) for gone in itertools.combinations(range(width), changes))
+
+
+def plain_overlap(text, item):
+    width = min(16, len(item))
+    most = 0
+    for shift in range(-len(item), len(text)):
+        equal = [0 <= k + shift < len(text) and text[k + shift] == w for k, w in enumerate(item)]
+        most = max(most, *[sum(equal[s : s + width]) for s in range(len(item) - width + 1)])
+    return most if most >= math.ceil(width * 0.75) else None
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(300)]
+    items = [rng.choices(words, k=k) for k in [*range(3, 18), 15, 16, 16, 25, 40]]
+    items.append(list("短い質問です"))
+    docs = []
+    for item in items:
+        width = min(16, len(item))
+        for part in range(6):
+            at = rng.randint(0, len(item) - width)
+            cut = list(item[at : at + width])
+            for k in rng.sample(range(width), min(width, width // 4 + (part == 5))):
+                cut[k] = "zzz"
+            docs.append(rng.choices(words, k=20) + cut + rng.choices(words, k=20))
+    texts = [(k, " ".join(d)) for k, d in enumerate(docs)] + [(1000, "前置き" + "短い質問です" + "。")]
+    bench = [(k, " ".join(i)) for k, i in enumerate(items[:-1])] + [(len(items) - 1, "短い質問です")]
+    expected = {(d, i, n) for d, t in enumerate(docs) for i, item in enumerate(items) if (n := plain_overlap(t, item))}
+    expected.add((1000, len(items) - 1, 6))
+    got = decontam.contaminated(
+        spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    ).collect()
+    assert {(r.doc_id, r.item_id, r.equal_words) for r in got} == expected
