@@ -29,6 +29,9 @@ SAMPLE_EVERY = 16
 COMMON_TIMES = 3
 COMMON_SHINGLES = 1 << 20
 
+# Bits by which texts whose sets are compared are told from the others.
+SLOT_COUNT = 1 << 24
+
 # An entry's key holds a segment's bits below and the number of the left-out bit from here on.
 _TAG = 57
 
@@ -251,13 +254,33 @@ def _may_share(a: str, b: str, percent: int) -> Column:
     return most * (100 + percent) >= F.lit(percent) * (size + other)
 
 
-def verified_links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """Those of the pairs ``u, v`` of nodes whose sets have at least ``percent`` of their union in common."""
+def _wanted_sets(texts: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
+    """``node, grams`` of the nodes whose rows ``wanted`` names by text hash, and of few others.
+
+    A bitmap of fixed size tells which texts to read, so that no text is exchanged.
+    """
+    slot = F.col("text_hash").bitwiseAND(F.lit(SLOT_COUNT - 1)).cast("int")
+    slots = np.zeros(SLOT_COUNT, dtype=bool)
+    slots[wanted.select(slot.alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(slots))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
-            grams = [shingle_set(t, words_each).tobytes() for t in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.binary())], ["node", "grams"])
+            at = batch.column("text_hash").to_numpy() & (SLOT_COUNT - 1)
+            some = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            grams = [shingle_set(t, words_each).tobytes() for t in text_bytes(some.column("text"))]
+            nodes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes.view(np.int64)), pa.array(grams, pa.binary())], ["node", "grams"]
+            )
+
+    found = texts.select("text_hash", "text").mapInArrow(run, "node long, grams binary")
+    return found.groupBy("node").agg(F.first("grams").alias("grams"))
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs ``u, v`` of nodes whose sets have at least ``percent`` of their union in common."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,15 +292,8 @@ def verified_links(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words_e
             kept = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"])
             yield kept.filter(pa.array(good, pa.bool_()))
 
-    named = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    first = nodes.join(named, "node").select(
-        "node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")
-    )
-    match = (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    own = texts.join(first, match).select("node", "text").mapInArrow(read, "node long, grams binary")
-    own = pin(own.groupBy("node").agg(F.first("grams").alias("grams")), "sets")
-    left = own.select(F.col("node").alias("u"), F.col("grams").alias("a"))
-    right = own.select(F.col("node").alias("v"), F.col("grams").alias("b"))
+    left = sets.select(F.col("node").alias("u"), F.col("grams").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
@@ -311,7 +327,9 @@ def similar_documents(
     to_low = to_low.select(F.struct("node", "size", "at").alias("a"), F.col("low").alias("b"))
     near = to_low.filter(_may_share("a", "b", percent)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     near = pin(near.distinct(), "near")
-    links_ = pin(verified_links(near, texts, nodes, words_each, percent), "links")
+    met = sets.select("node").distinct()
+    own = pin(_wanted_sets(texts, nodes.join(met, "node").select("first.text_hash"), words_each), "sets")
+    links_ = pin(verified_links(near, own, percent), "links")
 
     roots = components(links_).withColumnsRenamed({"node": "_node", "root": "_root"})
     comps = sets.filter(F.col("node") > F.col("low.node")).join(roots, F.col("node") == F.col("_node"), "left")
@@ -324,7 +342,7 @@ def similar_documents(
     )
     far = a.join(b, match).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     far = pin(far, "far")
-    links_ = links_.union(verified_links(far, texts, nodes, words_each, percent))
+    links_ = links_.union(verified_links(far, own, percent))
 
     roots = components(links_).withColumnRenamed("node", "_node")
     rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left")
