@@ -204,3 +204,19 @@ def test_nothing_is_cut_by_default(spark):
     assert (len(cut["cells"]), cut["n_cols"], cut["truncated"]) == (64, 100, True)
     tables = {f"t{n:02}": spark.range(1) for n in range(65)}
     assert overview.table_summary(tables).count() == 65
+
+
+def test_archives_are_listed_whole(spark):
+    import io
+    import zipfile
+
+    from shelfmark.sources.archives import list_archives
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for k in range(50_010):
+            archive.writestr(str(k), b"")
+    files = spark.createDataFrame([(1, bytearray(buffer.getvalue()))], "k int, content binary")
+    assert list_archives(files, "k", "content").count() == 50_010
+    cut = list_archives(files, "k", "content", limit=3).collect()
+    assert [(r.ord, r.total, r.truncated) for r in cut] == [(k, 50_010, True) for k in range(3)]
