@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..scratch import scratch_path
-from . import chat, decontam, langid, pieces, planes, quality, rules, shards, simhash, suffixes
+from . import (
+    alignment, chat, decontam, langid, packing, pieces, planes, quality, resample, rules, shards, simhash, suffixes,
+)
 from .common import documents, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -172,3 +174,24 @@ FROM most WHERE e >= ceil(w * 0.75) GROUP BY doc_id, item_id
 @_query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(documents(spark, sf_dir)).drop("distance")
+
+
+@_query
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample.resample(documents(spark, sf_dir), benchmark)
+
+
+@_query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@_query
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align_documents(documents(spark, sf_dir), *paths)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
