@@ -15,9 +15,25 @@ from .workflows import SQL_TEXT, SQL_VISIBLE, sql_entities
 # --- HTML ---------------------------------------------------------------------------------
 
 
-@query("d1_html_text", f"SELECT page_id, md5({SQL_TEXT}) AS digest, CAST(length({SQL_TEXT}) AS BIGINT) AS chars FROM pages")
+# Fragments that a cut at the first ``>`` or at the first ``<!--`` gets wrong, behind every page, and what they
+# show: a comment opened inside a script, quoted ``>``, a quote that never closes, tags made by an omission.
+HARD = (
+    "'<p>a' || page_id || '</p><script>if(a<!--b){}</script><p>VISIBLE</p><h2 title=\"a>b\">H<b>1</b>"
+    "<div>d</div><a title=''x>y'' href=''u' || page_id || '''>link</a> <a href=q>open <a data-href=n href=\"<b>\">in</a>"
+    "<style a=\"</style>\">p{}</STYLE x>s<![x<b]>e <<!-- - -->i>t <b title=\"never' || '<br>5 < 6</p>'"
+)
+HARD_TEXT = (
+    "chr(10) || 'a' || page_id || chr(10) || 'VISIBLE' || chr(10) || 'H1' || chr(10) || 'd' || chr(10) || 'link open inse <i>t "
+    "<b title=\"never' || chr(10) || '5 < 6'"
+)
+
+
+@query("d1_html_text", f"""
+WITH t AS (SELECT page_id, {SQL_TEXT} || {HARD_TEXT} AS text FROM pages)
+SELECT page_id, md5(text) AS digest, CAST(length(text) AS BIGINT) AS chars FROM t""")
 def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.page_texts(table(spark, sf_dir, "pages"), "page_id", "html").select(
+    hard = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.expr(HARD)).alias("html"))
+    return D.page_texts(hard, "page_id", "html").select(
         "page_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("chars")
     )
 
@@ -40,22 +56,27 @@ h AS (SELECT page_id, unnest(regexp_extract_all(body, '(?is)<(h[1-6]\b[^>]*>.*?)
 a AS (SELECT page_id, unnest(regexp_extract_all(body, '(?is)<a\b[^>]*>.*?</a\s*>')) AS e, generate_subscripts(regexp_extract_all(body, '(?is)<a\b[^>]*>.*?</a\s*>'), 1) - 1 AS ord FROM v)
 SELECT page_id, 'heading' AS kind, CAST(ord AS INT) AS ord, CAST(e[2] AS INT) AS level, NULL AS target, {_sql_inner("regexp_replace(e, '(?is)^h[1-6][^>]*>', '')")} AS text, NULL AS width FROM h
 UNION ALL SELECT page_id, 'link', CAST(ord AS INT), NULL, {sql_entities("regexp_extract(e, 'href=\"([^\"]*)\"', 1)")}, {_sql_inner('e')}, NULL FROM a
+UNION ALL SELECT page_id, 'heading', (SELECT CAST(count(*) AS INT) FROM h WHERE h.page_id = pages.page_id), 2, NULL, 'H1', NULL FROM pages
+UNION ALL SELECT page_id, 'link', CAST((SELECT count(*) FROM a WHERE a.page_id = pages.page_id) + i AS INT), NULL, CASE i WHEN 0 THEN 'u' || page_id WHEN 1 THEN 'q' ELSE '<b>' END,
+  CASE i WHEN 0 THEN 'link' WHEN 1 THEN 'open' ELSE 'in' END, NULL FROM pages, (SELECT unnest([0, 1, 2]) AS i)
 UNION ALL SELECT page_id, 'image', 0, NULL, '/i' || page_id || '.png', 'A&B', '100%' FROM pages
 UNION ALL SELECT page_id, 'image', 1, NULL, 'b.gif', '', '12px' FROM pages
 UNION ALL SELECT page_id, 'cell', 0, 0, NULL, 'k', NULL FROM pages UNION ALL SELECT page_id, 'cell', 1, 0, NULL, 'v' || page_id, NULL FROM pages
 UNION ALL SELECT page_id, 'cell', 2, 1, NULL, 'a b', NULL FROM pages""")
 def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rich = table(spark, sf_dir, "pages").select("page_id", F.expr(RICH).alias("html"))
+    rich = table(spark, sf_dir, "pages").select("page_id", F.concat(F.expr(RICH), F.expr(HARD)).alias("html"))
     return D.html_elements(rich, "page_id", "html")
 
 
 @query("d4_outline", rf"""
 WITH v AS (SELECT page_id, html, {SQL_VISIBLE} AS body FROM pages),
 h AS (SELECT page_id, unnest(regexp_extract_all(body, '(?is)<(h[1-6]\b[^>]*>.*?)</h[1-6]\s*>', 1)) AS e, generate_subscripts(regexp_extract_all(body, '(?is)<(h[1-6]\b[^>]*>.*?)</h[1-6]\s*>', 1), 1) - 1 AS ord FROM v)
-SELECT v.page_id, regexp_matches(html, '(?i)<h[1-6]') AS has_headings, regexp_matches(html, '(?i)<img') AND regexp_matches(html, '(?i)src=["'']?http') AS has_remote_images,
-  CAST(ord AS INT) AS ord, CAST(e[2] AS INT) AS level, {_sql_inner("regexp_replace(e, '(?is)^h[1-6][^>]*>', '')")} AS text FROM v LEFT JOIN h ON v.page_id = h.page_id""")
+SELECT v.page_id, true AS has_headings, regexp_matches(html, '(?i)<img') AND regexp_matches(html, '(?i)src=["'']?http') AS has_remote_images,
+  CAST(ord AS INT) AS ord, CAST(e[2] AS INT) AS level, {_sql_inner("regexp_replace(e, '(?is)^h[1-6][^>]*>', '')")} AS text FROM v JOIN h ON v.page_id = h.page_id
+UNION ALL SELECT page_id, true, regexp_matches(html, '(?i)<img') AND regexp_matches(html, '(?i)src=["'']?http'), (SELECT CAST(count(*) AS INT) FROM h WHERE h.page_id = v.page_id), 2, 'H1' FROM v""")
 def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.outline(table(spark, sf_dir, "pages"), "page_id", "html")
+    hard = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.expr(HARD)).alias("html"))
+    return D.outline(hard, "page_id", "html")
 
 
 # --- Markdown -----------------------------------------------------------------------------

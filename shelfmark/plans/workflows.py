@@ -46,10 +46,13 @@ FROM pages GROUP BY 1
 """)
 def pages_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages, visible words and links per page language."""
+    # Each page is scanned once for both counts.
     pages = table(spark, sf_dir, "pages").select(
-        H.page_language(F.col("html")).alias("lang"),
-        F.regexp_count(H.html_text(F.col("html")), F.lit(r"\S+")).alias("words"),
-        H.link_count(H.drop_invisible(F.col("html"))).alias("links"),
+        H.page_language(F.col("html")).alias("lang"), H.drop_invisible(F.col("html")).alias("_visible")
+    ).select(
+        "lang",
+        F.regexp_count(H.visible_text(F.col("_visible")), F.lit(r"\S+")).alias("words"),
+        H.link_count(F.col("_visible")).alias("links"),
     )
     return (
         pages.groupBy("lang")
