@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,6 +36,9 @@ LEAST_EQUAL = 0.75
 # shuffled join.
 BROADCAST_SEEDS = 1_000_000
 
+# Bits, as a power of two, of the tables by which words and seeds are tested in the row, at most.
+SLOT_BITS = 22
+
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
 # Letters of scripts that leave no space between words.
@@ -51,25 +55,32 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lower, _NOT_WORD), lambda w: w != "")
 
 
-def seeds(hashes: Column, masks: Sequence[str], wanted: Mapping[str, Column] | None = None) -> Column:
+def _windows(starts: Column, hashes: Column, mask: str, number: int) -> Column:
+    """``(at, seed)`` of a mask laid on the words at ``starts``, where it does not stand out behind."""
+    picked = [k for k, bit in enumerate(mask) if bit == "1"]
+
+    def seed(at: Column) -> Column:
+        return F.struct(
+            at.alias("at"), F.xxhash64(F.lit(number), *[F.get(hashes, at + k) for k in picked]).alias("seed")
+        )
+
+    inside = F.filter(starts, lambda at: at <= F.size(hashes) - len(mask))
+    return F.transform(inside, seed)
+
+
+def seeds(
+    hashes: Column, masks: Sequence[str], wanted: Mapping[str, Column] | None = None, starts: Column | None = None
+) -> Column:
     """``(at, seed)`` of every window and mask (where it is ``wanted``) over an array of word hashes.
 
-    An array shorter than a mask has no window of it.
+    ``starts`` are the places to look at, by default all.  An array shorter than a mask has no window of it.
     """
+    none = F.array().cast("array<struct<at: int, seed: bigint>>")
+    everywhere = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
 
     def of(mask: str) -> Column:
-        picked = [k for k, bit in enumerate(mask) if bit == "1"]
-        number = F.lit(masks.index(mask))
-
-        def seed(at: Column) -> Column:
-            return F.struct(
-                at.alias("at"), F.xxhash64(number, *[F.get(hashes, at + k) for k in picked]).alias("seed")
-            )
-
-        starts = F.sequence(F.lit(0), F.size(hashes) - len(mask))
-        none = F.array().cast("array<struct<at: int, seed: bigint>>")
-        some = F.size(hashes) >= len(mask)
-        return F.when(some & wanted[mask] if wanted else some, F.transform(starts, seed)).otherwise(none)
+        found = _windows(everywhere if starts is None else starts, hashes, mask, masks.index(mask))
+        return F.when(wanted[mask], found).otherwise(none) if wanted else found
 
     return F.concat(*[of(m) for m in masks])
 
@@ -78,17 +89,61 @@ def _hashed(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def _most_equal(theirs: Column, item: Column, shift: Column, width: Column) -> Column:
-    """Most equal words in any ``width`` neighbouring words of the item, laid on a text at ``shift``."""
-    def equal(text: Column) -> Column:
-        return F.transform(item, lambda w, k: F.coalesce((F.get(text, k + shift) == w).cast("int"), F.lit(0)))
+def least_run(width: int, least_equal: float = LEAST_EQUAL) -> int:
+    """How many neighbouring words are equal at least somewhere in an overlap of ``width`` words."""
+    equal = math.ceil(width * least_equal)
+    return -(-equal // (width - equal + 1))
+
+
+def _runs(hashes: Column, run: int) -> Column:
+    """A hash of every ``run`` neighbouring words; the last places have fewer."""
+    return F.transform(hashes, lambda w, k: F.xxhash64(w, *[F.get(hashes, k + n) for n in range(1, run)]))
+
+
+class Slots:
+    """A bit for each of some hashes, to test others against: no hash is missed, few others pass.
+
+    There are some 16 bits to a hash, up to ``SLOT_BITS``; beyond that more others pass.
+    """
+
+    def __init__(self, hashes: DataFrame, name: str):
+        count = hashes.select(name).distinct().count()
+        self.size = 1 << min(SLOT_BITS, max(10, (16 * count).bit_length()))
+        slot = F.col(name).bitwiseAND(F.lit(self.size - 1))
+        one = F.expr("shiftleft(1L, CAST(_slot & 63 AS INT))")
+        filled = (
+            hashes.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+        )
+        # One row for each 64 bits at most.
+        of = {r.word: r.bits for r in filled.collect()}
+        self.table = ",".join(str(of.get(k, 0)) for k in range(self.size >> 6))
+
+    def has(self, value: Column) -> Column:
+        slot = value.bitwiseAND(F.lit(self.size - 1))
+        table = F.split(F.lit(self.table), ",").cast("array<bigint>")  # folded into one literal
+        return F.getbit(F.get(table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _most_equal(around: Column, at: Column, item: Column, item_at: Column, width: Column, reach: int) -> Column:
+    """Most equal words in any ``width`` neighbouring words of the item that begin up to ``reach`` before the seed.
+
+    ``around`` has the text's words from ``reach`` (or ``at``, if less) before the seed on.  Bit ``k``
+    says whether the item's word ``reach`` before the seed plus ``k`` is equal.
+    """
+    before = F.least(at, F.lit(reach))
+    place = F.sequence(F.lit(0), F.lit(2 * reach))
+
+    def equal(bits: Column, k: Column) -> Column:
+        same = F.coalesce(F.get(item, item_at - reach + k) == F.get(around, before - reach + k), F.lit(False))
+        return F.when(same, bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))).otherwise(bits)
 
-    def most(places: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(places) - width + 1)
-        held = lambda s: F.aggregate(F.slice(places, s, width), F.lit(0), lambda a, b: a + b)
-        return F.array_max(F.transform(starts, held))
+    def most(bits: Column) -> Column:
+        ones = F.call_function("shiftleft", F.lit(1).cast("long"), width) - 1
+        first, last = F.greatest(F.lit(0), reach - item_at), F.least(F.lit(reach), F.size(item) - width - item_at + reach)
+        held = lambda k: F.bit_count(F.call_function("shiftrightunsigned", bits, k).bitwiseAND(ones))
+        return F.array_max(F.transform(F.sequence(first, last), held))
 
-    return let(theirs, lambda text: let(equal(text), most))
+    return let(F.aggregate(place, F.lit(0).cast("long"), equal), most)
 
 
 def contaminated(
@@ -105,10 +160,15 @@ def contaminated(
     has the seeds for overlaps of each length; the given ones find every overlap for the given
     bounds.  A text without words holds nothing.  Rows that repeat both key and text are one;
     ``text_hash`` (of the text as it is) tells rows apart that share a key.
+
+    Masks are laid only near places where some neighbouring words stand in the benchmark as well: every
+    overlap has such a run, as its few substituted words cannot part it into shorter ones.  Only
+    seeds that the benchmark has leave the row, each with the words around it, so that it is
+    verified where it is joined and no text is exchanged.
     """
-    spark = docs.sparkSession
+    if not 1 < overlap_words <= 32:
+        raise ValueError("an overlap has 2 to 32 words")
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.withColumn("text_hash", F.xxhash64("text"))
     items = benchmark.select(F.col(item_key).alias("item_id"), _hashed(F.col(item_text)).alias("item"))
     items = items.filter(F.size("item") > 0).distinct()
     width = F.least(F.size("item"), F.lit(overlap_words))
@@ -124,26 +184,37 @@ def contaminated(
     small = item_seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds
     near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
-    found = (
-        rows.select("doc_id", "text_hash", _hashed(F.col("text")).alias("hashes"))
-        .select("doc_id", "text_hash", F.explode(seeds(F.col("hashes"), used)).alias("s"))
-        .select("doc_id", "text_hash", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
-    )
-    hits = (
-        found.join(near(item_seeds), F.col("seed") == F.col("item_seed"))
-        .select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
-        .distinct()
-    )
-    hits = hits.select(
-        F.col("doc_id").alias("hit_doc"), F.col("text_hash").alias("hit_hash"), "item_id", "shift"
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_hash") == F.col("hit_hash"))
-    beside = (
-        rows.join(hits, same)
-        .join(near(items), "item_id")
-        .select("doc_id", "text_hash", "item_id", "shift", "item", width.alias("of_words"), _hashed(F.col("text")).alias("theirs"))
-    )
-    equal = _most_equal(F.col("theirs"), F.col("item"), F.col("shift"), F.col("of_words"))
+    run, reach = min([least_run(w, least_equal) for w in widths] or [1]), overlap_words - 1
+    item_runs = Slots(items.select(F.explode(_runs(F.col("item"), run)).alias("run")), "run")
+    item_slots = Slots(item_seeds, "item_seed")
+
+    # Every array is bound once for the whole row; a filter between these steps would be pushed below
+    # them and work them out again for each place.
+    def known(hashes: Column) -> Column:
+        def shared(runs: Column) -> Column:
+            return F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda k: item_runs.has(F.get(runs, k)))
+
+        def starts(places: Column) -> Column:
+            last = F.size(hashes) - 1
+            reached = lambda k: F.sequence(F.greatest(k - reach, F.lit(0)), F.least(k + reach, last))
+            return F.array_distinct(F.flatten(F.transform(places, reached)))
+
+        def seed(s: Column) -> Column:
+            before = F.least(s.at, F.lit(reach))
+            return F.struct(
+                s.at.alias("at"), s.seed.alias("seed"), F.slice(hashes, s.at - before + 1, before + reach + 1).alias("around")
+            )
+
+        seeded = lambda places: F.filter(seeds(hashes, used, starts=places), lambda s: item_slots.has(s.seed))
+        found = let(let(_runs(hashes, run), shared), lambda places: let(starts(places), seeded))
+        return F.when(F.size(hashes) > 0, F.transform(found, seed))
+
+    found = rows.select(
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(let(_hashed(F.col("text")), known)).alias("s")
+    ).select("doc_id", "text_hash", "s.*")
+    beside = found.join(near(item_seeds), F.col("seed") == F.col("item_seed")).join(near(items), "item_id")
+    beside = beside.withColumn("of_words", width)
+    equal = _most_equal(F.col("around"), F.col("at"), F.col("item"), F.col("item_at"), F.col("of_words"), reach)
     return (
         beside.withColumn("equal_words", equal)
         .filter(F.col("equal_words") >= F.ceil(F.col("of_words") * least_equal))

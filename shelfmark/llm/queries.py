@@ -144,30 +144,34 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Every way to lay an item on a text at which the rule may hold: there some neighbouring words are equal, as many
+# as the allowed substitutions must leave together.
 ORACLES["op6_decontamination"] = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents
 ), b AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM benchmark
-), m(mask, picks) AS (VALUES (0, [1, 2, 4, 5, 8, 10]), (1, [1, 3, 6, 7, 9, 10])),
-ds AS (
-  SELECT doc_id, pos, mask, list_transform(picks, lambda k: t[pos + k]) AS seed
-  FROM (SELECT doc_id, t, unnest(range(0, len(t) - 9)) AS pos FROM d WHERE len(t) >= 10), m
+  SELECT item_id, t, least(len(t), 16) AS w, ceil(least(len(t), 16) * 0.75) AS least_equal
+  FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM benchmark)
+  WHERE len(t) > 0
+), r AS (
+  SELECT *, ceil(least_equal / (w - least_equal + 1)) AS run FROM b
+), ds AS (
+  SELECT doc_id, pos, run, list_slice(t, pos, pos + run - 1) AS gram
+  FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS pos FROM d), (SELECT DISTINCT CAST(run AS BIGINT) AS run FROM r)
 ), bs AS (
-  SELECT item_id, pos, mask, list_transform(picks, lambda k: t[pos + k]) AS seed
-  FROM (SELECT item_id, t, unnest(range(0, len(t) - 9)) AS pos FROM b WHERE len(t) >= 10), m
-), hits AS (
-  SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs USING (mask, seed)
+  SELECT item_id, pos, run, list_slice(t, pos, pos + run - 1) AS gram
+  FROM (SELECT item_id, CAST(run AS BIGINT) AS run, t, unnest(range(1, len(t) - CAST(run AS BIGINT) + 2)) AS pos FROM r)
+), ways AS (
+  SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS shift FROM ds JOIN bs USING (run, gram)
 ), laid AS (
-  SELECT doc_id, item_id, least(len(b.t), 16) AS w, len(b.t) AS n,
-    list_transform(range(1, len(b.t) + 1),
-      lambda k: CASE WHEN k + shift >= 1 AND d.t[k + shift] = b.t[k] THEN 1 ELSE 0 END) AS eq
-  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
+  SELECT doc_id, item_id, r.w, r.least_equal, len(r.t) AS n,
+    list_transform(range(1, len(r.t) + 1), lambda k: CASE WHEN k + shift >= 1 AND d.t[k + shift] = r.t[k] THEN 1 ELSE 0 END) AS eq
+  FROM ways JOIN d USING (doc_id) JOIN r USING (item_id)
 ), most AS (
-  SELECT doc_id, item_id, w, list_max(list_transform(range(1, n - w + 2), lambda s: list_sum(eq[s:s + w - 1]))) AS e FROM laid
+  SELECT doc_id, item_id, w, least_equal, list_max(list_transform(range(1, n - w + 2), lambda s: list_sum(eq[s:s + w - 1]))) AS e FROM laid
 )
 SELECT doc_id, item_id, max(e)::BIGINT AS equal_words, max(w)::BIGINT AS of_words
-FROM most WHERE e >= ceil(w * 0.75) GROUP BY doc_id, item_id
+FROM most WHERE e >= least_equal GROUP BY doc_id, item_id
 """
 
 
