@@ -66,6 +66,10 @@ def gram_hashes(texts: list[str], gram: int, letters: np.ndarray) -> tuple[np.nd
     return mixed[own], owner[:n][own]
 
 
+# Rows that leave a task together: a carried row goes back as it came, so a batch is held twice.
+_ROWS = 1000
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[list, list]]:
     """Rows (all columns but the text, and the text) some ``limit`` characters at a time."""
     rows, texts, size = [], [], 0
@@ -228,7 +232,7 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (slots, false_share), letters = shared.value, letter_table()
         own = LanguageFilter(languages, slots, probes, gram)
-        for batch in batches:
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             names, scores = [], []
             column = batch.column("row").field(text) if carry else batch.column("text")
             for _, texts in _grouped([pa.RecordBatch.from_arrays([column], ["text"])]):

@@ -41,6 +41,9 @@ _NO_ID = -(1 << 63)
 # Shingles are hashed and counted this many at a time, so one long text needs no more memory.
 _STRIDE = 1 << 16
 
+# Rows whose shingle sets are held together.
+_ROWS = 200
+
 
 def _lane_table() -> np.ndarray:
     """For each byte value, its eight bits spread over the eight bytes of one integer."""
@@ -196,6 +199,12 @@ def shingle_set(text: bytes, words_each: int = SIMILAR_WORDS) -> np.ndarray:
     return np.unique(np.fromiter(spans, dtype=np.uint64, count=count))
 
 
+def _small(batch: pa.RecordBatch, rows: int = _ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of few rows, so that what is made of their texts leaves the task before the next."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _common_shingles(texts: DataFrame, words_each: int) -> np.ndarray:
     """Shingles that are frequent in a sample of the texts.
 
@@ -204,9 +213,9 @@ def _common_shingles(texts: DataFrame, words_each: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in text_bytes(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words_each).view(np.int64))], ["gram"])
+        for batch in (part for whole in batches for part in _small(whole)):
+            grams = [shingle_set(text, words_each) for text in text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64))], ["gram"])
 
     sample = texts.filter(F.pmod("text_hash", F.lit(SAMPLE_EVERY)) == 0).select("text")
     often = sample.mapInArrow(run, "gram long").groupBy("gram").count().filter(F.col("count") >= COMMON_TIMES)
@@ -224,12 +233,12 @@ def shingle_prefixes(texts: DataFrame, words_each: int, percent: int) -> DataFra
     shared = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, words_each))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
-        for batch in batches:
+        common = np.append(shared.value, np.uint64(0))
+        for batch in (part for whole in batches for part in _small(whole)):
             nodes, sizes, prefixes = [], [], []
             for text in text_bytes(batch.column("text")):
                 grams = shingle_set(text, words_each)
-                often = np.isin(grams, common, assume_unique=True)
+                often = common[np.searchsorted(common[:-1], grams)] == grams
                 length = len(grams) - -(-percent * len(grams) // 100) + 1 if len(grams) else 0
                 prefixes.append(np.concatenate([grams[~often], grams[often]])[:length].view(np.int64))
                 nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
@@ -266,7 +275,7 @@ def _wanted_sets(texts: DataFrame, wanted: DataFrame, words_each: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _small(whole)):
             at = batch.column("text_hash").to_numpy() & (SLOT_COUNT - 1)
             some = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
             grams = [shingle_set(t, words_each).tobytes() for t in text_bytes(some.column("text"))]
