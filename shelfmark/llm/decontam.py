@@ -101,27 +101,33 @@ def _runs(hashes: Column, run: int) -> Column:
 
 
 class Slots:
-    """A bit for each of some hashes, to test others against: no hash is missed, few others pass.
+    """Two bits for each of some hashes, to test others against: no hash is missed, few others pass.
 
-    There are some 16 bits to a hash, up to ``SLOT_BITS``; beyond that more others pass.
+    The table has some ``each`` bits to a hash, up to ``SLOT_BITS``; beyond that more others pass.
     """
 
-    def __init__(self, hashes: DataFrame, name: str):
+    def __init__(self, hashes: DataFrame, name: str, each: int):
         count = hashes.select(name).distinct().count()
-        self.size = 1 << min(SLOT_BITS, max(10, (16 * count).bit_length()))
-        slot = F.col(name).bitwiseAND(F.lit(self.size - 1))
+        self.size = 1 << min(SLOT_BITS, max(10, (each * count).bit_length()))
         one = F.expr("shiftleft(1L, CAST(_slot & 63 AS INT))")
         filled = (
-            hashes.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+            hashes.select(F.explode(F.array(*self._slots(F.col(name)))).alias("_slot"))
+            .groupBy(F.shiftright("_slot", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
         )
         # One row for each 64 bits at most.
         of = {r.word: r.bits for r in filled.collect()}
         self.table = ",".join(str(of.get(k, 0)) for k in range(self.size >> 6))
 
+    def _slots(self, value: Column) -> list[Column]:
+        return [v.bitwiseAND(F.lit(self.size - 1)) for v in (value, F.shiftright(value, 32))]
+
     def has(self, value: Column) -> Column:
-        slot = value.bitwiseAND(F.lit(self.size - 1))
         table = F.split(F.lit(self.table), ",").cast("array<bigint>")  # folded into one literal
-        return F.getbit(F.get(table, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
+        first, second = (
+            F.getbit(F.get(table, F.shiftright(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")) == 1
+            for s in self._slots(value)
+        )
+        return first & second
 
 
 def _most_equal(around: Column, at: Column, item: Column, item_at: Column, width: Column, reach: int) -> Column:
@@ -185,8 +191,8 @@ def contaminated(
     near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
     run, reach = min([least_run(w, least_equal) for w in widths] or [1]), overlap_words - 1
-    item_runs = Slots(items.select(F.explode(_runs(F.col("item"), run)).alias("run")), "run")
-    item_slots = Slots(item_seeds, "item_seed")
+    item_runs = Slots(items.select(F.explode(_runs(F.col("item"), run)).alias("run")), "run", 64)
+    item_slots = Slots(item_seeds, "item_seed", 16)
 
     # Every array is bound once for the whole row; a filter between these steps would be pushed below
     # them and work them out again for each place.
