@@ -1,0 +1,39 @@
+"""Membership tests inside a row against a table that travels in the plan."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+# Bits of a table, as a power of two, at most; beyond that more values pass.
+MOST_BITS = 22
+
+
+class HashSlots:
+    """Two bits for each of some 64-bit hashes: no hash is missed, few others pass.
+
+    The table has some ``each`` bits to a hash, up to ``most_bits``, so its size in the plan is
+    bounded; what passes is to be joined and verified.
+    """
+
+    def __init__(self, hashes: DataFrame, name: str, each: int = 32, most_bits: int = MOST_BITS):
+        count = hashes.select(name).distinct().count()
+        self.size = 1 << min(most_bits, max(10, (each * count).bit_length()))
+        one = F.expr("shiftleft(1L, CAST(_slot & 63 AS INT))")
+        filled = (
+            hashes.select(F.explode(F.array(*self._slots(F.col(name)))).alias("_slot"))
+            .groupBy(F.shiftright("_slot", 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+        )
+        # One row for each 64 bits at most.
+        of = {r.word: r.bits for r in filled.collect()}
+        self.table = ",".join(str(of.get(k, 0)) for k in range(self.size >> 6))
+
+    def _slots(self, value: Column) -> list[Column]:
+        return [v.bitwiseAND(F.lit(self.size - 1)) for v in (value, F.shiftright(value, 32))]
+
+    def has(self, value: Column) -> Column:
+        table = F.split(F.lit(self.table), ",").cast("array<bigint>")  # folded into one literal
+        first, second = (
+            F.getbit(F.get(table, F.shiftright(s, 6).cast("int")), s.bitwiseAND(F.lit(63)).cast("int")) == 1
+            for s in self._slots(value)
+        )
+        return first & second

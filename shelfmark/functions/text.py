@@ -22,7 +22,7 @@ def find_folded(text: Column, needle: Column) -> Column:
     """Byte offsets of the non-overlapping hits of ``needle``, both sides folded already."""
     width = F.octet_length(needle).cast("bigint")
     pieces = F.transform(
-        F.split(text, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E"))),
+        F.split(text, F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))),
         lambda p: F.octet_length(p).cast("bigint"),
     )
     ends = let(pieces, lambda p: prefix_sums(F.slice(p, F.lit(1), F.size(p) - 1)))

@@ -13,6 +13,7 @@ from ..functions import html as H
 from ..functions import markdown as M
 from ..functions.arrays import let
 from ..functions.media import gps_decimal, to_bits_per_second, to_dpi, to_ticks
+from ..functions.probes import HashSlots
 from ..functions.paths import category, extension, file_name, folder
 from ..functions.sizes import dimension_folder
 from ..functions.text import (
@@ -87,22 +88,67 @@ def _terms(terms: Sequence[str]) -> Column:
     return F.array(*[F.lit(t) for t in terms])
 
 
-def doc_hits(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
-    """(key, term, hits): byte offsets per document and term; the terms travel in the plan.
+# Characters of the piece by which a term of a table is looked up.
+TERM_GRAM = 5
 
-    A text is folded once, before it is looked at for each term.
+
+def _grams(text: Column, length: int) -> Column:
+    """Every run of so many characters of a text, overlapping."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
+
+
+def term_index(terms: DataFrame, term: str, gram: int = TERM_GRAM) -> DataFrame:
+    """(term, gram): each distinct term with the piece of it that is looked up first.
+
+    A term of ``gram`` characters or fewer is its own piece.  Of a longer one it is the piece of
+    least hash, so terms that begin alike do not meet in one piece.  Empty and null terms go.
+    """
+    kept = terms.select(F.col(term).cast("string").alias("term")).filter("term <> ''").distinct()
+    folded = fold_ascii(F.col("term"))
+    pieces = F.transform(_grams(folded, gram), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
+    return kept.select("term", F.when(F.length(folded) > gram, F.array_min(pieces)["g"]).otherwise(folded).alias("gram"))
+
+
+def term_candidates(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str, gram: int = TERM_GRAM) -> DataFrame:
+    """(key, terms): for each document the terms whose piece it holds, all that occur in it among them.
+
+    A text is cut into pieces once for each piece length in use, however many terms there are.  A
+    table of bits tells in the row which pieces are worth a row; those are joined to the index.
     """
-    kept = sorted({t for t in terms if t})
-    folded = docs.select(key, fold_ascii(F.col(text)).alias("_text"))
-    hit = F.filter(_terms(kept), lambda t: F.contains("_text", fold_ascii(t)))
+    index = term_index(terms, term, gram)
+    lengths = sorted(r[0] for r in index.select(F.length("gram")).distinct().collect())
+    slots = HashSlots(index.select(F.xxhash64("gram").alias("h")), "h")
+    folded = fold_ascii(F.col(text))
+    pieces = let(folded, lambda t: F.concat(F.array().cast("array<string>"), *[_grams(t, n) for n in lengths]))
+    known = F.array_distinct(F.filter(pieces, lambda g: slots.has(F.xxhash64(g))))
+    found = docs.select(F.col(key).alias("_key"), F.explode(known).alias("gram")).join(index, "gram")
+    return found.groupBy("_key").agg(F.collect_set("term").alias("_terms"))
+
+
+def doc_hits(docs: DataFrame, key: str, text: str, terms: Sequence[str] | DataFrame, term: str = "term") -> DataFrame:
+    """(key, term, hits): byte offsets per document and term.
+
+    A few terms travel in the plan, and a text is folded once before it is looked at for each.
+    Any number of them come as a table: then only the candidates of a document are looked for in it.
+    """
+    folded = fold_ascii(F.col(text)).alias("_text")
+    if isinstance(terms, DataFrame):
+        candidates = term_candidates(docs, key, text, terms, term)
+        met = docs.select(key, folded).join(candidates, F.col(key).eqNullSafe(F.col("_key")))
+    else:
+        met = docs.select(key, folded).withColumn("_terms", _terms(sorted({t for t in terms if t})))
+    hit = F.filter("_terms", lambda t: F.contains("_text", fold_ascii(t)))
     found = F.transform(
         hit, lambda t: F.struct(t.alias("term"), find_folded(F.col("_text"), fold_ascii(t)).alias("hits"))
     )
-    return folded.select(key, F.explode(found).alias("_f")).select(key, "_f.*")
+    return met.select(key, F.explode(found).alias("_f")).select(key, "_f.*")
+
 
+def doc_search(docs: DataFrame, key: str, text: str, terms: Sequence[str] | DataFrame, term: str = "term") -> DataFrame:
+    """One row per hit: rank, the "3/17" label, and the hits before and after it, wrapping.
 
-def doc_search(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
-    """One row per hit: rank, the "3/17" label, and the hits before and after it, wrapping."""
+    ``terms`` are a few strings or a column ``term`` of a table.
+    """
     def around(hits: Column) -> Column:
         n = F.size(hits)
         after = F.concat(F.slice(hits, F.lit(2), n), F.slice(hits, 1, 1))
@@ -116,7 +162,7 @@ def doc_search(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> Da
             ),
         )
 
-    found = doc_hits(docs, key, text, terms)
+    found = doc_hits(docs, key, text, terms, term)
     return found.select(key, "term", F.explode(let(F.col("hits"), around)).alias("_h")).select(
         key, "term", "_h.*"
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import documents as D
@@ -139,6 +141,24 @@ def d5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.doc_search(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
 
 
+@query("d5_term_table", f"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}')) AS term FROM benchmark),
+p AS (SELECT doc_id, translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS t FROM documents),
+h AS (SELECT doc_id, term, string_split(t, translate(term, '{string.ascii_uppercase}', '{string.ascii_lowercase}')) AS parts FROM p, w
+  WHERE contains(t, translate(term, '{string.ascii_uppercase}', '{string.ascii_lowercase}')))
+SELECT doc_id, term, len(parts) - 1 AS n_hits, CAST(strlen(parts[1]) AS BIGINT) AS first_hit,
+  CAST(list_sum(list_transform(parts[1:len(parts) - 1], lambda x: strlen(x))) + (len(parts) - 2) * strlen(term) AS BIGINT) AS last_hit FROM h""")
+def d5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the benchmark looked up in every document."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"), F.lit(1))
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(words).alias("term"))
+    hits = D.doc_hits(table(spark, sf_dir, "documents"), "doc_id", "text", terms)
+    return hits.select(
+        "doc_id", "term", F.size("hits").cast("bigint").alias("n_hits"), F.get("hits", F.lit(0)).alias("first_hit"),
+        F.element_at("hits", -1).alias("last_hit"),
+    )
+
+
 @query("w9_find_position", f"""
 WITH h AS ({_sql_doc_hits('documents', 'doc_id')}), g AS (SELECT doc_id, term, max(n) AS n, min(rank) FILTER (WHERE off >= doc_id % 300) AS later FROM h GROUP BY ALL)
 SELECT doc_id, term, CAST(coalesce(later, 1) AS INT) AS position, CAST(n AS INT) AS n_hits FROM g""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.paths import DEFAULT_KNOWN
 from ..operators import gates, limits, summaries, vectors
@@ -486,13 +486,15 @@ def e2(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEW_NAME = "'/v/' || doc_id || " + case_of("doc_id", [".txt", ".html", "", ".png", ".md"])
 
 
-@query("e3_view_documents", """
+@query("e3_view_documents", r"""
 WITH t AS (SELECT doc_id, '/v/' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.html' WHEN 2 THEN '' WHEN 3 THEN '.png' ELSE '.md' END AS path,
   CASE doc_id % 5 WHEN 4 THEN 'Markdown' WHEN 3 THEN 'Image' ELSE 'Text' END AS kind,
-  CASE doc_id % 5 WHEN 1 THEN 'a ' || lang || ' & the' || chr(10) || 'The end' WHEN 3 THEN NULL ELSE text END AS text FROM documents)
+  CASE doc_id % 5 WHEN 1 THEN 'a ' || lang || ' & the' || chr(10) || CASE WHEN regexp_matches(text, '[^ \t\r\n]') THEN regexp_replace(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), '^ | $', '', 'g') || chr(10) ELSE '' END || 'The end'
+    WHEN 3 THEN NULL ELSE text END AS text FROM documents)
 SELECT path, kind, md5(text) AS digest, CAST((strlen(text) - strlen(replace(translate(text, 'THE', 'the'), 'the', ''))) // 3 AS INT) AS n_hits FROM t""")
 def e3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page = F.concat(F.lit("<p>a <b>"), "lang", F.lit("</b> &amp; the</p>\n<p>The end</p>"))
+    safe = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<p>a <b>"), "lang", F.lit("</b> &amp; the</p>\n<p>"), safe, F.lit("</p><p>The end</p>"))
     body = F.when(F.col("doc_id") % 5 == 1, page).otherwise(F.col("text"))
     files = table(spark, sf_dir, "documents").select(F.expr(VIEW_NAME).alias("path"), F.encode(body, "UTF-8").alias("content"))
     return view_documents(files, "the").select(
@@ -509,8 +511,12 @@ p AS (SELECT name, ms, peer_ms, round_even(ms / peer_ms * 100, 0) / 100 AS ratio
 s AS (SELECT 'peer' AS gate, name, ms, peer_ms AS ref, CASE ext WHEN 'avif' THEN 6.0::DOUBLE ELSE 3.0::DOUBLE END AS max_ratio FROM p WHERE rn = 1 AND ratio > CASE ext WHEN 'avif' THEN 6.0 ELSE 3.0 END
   UNION ALL SELECT 'self', m.name, ms, was, 2.5::DOUBLE FROM m JOIN w ON m.name = w.name WHERE ms >= 25 AND ms - was >= 40 AND round_even(ms / was * 100, 0) / 100 > 2.5),
 c AS (SELECT gate, s.name, max_ratio, coalesce(g.ms, s.ms) AS now, CASE gate WHEN 'peer' THEN coalesce(g.peer_ms, ref) ELSE ref END AS ref FROM s LEFT JOIN g ON s.name = g.name)
-SELECT gate, name, round_even(now / ref * 100, 0) / 100 AS ratio, max_ratio,
-  CASE WHEN round_even(now / ref * 100, 0) / 100 > max_ratio AND now - ref >= 40 THEN 'confirmed' ELSE 'cleared' END AS verdict FROM c"""
+SELECT gate, name, round_even(now / ref * 100, 0) / 100 AS ratio, max_ratio, reference,
+  CASE WHEN moved > 0.2 THEN 'inconclusive' WHEN round_even(now / ref * 100, 0) / 100 > max_ratio AND now - ref >= 40 THEN 'confirmed' ELSE 'cleared' END AS verdict
+FROM c, (SELECT 'ext' AS reference, max(abs(b - a) / greatest(a, b)) AS moved FROM
+    (SELECT ext, avg(ms) FILTER (ord % 2 = 1) AS a, avg(ms) FILTER (ord % 2 = 0) AS b FROM runs WHERE ms IS NOT NULL GROUP BY ext) WHERE a <> 0 AND b <> 0
+  UNION ALL SELECT 'name', max(abs(b - a) / greatest(a, b)) FROM
+    (SELECT name, max(ms) FILTER (ord % 2 = 1) AS a, min(ms) FILTER (ord % 2 = 0) AS b FROM runs WHERE ms IS NOT NULL GROUP BY name) WHERE a <> 0 AND b <> 0)"""
 
 
 @query("e4_performance_gate", GATE_SQL)
@@ -520,5 +526,13 @@ def e4(spark: SparkSession, sf_dir: str) -> DataFrame:
     recorded = summaries.best_of_n(runs.filter("ord % 2 = 1"))
     again = runs.filter("ord % 3 = 0").groupBy("name").agg(F.avg("ms").alias("ms"), F.max("peer_ms").alias("peer_ms"))
     allowed = spark.createDataFrame([("avif", 6.0)], "ext string, max_ratio double")
-    steady = runs.filter("tier = 'small'").agg(F.lit(0.05).alias("drift"))
-    return performance_gate(now, recorded, allowed, again, steady)
+
+    def moved(key: str, was: Column, is_: Column) -> DataFrame:
+        before = runs.filter("ord % 2 = 1").groupBy(key).agg(was.alias("ms"))
+        after = runs.filter("ord % 2 = 0").groupBy(key).agg(is_.alias("ms"))
+        return summaries.worst_drift(before, after, key, "ms").withColumnRenamed("worst_drift", "drift")
+
+    # The same suspects under two readings of how much the machine moved: means by kind, and single samples.
+    by_ext, by_name = moved("ext", F.avg("ms"), F.avg("ms")), moved("name", F.max("ms"), F.min("ms"))
+    gate = lambda drift, name: performance_gate(now, recorded, allowed, again, drift).withColumn("reference", F.lit(name))
+    return gate(by_ext, "ext").unionByName(gate(by_name, "name"))

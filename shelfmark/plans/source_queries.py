@@ -104,9 +104,10 @@ def _quoted(column: str):
 
 def _notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, key = _quoted("text"), F.col("doc_id").cast("string")
+    packed = F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r\n"), F.lit("\\n"))
     md = F.concat(
-        F.lit('{"cell_type":"markdown","source":["# D'), key, F.lit('\\n","![p](attachment:p.png)\\n"],"attachments":{"p.png":{"text/x":"no","image/png":"aGVs\\nbG8'),
-        F.lit('="}}}'),
+        F.lit('{"cell_type":"markdown","source":["# D'), key, F.lit('\\n","![p](attachment:p.png)\\n"],"attachments":{"p.png":{"text/x":"no","image/png":"'),
+        F.substring(packed, 1, 4), F.lit("\\n"), F.substring(packed, F.lit(5), F.length(packed)), F.lit('"}}}'),
     )
     code = F.concat(
         F.lit('{"cell_type":"code","source":'), text,
@@ -115,7 +116,7 @@ def _notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     meta = F.when(F.col("doc_id") % 2 == 0, '"metadata":{"kernelspec":{"language":"julia"}},').otherwise("")
     whole = F.concat(F.lit("{"), meta, F.lit('"cells":['), md, F.lit(","), code, F.lit(',{"cell_type":"raw","source":"r  "}]}'))
-    doc = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("not json "), key)).otherwise(whole)
+    doc = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("not json "), key, F.lit(" "), "text")).otherwise(whole)
     return table(spark, sf_dir, "documents").select("doc_id", doc.alias("doc"))
 
 
@@ -124,13 +125,13 @@ WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'julia' ELSE 'pyth
 SELECT doc_id, CAST(0 AS INT) AS cell, 'markdown' AS kind, '# D' || doc_id || chr(10) || '![p](c0/attachment:p.png)' AS source, '' AS outputs, lang, CAST(3 AS INT) AS n_cells FROM d
 UNION ALL SELECT doc_id, 1, 'code', regexp_replace(text, '\s+$', ''), 'ab ' || doc_id || chr(10) || 'E' || chr(10) || 'x' || chr(10) || '[image output]', lang, 3 FROM d
 UNION ALL SELECT doc_id, 2, 'raw', 'r', '', lang, 3 FROM d
-UNION ALL SELECT doc_id, 0, 'raw-json', 'not json ' || doc_id, '', 'json', 1 FROM documents WHERE doc_id % 10 = 0""")
+UNION ALL SELECT doc_id, 0, 'raw-json', 'not json ' || doc_id || ' ' || text, '', 'json', 1 FROM documents WHERE doc_id % 10 = 0""")
 def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notebooks.notebook_cells(_notebooks(spark, sf_dir), "doc_id", "doc")
 
 
 @query("s6_extract_attachments", """
-SELECT doc_id, 'c0/attachment:p.png' AS name, 'hello' AS content FROM documents WHERE doc_id % 10 <> 0""")
+SELECT doc_id, 'c0/attachment:p.png' AS name, text AS content FROM documents WHERE doc_id % 10 <> 0 AND text <> ''""")
 def s6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = notebooks.attachments(_notebooks(spark, sf_dir), "doc_id", "doc")
     return found.withColumn("content", F.col("content").cast("string"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import re
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from ..functions.paths import DEFAULT_KNOWN, extension, is_known
 
@@ -52,6 +56,43 @@ def scan_files(
     return out.dropDuplicates(["path"]) if len(roots) > 1 else out
 
 
+def read_heads(files: DataFrame, cap: int, path: str = "path") -> DataFrame:
+    """The rows of a listing with ``head``, the first ``cap`` bytes of each file, and ``was_longer``.
+
+    Every task opens its own files and reads no more than that of each; a listing without content
+    reads nothing itself.  Paths may have any scheme that Arrow's file systems know.  A file that
+    is gone by then, or a null path, has a null head.
+    """
+    fields = {f.name: f for f in files.schema}
+    kept = [n for n in fields if n not in ("head", "was_longer")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stores: dict[str, pa_fs.FileSystem] = {}
+
+        def head(name: str | None) -> tuple[bytes | None, bool | None]:
+            if name is None:
+                return None, None
+            root = re.match(r"(?!file:)[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", name)
+            where = root.group() if root else ""
+            if where not in stores:
+                stores[where] = pa_fs.FileSystem.from_uri(where + "/")[0] if where else pa_fs.LocalFileSystem()
+            inside = re.sub(r"^file:/+", "/", name) if not where else name.removeprefix(where)
+            try:
+                with stores[where].open_input_file(inside) as file:
+                    return file.read_at(cap, 0), file.size() > cap
+            except FileNotFoundError:
+                return None, None
+
+        for batch in batches:
+            found = [head(n) for n in batch.column(batch.schema.names.index(path)).to_pylist()]
+            heads, longer = pa.array([h for h, _ in found], pa.binary()), pa.array([w for _, w in found], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, heads, longer], [*batch.schema.names, "head", "was_longer"])
+
+    rows = files.select(*[F.col(f"`{n}`") for n in kept])
+    schema = StructType([*rows.schema.fields, StructField("head", BinaryType()), StructField("was_longer", BooleanType())])
+    return rows.mapInArrow(run, schema)
+
+
 def expand_inputs(
     spark: SparkSession,
     folders: Sequence[str],
