@@ -41,6 +41,11 @@ _NO_ID = -(1 << 63)
 # Shingles are hashed and counted this many at a time, so one long text needs no more memory.
 _STRIDE = 1 << 16
 
+# Equal parts of the range of hashes in which a set's shingles are counted, up to 16 bits each.
+PARTS = 256
+_PART_SHIFT = np.uint64(56)
+_FULL = (1 << 16) - 1
+
 # Rows whose shingle sets are held together.
 _ROWS = 200
 
@@ -224,18 +229,19 @@ def _common_shingles(texts: DataFrame, words_each: int) -> np.ndarray:
 
 
 def shingle_prefixes(texts: DataFrame, words_each: int, percent: int) -> DataFrame:
-    """``doc_id, text_hash, node, size, prefix`` of rows of ``doc_id, text, text_hash``.
+    """``doc_id, text_hash, node, size, prefix, sketch`` of rows of ``doc_id, text, text_hash``.
 
     ``node`` stands for the set of shingles.  ``prefix`` has its first shingles in an order that
     is one for all texts (those not known as frequent first, then by hash): as many that two sets
-    with ``percent`` of their union in common share one of them.
+    with ``percent`` of their union in common share one of them.  ``sketch`` counts the shingles in each
+    of ``PARTS`` equal parts of the hashes.
     """
     shared = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, words_each))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.append(shared.value, np.uint64(0))
         for batch in (part for whole in batches for part in _small(whole)):
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, prefixes, sketches = [], [], [], []
             for text in text_bytes(batch.column("text")):
                 grams = shingle_set(text, words_each)
                 often = common[np.searchsorted(common[:-1], grams)] == grams
@@ -243,14 +249,16 @@ def shingle_prefixes(texts: DataFrame, words_each: int, percent: int) -> DataFra
                 prefixes.append(np.concatenate([grams[~often], grams[often]])[:length].view(np.int64))
                 nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
                 sizes.append(len(grams))
+                parts = np.bincount((grams >> _PART_SHIFT).astype(np.int64), minlength=PARTS)
+                sketches.append(np.minimum(parts, _FULL).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"),
                  pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "text_hash", "node", "size", "prefix"],
+                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["doc_id", "text_hash", "node", "size", "prefix", "sketch"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, text_hash long, node long, size long, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, text_hash long, node long, size long, prefix array<long>, sketch binary")
 
 
 def _may_share(a: str, b: str, percent: int) -> Column:
@@ -263,6 +271,27 @@ def _may_share(a: str, b: str, percent: int) -> Column:
     return most * (100 + percent) >= F.lit(percent) * (size + other)
 
 
+def possible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``u, v`` whose sets can have ``percent`` of their union in common, by their sketches.
+
+    Two sets share in no part more than the smaller of both counts, so no pair is lost by this; only
+    what it leaves has to be compared by whole sets.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _small(whole, 4096)):
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, PARTS).astype(np.int64) for c in ("a", "b"))
+            least = np.minimum(a, b)
+            both, each = least.sum(axis=1), a.sum(axis=1) + b.sum(axis=1)
+            good = (100 * both >= percent * (each - both)) | (least == _FULL).any(axis=1)
+            kept = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"])
+            yield kept.filter(pa.array(good))
+
+    left = sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a"))
+    right = sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(keep, "u long, v long")
+
+
 def _wanted_sets(texts: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
     """``node, grams`` of the nodes whose rows ``wanted`` names by text hash, and of few others.
 
@@ -313,7 +342,7 @@ def similar_documents(
 
     Texts are linked where their sets of word shingles have at least ``percent`` of their union
     in common, and only there.  Candidates are all pairs with a common shingle in their prefixes,
-    which misses no such pair; each is then compared by its whole sets.  Every set is compared
+    which misses no such pair; each that its sketches allow is then compared by its whole sets.  Every set is compared
     with the smallest node at each of its prefix shingles first, and only pairs that these
     links leave in different components are compared after that: a dense group needs comparisons
     in proportion to its members.  ``first_id`` and ``first_hash`` name the row that stands for
@@ -337,8 +366,16 @@ def similar_documents(
     near = to_low.filter(_may_share("a", "b", percent)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     near = pin(near.distinct(), "near")
     met = sets.select("node").distinct()
-    own = pin(_wanted_sets(texts, nodes.join(met, "node").select("first.text_hash"), words_each), "sets")
-    links_ = pin(verified_links(near, own, percent), "links")
+    sketches = pin(prints.join(met, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        left = pin(possible_pairs(pairs, sketches, percent), "possible")
+        ends = left.select("u").union(left.select("v")).distinct().withColumnRenamed("u", "node")
+        wanted = nodes.join(ends, "node").select("first.text_hash")
+        own = pin(_wanted_sets(texts, wanted, words_each), "sets")
+        return pin(verified_links(left, own, percent), "links")
+
+    links_ = linked(near)
 
     roots = components(links_).withColumnsRenamed({"node": "_node", "root": "_root"})
     comps = sets.filter(F.col("node") > F.col("low.node")).join(roots, F.col("node") == F.col("_node"), "left")
@@ -351,7 +388,7 @@ def similar_documents(
     )
     far = a.join(b, match).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
     far = pin(far, "far")
-    links_ = links_.union(verified_links(far, own, percent))
+    links_ = links_.union(linked(far))
 
     roots = components(links_).withColumnRenamed("node", "_node")
     rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left")

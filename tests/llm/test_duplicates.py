@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -190,3 +191,25 @@ def test_texts_of_one_frame_stay_apart(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert similar_groups(texts) == list(range(120))
     assert simhash.one_of_each(docs).count() == 120
+
+
+def test_sketches_lose_no_pair(spark):
+    rng = np.random.default_rng(2)
+    rows, pairs = [], []
+    for k in range(60):
+        base = np.unique(rng.integers(0, 2**64, int(rng.integers(1, 900)), dtype=np.uint64))
+        kept = base[rng.random(len(base)) < rng.choice([0.5, 0.8, 0.9, 1.0])]
+        other = np.unique(np.concatenate([kept, rng.integers(0, 2**64, int(rng.integers(0, 90)), dtype=np.uint64)]))
+        for n, grams in ((2 * k, base), (2 * k + 1, other)):
+            parts = np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=simhash.PARTS)
+            rows.append((n, bytearray(parts.astype("<u2").tobytes())))
+        both = len(np.intersect1d(base, other))
+        pairs.append((2 * k, 2 * k + 1, 5 * both >= 4 * (len(base) + len(other) - both)))
+    full = bytearray(np.full(simhash.PARTS, 65535, dtype="<u2").tobytes())
+    rows += [(1000, full), (1001, full)]
+    sketches = spark.createDataFrame(rows, "node long, sketch binary")
+    table = spark.createDataFrame([p[:2] for p in pairs] + [(0, 3), (1000, 1001)], "u long, v long")
+    left = {(r.u, r.v) for r in simhash.possible_pairs(table, sketches, 80).collect()}
+    assert {p[:2] for p in pairs if p[2]} <= left and (1000, 1001) in left
+    assert len(left) < len(pairs)
+    assert simhash.possible_pairs(table.limit(0), sketches, 80).count() == 0
