@@ -7,6 +7,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from .. import constants as C
 from ..functions import html as H
@@ -24,6 +25,9 @@ from .ordering import natural_key, ordered_prefix
 # Bytes per block when hits are matched to pages.
 PAGE_BLOCK = 1 << 16
 
+# Page numbers that are summed together first.
+PAGE_RUN = 4096
+
 
 def page_texts(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, H.html_text(F.col(html)).alias("text"))
@@ -186,9 +190,23 @@ def page_starts(
     """
     width = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
     sized = pages.select(doc, page, width.alias("_w"))
-    return ordered_prefix(
-        sized, [doc], [F.col(page)], number="_n", sums={"next_start": F.col("_w")}
-    ).select(doc, page, (F.col("next_start") - F.col("_w")).alias("start"), "next_start")
+    if not isinstance(pages.schema[page].dataType, IntegralType):
+        placed = ordered_prefix(sized, [doc], [F.col(page)], number="_n", sums={"next_start": F.col("_w")})
+        return placed.select(doc, page, (F.col("next_start") - F.col("_w")).alias("start"), "next_start")
+    # Numbered pages are summed by runs of numbers first: a document of any length is many small groups,
+    # and nothing has to be stored between the two passes.
+    run = [doc, "_run"]
+    sized = sized.withColumn("_run", F.floor(F.col(page) / PAGE_RUN))
+    ahead = Window.partitionBy(doc).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sized.groupBy(*run).agg(F.sum("_w").alias("_sum")).select(
+        F.col(doc).alias("_doc"), F.col("_run").alias("_own"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead")
+    )
+    within = Window.partitionBy(*run).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.withColumn("_upto", F.sum("_w").over(within)).join(
+        runs, F.col(doc).eqNullSafe(F.col("_doc")) & F.col("_run").eqNullSafe(F.col("_own"))
+    )
+    end = F.col("_ahead") + F.col("_upto")
+    return placed.select(doc, page, (end - F.col("_w")).alias("start"), end.alias("next_start"))
 
 
 def hit_to_page(hits: DataFrame, starts: DataFrame, doc: str, page: str) -> DataFrame:

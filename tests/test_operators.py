@@ -295,3 +295,18 @@ def test_fill_of_three_channels(spark):
     peers = spark.createDataFrame([], "name int, peer_sd double")
     got = vectors.render_verdict(samples, peers, peers).collect()
     assert [(r["name"], r["verdict"], r["tail"]) for r in got] == [(1, "TRUNCATED", 0.4)]
+
+
+def test_page_starts_over_many_runs(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, p, "x" * (p % 7)) for p in range(-5, 9000, 3)] + [(2, 5000, None), (2, 1, "ab"), (None, 3, "q"), (None, 9000, "r")]
+    pages = spark.createDataFrame(rows, "doc int, page int, text string").repartition(5)
+    got = {(r["doc"], r["page"]): (r["start"], r["next_start"]) for r in documents.page_starts(pages, "doc", "page", "text").collect()}
+    named = documents.page_starts(pages.withColumn("page", F.format_string("%06d", F.col("page") + 10)), "doc", "page", "text").collect()
+    assert got == {(r["doc"], int(r["page"]) - 10): (r["start"], r["next_start"]) for r in named}
+    at = {}
+    for doc, page, text in sorted(rows, key=lambda r: (r[0] or 0, r[1])):
+        start = at.get(doc, 0)
+        at[doc] = start + len(text or "") + 1
+        assert got[doc, page] == (start, at[doc])
