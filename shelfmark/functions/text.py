@@ -79,22 +79,9 @@ def script_profile(text: Column, chars: int | None = None) -> Column:
     """Counts per script of a text (of its first ``chars`` characters, if given)."""
     head = text if chars is None else F.substring(text, 1, chars)
 
-    def count(cls: str) -> Column:
-        return F.regexp_count(head, F.lit(f"[{cls}]")).cast("bigint")
-
-    non_ascii = count(r"^\x00-\x7F")
-    kana = count(r"\x{3040}-\x{30FF}")
-    hangul = count(r"\x{AC00}-\x{D7A3}")
-    ideo = count(r"\x{4E00}-\x{9FFF}")
-    punct = count(r"\x{3000}-\x{303F}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}")
-    half = count(r"\x{FF61}-\x{FF9F}")
-    special = count(r"\x{E000}-\x{F8FF}\x{FFF0}-\x{FFFF}")
-    rare = count(r"\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}")
-    return F.struct(
-        ideo.alias("ideo"), kana.alias("kana"), hangul.alias("hangul"), punct.alias("punct"),
-        non_ascii.alias("non_ascii"), special.alias("special"), rare.alias("rare"),
-        half.alias("half"),
-    )
+    names = ("ideo", "kana", "hangul", "punct", "non_ascii", "special", "rare", "half")
+    counts = {n: F.regexp_count(head, F.lit(f"[{C.SCRIPT_CLASSES[n]}]")).cast("bigint") for n in names}
+    return F.struct(*[count.alias(n) for n, count in counts.items()])
 
 
 def script_score(profile: Column) -> Column:
@@ -102,13 +89,17 @@ def script_score(profile: Column) -> Column:
     p = profile
     good = p["ideo"] + p["kana"] + p["hangul"] + p["punct"]
     other = p["non_ascii"] - good - p["special"] - p["rare"]
-    bad = 3 * p["special"] + 2 * p["rare"] + other
+    bad = C.SCRIPT_SPECIAL_WEIGHT * p["special"] + C.SCRIPT_RARE_WEIGHT * p["rare"] + C.SCRIPT_OTHER_WEIGHT * other
     letters = p["ideo"] + p["kana"] + p["hangul"]
+
+    def at_least(part: Column, of: Column, share: tuple[int, int]) -> Column:
+        return part * share[1] >= of * share[0]
+
     dominant = (letters > 0) & (
-        (p["hangul"] * 20 >= letters * 13) | (p["kana"] * 20 >= letters * 3)
+        at_least(p["hangul"], letters, C.HANGUL_DOMINANT) | at_least(p["kana"], letters, C.KANA_DOMINANT)
     )
-    score = F.greatest(good - bad + F.when(dominant, 1000).otherwise(0), F.lit(1))
-    rejected = (p["non_ascii"] == 0) | (good * 4 < p["non_ascii"] * 3)
+    score = F.greatest(good - bad + F.when(dominant, C.DOMINANT_BONUS).otherwise(0), F.lit(1))
+    rejected = (p["non_ascii"] == 0) | ~at_least(good, p["non_ascii"], C.SCRIPT_KNOWN)
     return F.when(rejected, F.lit(0)).otherwise(score).cast("bigint")
 
 
