@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.files import BINARY_SCHEMA, identity
@@ -19,9 +20,12 @@ def new_files(batch: DataFrame, catalog: DataFrame | None) -> DataFrame:
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored catalogue; none if its folder does not exist, an error if it cannot be read."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.parquet(path) if there else None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def start_catalog(spark: SparkSession, source: str, catalog: str, checkpoint: str, *, glob: str | None = None):
