@@ -53,6 +53,43 @@ def natural_order(df: DataFrame, path: str) -> DataFrame:
     )
 
 
+def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows in key and order, cut into slices (``_slice``) and numbered inside them (``_pos``).
+
+    The slice numbers must not change between two uses, whatever is recomputed: they are pinned.
+    """
+    ranged = (
+        df.repartitionByRange(*[F.col(k) for k in keys], *order)
+        .sortWithinPartitions(*keys, *order)
+        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumn("_slice", F.shiftright("_pos", 33))
+    )
+    return pin(ranged, "slices")
+
+
+def _offsets(pinned: DataFrame, keys: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """What stands before each piece of a group that a slice border cuts: at most two rows per slice."""
+    pieces = pinned.groupBy("_slice", *keys).agg(
+        F.count("*").alias("_n"), F.min("_pos").alias("_o_first"), F.max("_pos").alias("_o_last"),
+        *[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in sums],
+    )
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    return pieces.select(
+        F.col("_slice").alias("_o_slice"), "_o_first", "_o_last",
+        *[F.col(k).alias(f"_o_{k}") for k in keys],
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"),
+        F.sum("_n").over(whole).alias("_o_total"),
+        F.count("*").over(whole).alias("_o_pieces"),
+        *[F.sum(f"_s_{name}").over(before).alias(f"_o_s_{name}") for name in sums],
+    ).filter(F.col("_o_pieces") > 1)
+
+
+def _same_piece(keys: Sequence[str]) -> Column:
+    match = F.col("_slice") == F.col("_o_slice")
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys], match)
+
+
 def ordered_prefix(
     df: DataFrame,
     keys: Sequence[str],
@@ -69,15 +106,7 @@ def ordered_prefix(
     shifted by what the slices before it hold.
     """
     sums = dict(sums or {})
-    ranged = (
-        df.withColumns({f"_v_{name}": value for name, value in sums.items()})
-        .repartitionByRange(*[F.col(k) for k in keys], *order)
-        .sortWithinPartitions(*keys, *order)
-        .withColumn("_pos", F.monotonically_increasing_id())
-        .withColumn("_slice", F.shiftright("_pos", 33))
-    )
-    # The slice numbers must not change between the two uses below, whatever is recomputed.
-    pinned = pin(ranged, "slices")
+    pinned = _slices(df.withColumns({f"_v_{name}": value for name, value in sums.items()}), keys, order)
     piece = Window.partitionBy("_slice", *keys)
     running = piece.orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     local = pinned.withColumns(
@@ -85,24 +114,9 @@ def ordered_prefix(
          "_size": F.count("*").over(piece)}
         | {name: F.sum(f"_v_{name}").over(running) for name in sums}
     )
-    pieces = pinned.groupBy("_slice", *keys).agg(
-        F.count("*").alias("_n"), *[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in sums]
-    )
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = pieces.select(
-        F.col("_slice").alias("_o_slice"),
-        *[F.col(k).alias(f"_o_{k}") for k in keys],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o_n"),
-        F.sum("_n").over(whole).alias("_o_total"),
-        F.count("*").over(whole).alias("_o_pieces"),
-        *[F.sum(f"_s_{name}").over(before).alias(f"_o_s_{name}") for name in sums],
-    ).filter(F.col("_o_pieces") > 1)
-    # Only groups cut by a slice border remain: at most two per slice, so broadcasting is safe.
-    match = F.col("_slice") == F.col("_o_slice")
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-    joined = local.join(F.broadcast(offsets), match, "left")
+    offsets = _offsets(pinned, keys, sums)
+    # At most two rows per slice, so broadcasting is safe.
+    joined = local.join(F.broadcast(offsets), _same_piece(keys), "left")
     zero = F.lit(0)
     shifted = {number: F.col(number) + F.coalesce(F.col("_o_n"), zero)} | {
         name: F.when(F.col(f"_o_s_{name}").isNull(), F.col(name)).otherwise(
@@ -116,6 +130,70 @@ def ordered_prefix(
     return joined.withColumns(shifted).select(*df.columns, *extra)
 
 
+def ordered_neighbours(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    value: str,
+    shifts: Mapping[str, int],
+    *,
+    number: str = "rn",
+    total: str = "n",
+) -> DataFrame:
+    """Per row the value some places ahead in its group, or one place back, wrapping at both ends.
+
+    ``shifts`` maps an output name to places ahead (-1: one back); position and group size come
+    along.  ``order`` must be a total order within each group.  Inside a slice a neighbour is a
+    ``lead`` or ``lag``; a group inside one slice wraps there.  Only the border rows of cut groups
+    travel further: a few per slice, so broadcasting them is safe.
+    """
+    if any(s < -1 or s == 0 for s in shifts.values()):
+        raise ValueError("shifts are 1 or more places ahead, or -1")
+    pinned = _slices(df, keys, order)
+    offsets = _offsets(pinned, keys)
+    ahead = max([1, *shifts.values()])
+    box = F.struct(F.col(value).alias("value"))
+    by_pos = Window.partitionBy("_slice", *keys).orderBy("_pos")
+    whole = by_pos.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    local = pinned.withColumns(
+        {number: F.row_number().over(by_pos).cast("bigint"), "_size": F.count("*").over(whole),
+         "_heads": F.array(*[F.nth_value(box, k + 1).over(whole) for k in range(ahead)]),
+         "_tail": F.last(box).over(whole)}
+        | {f"_near_{name}": (F.lead(box, s) if s > 0 else F.lag(box, 1)).over(by_pos) for name, s in shifts.items()}
+    )
+    borders = pinned.join(F.broadcast(offsets), _same_piece(keys)).filter(
+        (F.col("_pos") - F.col("_o_first") < ahead) | (F.col("_pos") == F.col("_o_last"))
+    )
+    own = F.col("_pos") - F.col("_o_first") + F.col("_o_n")
+    sent = borders.select(
+        *[F.col(k).alias(f"_f_{k}") for k in keys], box.alias("_box"),
+        F.explode(F.array(*[
+            F.struct((F.pmod(own - s, F.col("_o_total")) + 1).alias("to"), F.lit(name).alias("role"))
+            for name, s in shifts.items()
+        ])).alias("_at"),
+    )
+    fills = sent.groupBy(*[f"_f_{k}" for k in keys], F.col("_at.to").alias("_f_to")).agg(*[
+        F.first(F.when(F.col("_at.role") == name, F.col("_box")), ignorenulls=True).alias(f"_far_{name}")
+        for name in shifts
+    ])
+    placed = local.join(F.broadcast(offsets), _same_piece(keys), "left").withColumns({
+        number: F.col(number) + F.coalesce(F.col("_o_n"), F.lit(0)),
+        total: F.coalesce(F.col("_o_total"), F.col("_size")),
+    })
+    match = reduce(
+        and_, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys], F.col(number) == F.col("_f_to")
+    )
+
+    def found(name: str, shift: int) -> Column:
+        around = F.get("_heads", F.pmod(F.col(number) - 1 + shift, F.col(total)).cast("int")) if shift > 0 else F.col("_tail")
+        inside = F.when(F.col("_o_n").isNull(), around)
+        return F.coalesce(F.col(f"_near_{name}"), F.col(f"_far_{name}"), inside)["value"].alias(name)
+
+    return placed.join(F.broadcast(fills), match, "left").select(
+        *df.columns, number, total, *[found(name, s) for name, s in shifts.items()]
+    )
+
+
 def rank_values(
     df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column]
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import constants as C
 from ..functions.paths import extension, file_name, folder, stem
 from ..scratch import pin
-from .ordering import cover_key, natural_key, ordered_prefix
+from .ordering import cover_key, natural_key, ordered_neighbours, ordered_prefix
 
 
 def cover_candidates(entries: DataFrame) -> DataFrame:
@@ -255,31 +255,16 @@ def neighbours(
 ) -> DataFrame:
     """Previous, next and two files ahead in natural order, wrapping at both ends.
 
-    Each file is scattered to the positions that need it, keyed by (folder, position), so even a
-    folder holding most of the files spreads over the cluster.
+    A folder holding most of the files is cut into slices; only their border rows are exchanged.
     """
     keyed = files.select(
         F.col(folder_col).alias("folder"), F.col(path).alias("path"),
         natural_key(file_name(F.col(path))).alias("_k"),
     )
-    placed = ordered_prefix(
-        keyed, ["folder"], [F.col("_k"), F.col("path")], number="position", total="n",
-    ).drop("_k")
-    roles = {"path": 0, "next_path": 1, "ahead_2": 2, "ahead_3": 3, "previous_path": -1}
-    scattered = placed.withColumn(
-        "_to",
-        F.explode(F.array(*[
-            F.struct(
-                (F.pmod(F.col("position") - 1 - shift, F.col("n")) + 1).alias("position"),
-                F.lit(role).alias("role"),
-            )
-            for role, shift in roles.items()
-        ])),
-    ).select("folder", "n", "_to.position", "_to.role", "path")
-    return scattered.groupBy("folder", "position").agg(
-        F.max("n").alias("n"),
-        *[F.max(F.when(F.col("role") == role, F.col("path"))).alias(role) for role in roles],
-    )
+    return ordered_neighbours(
+        keyed, ["folder"], [F.col("_k"), F.col("path")], "path",
+        {"next_path": 1, "ahead_2": 2, "ahead_3": 3, "previous_path": -1}, number="position",
+    ).select("folder", "position", "n", "path", "next_path", "ahead_2", "ahead_3", "previous_path")
 
 
 def numbered_rows(

@@ -310,3 +310,23 @@ def test_page_starts_over_many_runs(spark):
         start = at.get(doc, 0)
         at[doc] = start + len(text or "") + 1
         assert got[doc, page] == (start, at[doc])
+
+
+@pytest.mark.parametrize("parts", ["1", "7", "40"])
+def test_neighbours_across_slices(spark, parts):
+    sizes = {"hot": 60, "two": 2, "one": 1, "three": 3, "five": 5, None: 4}
+    rows = [(f, f"{f or 'none'}/p{k}.jpg") for f, n in sizes.items() for k in range(n)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = picks.neighbours(spark.createDataFrame(rows, "f string, p string"), "f", "p").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    want = {
+        (f, k + 1, n, *(f"{f or 'none'}/p{(k + s) % n}.jpg" for s in (0, 1, 2, 3, -1)))
+        for f, n in sizes.items() for k in range(n)
+    }
+    assert len(found) == len(rows) and {tuple(r) for r in found} == want
