@@ -12,7 +12,6 @@ from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
 from ..functions.paths import DEFAULT_KNOWN, extension, is_known
 
-BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def _bare(path: Column) -> Column:

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.files import BINARY_SCHEMA, identity
-
-IDENTITY = ("id_path", "id_length", "id_mtime")
+from ..sources.files import identity
+from .versions import IDENTITY, file_versions
 
 
 def new_files(batch: DataFrame, catalog: DataFrame | None) -> DataFrame:
@@ -28,21 +27,18 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def start_catalog(spark: SparkSession, source: str, catalog: str, checkpoint: str, *, glob: str | None = None):
-    """Stream the new files of a folder into a catalogue table until all present are handled.
+def start_catalog(
+    spark: SparkSession, source: str, catalog: str, checkpoint: str, *,
+    glob: str | None = None, every: str | None = None,
+):
+    """Stream new and rewritten files of a folder into a catalogue table.
 
+    Without ``every`` the folder is looked at once; with it (``"10 minutes"``) again and again.
     Every batch is compared with the stored identities and writes its own folder, so a retried
-    batch replaces itself.  The file source never offers a known path again: a rewritten file is
-    found by :func:`catalog_rescan`.
+    batch replaces itself, and a catalogue survives the loss of its checkpoint.
     """
-    reader = (
-        spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", 100_000)
-    )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(source).select("path", "modificationTime", "length")
+    files = file_versions(spark, source, glob=glob).select("path", "modificationTime", "length")
+    trigger = {"processingTime": every} if every else {"availableNow": True}
 
     def record(batch: DataFrame, batch_id: int) -> None:
         target = f"{catalog}/batch={batch_id}"
@@ -53,7 +49,7 @@ def start_catalog(spark: SparkSession, source: str, catalog: str, checkpoint: st
 
     return (
         files.writeStream.foreachBatch(record)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 

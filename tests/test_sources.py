@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.sources import archives, delimited, files, lines, notebooks, overview, sections, sinks
+from shelfmark.sources.files import identity
 from shelfmark.streaming.catalog import catalog_rescan, start_catalog
+from shelfmark.streaming.versions import file_versions
 from shelfmark.streaming.throttle import throttle_batch, throttle_stream
 
 
@@ -141,6 +143,31 @@ def test_incremental_catalog(spark, tmp_path):
     time.sleep(1.1)
     (source / "a.bin").write_bytes(b"333")
     assert _names(catalog_rescan(spark, str(source), catalog)) == ["a.bin"]
+    start_catalog(spark, str(source), catalog, offsets).awaitTermination()
+    rows = spark.read.parquet(catalog).collect()
+    assert sorted((r["path"].rsplit("/", 1)[1], r["length"]) for r in rows) == [("a.bin", 1), ("a.bin", 3), ("b.bin", 2)]
+    assert catalog_rescan(spark, str(source), catalog).count() == 0
+
+
+def test_versions_are_listed_as_the_reader_does(spark, tmp_path):
+    source, out, offsets = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "offsets")
+    for name in ("a.bin", "x/b.bin", "x/y/c d.bin", "x/y/z/é.txt", "_tmp/no.bin", ".git/no.bin", "x/_no.bin", "k=1/d.bin"):
+        (source / name).parent.mkdir(parents=True, exist_ok=True)
+        (source / name).write_bytes(name.encode())
+    (source / "empty").mkdir()
+    def run(glob=None):
+        file_versions(spark, str(source), glob=glob).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", offsets
+        ).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r["path"], r["length"], r["id_mtime"]) for r in spark.read.parquet(out).collect())
+
+    listed = identity(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(source)))
+    assert run() == sorted((r["path"], r["length"], r["id_mtime"]) for r in listed.collect())
+    assert len(run()) == 5
+    (source / "x" / "b.bin").write_bytes(b"another")
+    (source / "x" / "e.txt").write_bytes(b"left out")
+    added = run("*.bin")
+    assert len(added) == 6 and [n for p, n, _ in added if p.endswith("x/b.bin")] == [7, 7]
 
 
 DAY = 86_400_000_000
