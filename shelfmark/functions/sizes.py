@@ -14,7 +14,7 @@ _NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 def human_size(n_bytes: Column) -> Column:
     """``1536 -> '1.5 KB'``: base 1024, one decimal, half-even like the published rule."""
-    out = F.concat(n_bytes.cast("bigint").cast("string"), F.lit(" B"))
+    out = F.concat(n_bytes.try_cast("bigint").cast("string"), F.lit(" B"))
     for power, unit in enumerate(_UNITS, start=1):
         scaled = n_bytes.cast("double") / float(1024**power)
         text = F.concat(F.format_string("%.1f", F.bround(scaled, 1)), F.lit(f" {unit}"))

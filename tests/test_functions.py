@@ -13,6 +13,17 @@ def test_human_size(evaluate):
     assert got == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "1.2 KB", "5.0 TB"]
 
 
+def test_sizes_beyond_64_bits(spark, evaluate, tmp_path):
+    from decimal import Decimal
+
+    from shelfmark.plans import QUERIES
+
+    assert evaluate(sizes.human_size, [Decimal(1023), Decimal(2**66)], "v decimal(38,0)") == ["1023 B", "67108864.0 TB"]
+    spark.createDataFrame([(7, 2), (51_282, 120_000)], "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.size for r in QUERIES["f1_human_size"](spark, str(tmp_path)).collect()}
+    assert got == {7: "688 B", 51_282: "%.1f TB" % (120_000 * (51_282**3 + 1) / 1024**4)}
+
+
 def test_parse_size(evaluate):
     got = evaluate(sizes.parse_size, ["2MB", "1.5k", "700", "7b", "inf", "nan", "-3", "0", "1d", "x", ""])
     assert got == [2_000_000, 1500, 700, 7, None, None, None, None, None, None, None]
