@@ -30,6 +30,9 @@ _NONE = np.iinfo(np.int32).max
 REMEMBERED = 96 << 20
 _ENTRY = 320
 
+# Ids that the library decodes at a time; longer lists are cut in front of a word.
+DECODED = 1 << 18
+
 
 class PairTable:
     """Which of some distinct numbers each of many is, by an open hash table."""
@@ -83,15 +86,10 @@ class PieceModel:
         special = {k for k in range(count) if model.is_control(k) or model.is_unknown(k)} | self.bytes
         if any(MARK in p.lstrip(MARK) for k, p in enumerate(pieces) if k not in special):
             raise ValueError("a piece crosses words; this encoder takes each word by itself")
-        # A byte's id, and the bytes each id stands for.
+        self.library = model
         self.byte_id = {int(pieces[k][3:5], 16): k for k in self.bytes}
-        self.surface = [
-            bytes([int(p[3:5], 16)]) if k in self.bytes
-            else b" \xe2\x81\x87 " if k == self.unknown
-            else b"" if k in special
-            else p.replace(MARK, " ").encode()
-            for k, p in enumerate(pieces)
-        ]
+        # Pieces that begin with the mark: in front of them a list of ids can be cut.
+        self.begins = np.array([k not in special and p.startswith(MARK) for k, p in enumerate(pieces)])
         # Inside this class the mark is a space again.
         ids = {p.replace(MARK, " "): k for k, p in enumerate(pieces) if k not in special}
         self.letter = np.arange(-1, -0x110001, -1, dtype=np.int64)
@@ -211,9 +209,15 @@ class PieceModel:
             return [self.unknown]
         return [self.byte_id[b] for b in chr(code).encode()]
 
-    def decode(self, ids: list[int]) -> bytes:
-        """UTF-8 bytes that a word's ids stand for."""
-        return b"".join([self.surface[k] for k in ids])
+    def decode(self, ids: np.ndarray) -> str:
+        """What the library decodes these ids to."""
+        cuts = [0]
+        if len(ids) > DECODED:
+            places = np.flatnonzero(self.begins[ids])
+            wanted = np.searchsorted(places, np.arange(DECODED, len(ids), DECODED))
+            cuts += np.unique(places[wanted[wanted < len(places)]]).tolist()
+        # A part loses its first mark, which is the space between it and the part before.
+        return " ".join([self.library.decode(ids[a:b].tolist()) for a, b in zip(cuts, [*cuts[1:], len(ids)])])
 
 
 class Encoder:
@@ -222,36 +226,26 @@ class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.model, self.remembered, self.held = PieceModel(path), remembered, 0
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
-        # Decoded bytes of the words that do not come back as they are written.
-        self.odd: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
         if self.held > self.remembered:
             self.known.clear()
-            self.odd.clear()
             self.held = 0
         new = list(words.difference(self.known))
         for word, ids in zip(new, self.model.merge(new)):
             digits, flat = ",".join(map(str, ids)).encode(), array("i", ids).tobytes()
             self.known[word] = len(ids), digits, flat
             self.held += _ENTRY + 4 * len(word) + len(digits) + len(flat)
-            if self.model.unknown in ids:
-                self.odd[word] = self.model.decode(ids)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes, np.ndarray]]:
-        """For each text: number of ids, the ids in decimal joined by commas, the decoded bytes, the ids."""
+        """For each text: number of ids, the ids in decimal joined by commas, the bytes decoded from the ids, the ids."""
         split = [self.model.words(" " + t.replace(MARK, " ")) if t else [] for t in texts]
         self.learn(set().union(*split))
         known = self.known.__getitem__
         for words in split:
             parts = list(map(known, words))
-            if self.odd and not self.odd.keys().isdisjoint(words):
-                text = b"".join([self.odd[w] if w in self.odd else w.encode() for w in words])
-            else:
-                text = "".join(words).encode()
-            # The leading space that encoding put in is not part of the text.
             ids = np.frombuffer(b"".join([p[2] for p in parts]), dtype=np.int32)
-            yield len(ids), b",".join([p[1] for p in parts]), text.removeprefix(b" "), ids
+            yield len(ids), b",".join([p[1] for p in parts]), self.model.decode(ids).encode(), ids
 
 
 def encode_documents(docs: DataFrame, model_path: str, *, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:

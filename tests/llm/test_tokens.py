@@ -45,6 +45,17 @@ def test_pieces_of_odd_rows(library, odd, odd_rows, empty):
     assert pieces.encode_documents(empty, PIECES).count() == 0
 
 
+def test_texts_are_decoded_from_their_ids(library, monkeypatch):
+    monkeypatch.setattr(pieces, "DECODED", 3)
+    texts = ["many plain words in a row", "  two  spaces ", "日本 é\u0000 x", "longwordwithoutanyspaceinit", "a" * 50, ""]
+    encoder = pieces.Encoder(PIECES)
+    assert [x[2].decode() for x in encoder.encode(texts)] == [library.decode(library.encode(t)) for t in texts]
+    # Other ids of the words that were met give another text: nothing is copied from the input.
+    other = library.encode("other")
+    encoder.known[" many"] = len(other), ",".join(map(str, other)).encode(), np.array(other, dtype=np.int32).tobytes()
+    assert next(encoder.encode(texts[:1]))[2].decode() == "other plain words in a row"
+
+
 @pytest.mark.parametrize("kind", [b"B", b"b"])
 @pytest.mark.parametrize("count", [0, 1, 7, 64, 1000])
 def test_planes_round_trip(kind, count):
