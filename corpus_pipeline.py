@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the first, of each group of texts that share four fifths of their shingles."""
-    return simhash.one_of_each(docs)
+    """Keep the first document of each group that SimHash words propose and four fifths of the shingles confirm."""
+    return simhash.one_of_each(docs, simhash.near_copies(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

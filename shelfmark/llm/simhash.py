@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -23,6 +23,13 @@ SEED = 42
 SIMILAR_WORDS = 5
 SIMILAR_PERCENT = 80
 
+# By how many independent SimHash words near copies are proposed, of how many words each shingle,
+# and by how many bits the nearest of these words may differ, and all of them together.
+WORDS = 3
+WORD_SHINGLES = 3
+WORD_BITS = 5
+ALL_BITS = 27
+
 # Which texts are sampled for frequent shingles, from how many of them on a shingle is frequent,
 # and how many such shingles every executor gets at most.
 SAMPLE_EVERY = 16
@@ -33,7 +40,7 @@ COMMON_SHINGLES = 1 << 20
 SLOT_COUNT = 1 << 24
 
 # An entry's key holds a segment's bits below and the number of the left-out bit from here on.
-_TAG = 57
+_TAG = 48
 
 # Stands for a null document id where ids are compared.
 _NO_ID = -(1 << 63)
@@ -67,11 +74,24 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint_of(text: bytes, words_each: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """SimHash of one text: lower-cased ASCII letters, word shingles, repeats counted."""
+# Multipliers by which a shingle's hash is made into those of further, independent words.
+_MIXED = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The hashes for the SimHash word of this number; the first has them as they are."""
+    if not number:
+        return hashes
+    hashes = hashes * _MIXED[number - 1]
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return hashes ^ (hashes >> np.uint64(32))
+
+
+def fingerprint_words(text: bytes, count_words: int, words_each: int, seed: int = SEED) -> list[int]:
+    """Independent SimHash words (up to four) of one text: lower-cased ASCII letters, word shingles, repeats counted."""
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * count_words
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(lengths + 1) - 1
@@ -79,11 +99,18 @@ def fingerprint_of(text: bytes, words_each: int = SHINGLE_WORDS, seed: int = SEE
     count = max(1, len(words) - words_each + 1)
     first = starts[:count].tolist()
     last = ends[min(words_each, len(words)) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
+    digest, ones = xxhash.xxh64_intdigest, np.zeros((count_words, BITS), dtype=np.int64)
     for at in range(0, count, _STRIDE):
         spans = zip(first[at : at + _STRIDE], last[at : at + _STRIDE])
-        ones += bit_counts(np.array([digest(joined[a:b], seed) for a, b in spans], dtype=np.uint64))
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], dtype=np.uint64)
+        for number in range(count_words):
+            ones[number] += bit_counts(_mixed(hashes, number))
+    return np.packbits(2 * ones > count, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def fingerprint_of(text: bytes, words_each: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """SimHash of one text."""
+    return fingerprint_words(text, 1, words_each, seed)[0]
 
 
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
@@ -228,6 +255,12 @@ def _common_shingles(texts: DataFrame, words_each: int) -> np.ndarray:
     return np.sort(found["gram"].to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _sketch(grams: np.ndarray) -> bytes:
+    """How many shingles of a set lie in each of ``PARTS`` equal parts of the hashes."""
+    parts = np.bincount((grams >> _PART_SHIFT).astype(np.int64), minlength=PARTS)
+    return np.minimum(parts, _FULL).astype("<u2").tobytes()
+
+
 def shingle_prefixes(texts: DataFrame, words_each: int, percent: int) -> DataFrame:
     """``doc_id, text_hash, node, size, prefix, sketch`` of rows of ``doc_id, text, text_hash``.
 
@@ -249,8 +282,7 @@ def shingle_prefixes(texts: DataFrame, words_each: int, percent: int) -> DataFra
                 prefixes.append(np.concatenate([grams[~often], grams[often]])[:length].view(np.int64))
                 nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
                 sizes.append(len(grams))
-                parts = np.bincount((grams >> _PART_SHIFT).astype(np.int64), minlength=PARTS)
-                sketches.append(np.minimum(parts, _FULL).astype("<u2").tobytes())
+                sketches.append(_sketch(grams))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"),
                  pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
@@ -321,7 +353,7 @@ def verified_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """Those of the pairs ``u, v`` of nodes whose sets have at least ``percent`` of their union in common."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _small(whole)):
             good = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 a, b = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
@@ -355,16 +387,104 @@ def similar_documents(
     nodes = pin(prints.groupBy("node").agg(F.min(low).alias("first")), "nodes")
 
     sets = prints.dropDuplicates(["node"]).select("node", "size", F.posexplode("prefix").alias("at", "gram"))
+    sets = _shared(sets, "size", "at")
+    linked = _comparison(sets, prints, texts, nodes, words_each, percent)
+    links_ = _links_in_groups(sets, lambda a, b: _may_share(a, b, percent), linked, "size", "at")
+    return _named(prints, nodes, links_)
+
+
+def fingerprint_sets(texts: DataFrame, words_each: int) -> DataFrame:
+    """``doc_id, text_hash, node, words, sketch`` of rows of ``doc_id, text, text_hash``: set of shingles and SimHash words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _small(whole)):
+            nodes, prints, sketches = [], [], []
+            for text in text_bytes(batch.column("text")):
+                grams = shingle_set(text, words_each)
+                nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
+                sketches.append(_sketch(grams))
+                prints.append(np.array(fingerprint_words(text, WORDS, WORD_SHINGLES), dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_hash"),
+                 pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.list_(pa.int64())),
+                 pa.array(sketches, pa.binary())],
+                ["doc_id", "text_hash", "node", "words", "sketch"],
+            )
+
+    return texts.mapInArrow(run, "doc_id long, text_hash long, node long, words array<long>, sketch binary")
+
+
+def near_copies(docs: DataFrame, *, words_each: int = SIMILAR_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
+    """What ``similar_documents`` returns, with the candidates proposed by SimHash.
+
+    A text has ``WORDS`` independent SimHash words.  Texts of which one word differs by at most
+    ``WORD_BITS`` bits, and all together by ``ALL_BITS``, are candidates, found like ``links`` finds
+    them: by segments with one bit left out.  Candidates are linked where their whole sets of shingles
+    have ``percent`` of their union in common; a pair little above that share may not be proposed.
+    """
+    texts = keyed_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    prints = pin(fingerprint_sets(texts, words_each), "prints")
+    low = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    nodes = pin(prints.groupBy("node").agg(F.min(low).alias("first"), F.min("words").alias("words")), "nodes")
+
+    names, parts = [f"w{n}" for n in range(WORDS)], WORD_BITS // 2 + 1
+    words = nodes.select("node", *[F.get("words", F.lit(n)).alias(name) for n, name in enumerate(names)])
+    entries = _index(words, names, parts, "node").select("node", F.col("key").alias("gram"))
+    lower = words.select(F.col("node").alias("_low"), F.struct("node", *names).alias("low"))
+    sets = _shared(entries).withColumn("_low", F.col("low.node")).drop("low").join(words, "node").join(lower, "_low")
+    sets = pin(sets, "candidates")
+
+    def close(a: str, b: str) -> Column:
+        each = [_distance([name], a, b) for name in names]
+        return (F.least(*each) <= WORD_BITS) & (_distance(names, a, b) <= ALL_BITS)
+
+    linked = _comparison(sets, prints, texts, nodes, words_each, percent)
+    links_ = _links_in_groups(sets, close, linked, *names, once=lambda a, b: _first_entry(names, parts, a, b))
+    return _named(prints, nodes, links_)
+
+
+def _shared(sets: DataFrame, *carried: str) -> DataFrame:
+    """The entries ``node, gram`` of grams that several nodes have, each with the smallest of these nodes (``low``)."""
     by = Window.partitionBy("gram")
     sets = sets.repartition("gram").withColumns({
-        "low": F.min(F.struct("node", "size", "at")).over(by), "high": F.max("node").over(by),
+        "low": F.min(F.struct("node", *carried)).over(by), "high": F.max("node").over(by),
     })
-    sets = pin(sets.filter("low.node < high").drop("high"), "shared")
+    return pin(sets.filter("low.node < high").drop("high"), "shared")
 
+
+def _links_in_groups(
+    sets: DataFrame, close: Callable[[str, str], Column], linked: Callable[[DataFrame], DataFrame], *carried: str,
+    once: Callable[[str, str], Column] = lambda a, b: F.lit(True),
+) -> DataFrame:
+    """Links ``u, v`` that connect what all linked pairs with a common gram would.
+
+    ``close`` tells of two entries of a gram whether they are candidates, ``linked`` which candidates
+    are links.  Each node is compared with the smallest one at each of its grams first, and then only
+    with those that these links leave in another component, at the gram that ``once`` lets through.
+    """
     to_low = sets.filter((F.col("node") > F.col("low.node")))
-    to_low = to_low.select(F.struct("node", "size", "at").alias("a"), F.col("low").alias("b"))
-    near = to_low.filter(_may_share("a", "b", percent)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    near = pin(near.distinct(), "near")
+    to_low = to_low.select(F.struct("node", *carried).alias("a"), F.col("low").alias("b"))
+    near = to_low.filter(close("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    links_ = linked(pin(near.distinct(), "near"))
+
+    by = Window.partitionBy("gram")
+    roots = components(links_).withColumnsRenamed({"node": "_node", "root": "_root"})
+    comps = sets.filter(F.col("node") > F.col("low.node")).join(roots, F.col("node") == F.col("_node"), "left")
+    comps = comps.select("node", *carried, "gram", F.coalesce("_root", "node").alias("comp"), F.col("gram").alias("key")).repartition("gram")
+    comps = comps.withColumns({"one": F.min("comp").over(by), "other": F.max("comp").over(by)}).filter("one < other")
+    a, b = comps.alias("a"), comps.alias("b")
+    match = (
+        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") != F.col("b.comp"))
+        & (F.col("a.node") < F.col("b.node")) & close("a", "b") & once("a", "b")
+    )
+    far = a.join(b, match).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    return links_.union(linked(pin(far, "far")))
+
+
+def _comparison(
+    sets: DataFrame, prints: DataFrame, texts: DataFrame, nodes: DataFrame, words_each: int, percent: int
+) -> Callable[[DataFrame], DataFrame]:
+    """What tells which pairs of nodes are links: by their sketches, then by their whole sets."""
     met = sets.select("node").distinct()
     sketches = pin(prints.join(met, "node", "left_semi").groupBy("node").agg(F.first("sketch").alias("sketch")), "sketches")
 
@@ -375,21 +495,11 @@ def similar_documents(
         own = pin(_wanted_sets(texts, wanted, words_each), "sets")
         return pin(verified_links(left, own, percent), "links")
 
-    links_ = linked(near)
+    return linked
 
-    roots = components(links_).withColumnsRenamed({"node": "_node", "root": "_root"})
-    comps = sets.filter(F.col("node") > F.col("low.node")).join(roots, F.col("node") == F.col("_node"), "left")
-    comps = comps.select("node", "size", "at", "gram", F.coalesce("_root", "node").alias("comp")).repartition("gram")
-    comps = comps.withColumns({"one": F.min("comp").over(by), "other": F.max("comp").over(by)}).filter("one < other")
-    a, b = comps.alias("a"), comps.alias("b")
-    match = (
-        (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") != F.col("b.comp"))
-        & (F.col("a.node") < F.col("b.node")) & _may_share("a", "b", percent)
-    )
-    far = a.join(b, match).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    far = pin(far, "far")
-    links_ = links_.union(linked(far))
 
+def _named(prints: DataFrame, nodes: DataFrame, links_: DataFrame) -> DataFrame:
+    """Every row with its component and the row that stands for it."""
     roots = components(links_).withColumnRenamed("node", "_node")
     rooted = nodes.join(roots, F.col("node") == F.col("_node"), "left")
     rooted = pin(rooted.select("node", "first", F.coalesce("root", "node").alias("root")), "rooted")
@@ -401,9 +511,9 @@ def similar_documents(
     )
 
 
-def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of ``docs`` with one of each component of ``similar_documents``; equal rows are one."""
-    found = similar_documents(docs, **options)
+def one_of_each(docs: DataFrame, found: DataFrame | None = None, **options: int) -> DataFrame:
+    """The rows of ``docs`` with one of each component of ``found`` (else of ``similar_documents``); equal rows are one."""
+    found = similar_documents(docs, **options) if found is None else found
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
     stays = first.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_stays"), F.col("text_hash").alias("_as")).distinct()
     stays = pin(stays, "stays")

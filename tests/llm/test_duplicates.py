@@ -182,6 +182,47 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch):
     assert 60 < len(set(expected)) < len(texts) - 40
 
 
+def test_near_copies_are_proposed_by_simhash_words(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=300)
+        for edits in (0, 0, 2, 8):
+            copy = list(base)
+            for at in rng.sample(range(300), edits):
+                copy[at] = "changed" + str(rng.random())
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.first_id for r in simhash.near_copies(docs).collect()}
+    expected = similar_groups(texts)
+    # A pair near the bound may be missed; none beyond it is linked.
+    assert all(got[k] >= expected[k] and expected[got[k]] == expected[k] for k in got)
+    missed = sum(got[k] != expected[k] for k in got)
+    assert missed <= 0.1 * (len(texts) - len(set(expected)))
+    first = simhash.fingerprint_words(texts[0].encode(), 3, 4)
+    assert first[0] == simhash.fingerprint_of(texts[0].encode()) and len(set(first)) == 3
+    # Without words in common there are no candidates, whatever the sets share.
+    monkeypatch.setattr(simhash, "ALL_BITS", -1)
+    assert simhash.near_copies(docs).select("component_id").distinct().count() == len(set(texts))
+
+
+def test_a_dense_group_is_compared_with_its_smallest_member(spark, monkeypatch):
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(3000)]
+    base, texts = rng.choices(words, k=600), []
+    for k in range(200):
+        copy = list(base)
+        copy[3 * k] = "changed"
+        texts.append(" ".join(copy))
+    compared, real = [], simhash.possible_pairs
+    monkeypatch.setattr(simhash, "possible_pairs", lambda pairs, *rest: compared.append(pairs.count()) or real(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.one_of_each(docs, simhash.near_copies(docs)).count() == 1
+    # All pairs would be 19,900.
+    assert sum(compared) < 4000
+
+
 def test_texts_of_one_frame_stay_apart(spark):
     rng = random.Random(10)
     words = [f"w{k}" for k in range(3000)]
