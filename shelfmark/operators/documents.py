@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Collection, Iterator, Mapping, Sequence
+from functools import lru_cache, reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
@@ -14,7 +17,6 @@ from ..functions import html as H
 from ..functions import markdown as M
 from ..functions.arrays import let
 from ..functions.media import gps_decimal, to_bits_per_second, to_dpi, to_ticks
-from ..functions.probes import HashSlots
 from ..functions.paths import category, extension, file_name, folder
 from ..functions.sizes import dimension_folder
 from ..functions.text import (
@@ -101,32 +103,174 @@ def _grams(text: Column, length: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
 
+# Bytes of a piece that texts are first looked at for, and a prime near 2^22: slots of the table of such bytes.
+CODE_BYTES = 5
+CODE_SLOTS = 4_194_301
+
+# Bytes of text that a task holds at a time, rows that it hands on at a time, and bytes of a needle compared one by one.
+SEARCH_SLICE = 1 << 20
+FOUND_ROWS = 20_000
+COMPARED = 32
+
+
 def term_index(terms: DataFrame, term: str, gram: int = TERM_GRAM) -> DataFrame:
-    """(term, gram): each distinct term with the piece of it that is looked up first.
+    """(term, gram, code): each distinct term with the piece of it that is looked up first.
 
     A term of ``gram`` characters or fewer is its own piece.  Of a longer one it is the piece of
-    least hash, so terms that begin alike do not meet in one piece.  Empty and null terms go.
+    least hash, so terms that begin alike do not meet in one piece.  The code is the piece's first
+    bytes, five at most, behind a one as a number.  Empty and null terms go.
     """
     kept = terms.select(F.col(term).cast("string").alias("term")).filter("term <> ''").distinct()
     folded = fold_ascii(F.col("term"))
     pieces = F.transform(_grams(folded, gram), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
-    return kept.select("term", F.when(F.length(folded) > gram, F.array_min(pieces)["g"]).otherwise(folded).alias("gram"))
+    kept = kept.select("term", F.when(F.length(folded) > gram, F.array_min(pieces)["g"]).otherwise(folded).alias("gram"))
+    head = F.hex(F.substring(F.encode("gram", "UTF-8"), 1, CODE_BYTES))
+    return kept.withColumn("code", F.conv(F.concat(F.lit("1"), head), 16, 10).cast("bigint"))
 
 
 def term_candidates(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str, gram: int = TERM_GRAM) -> DataFrame:
-    """(key, terms): for each document the terms whose piece it holds, all that occur in it among them.
+    """(key, terms): for each document the terms whose piece it may hold, all that occur in it among them.
 
-    A text is cut into pieces once for each piece length in use, however many terms there are.  A
-    table of bits tells in the row which pieces are worth a row; those are joined to the index.
+    The numbers of all runs of bytes in a text are computed at once for each length in use, however
+    many terms there are.  A table of bits tells in the row which are worth a row; those are joined
+    to the index.
     """
-    index = term_index(terms, term, gram)
-    lengths = sorted(r[0] for r in index.select(F.length("gram")).distinct().collect())
-    slots = HashSlots(index.select(F.xxhash64("gram").alias("h")), "h")
-    folded = fold_ascii(F.col(text))
-    pieces = let(folded, lambda t: F.concat(F.array().cast("array<string>"), *[_grams(t, n) for n in lengths]))
-    known = F.array_distinct(F.filter(pieces, lambda g: slots.has(F.xxhash64(g))))
-    found = docs.select(F.col(key).alias("_key"), F.explode(known).alias("gram")).join(index, "gram")
-    return found.groupBy("_key").agg(F.collect_set("term").alias("_terms"))
+    index = term_index(terms, term, gram).select("term", "code")
+    # One row for each 64 bits at most.
+    slot = F.pmod("code", F.lit(CODE_SLOTS))
+    words = index.select((slot / 64).cast("int").alias("w"), (slot % 64).cast("int").alias("b")).groupBy("w")
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).collect()
+    packed = np.zeros(CODE_SLOTS // 64 + 1, dtype="<i8")
+    packed[[r.w for r in words]] = [r.bits for r in words]
+    codes = index.select(F.floor((F.length(F.conv("code", 10, 16)) - 1) / 2).cast("int").alias("n"))
+    lengths = sorted(r.n for r in codes.distinct().collect())
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool)
+        for batch, texts in _text_slices(batches):
+            owners, found = _met(texts, lengths, marked)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners)), pa.array(found)], names=["_key", "code"])
+
+    kind = docs.select(F.col(key).alias("_key"), F.lit(0).cast("bigint").alias("code")).schema
+    found = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(known, kind)
+    return found.join(index, "code").groupBy("_key").agg(F.collect_set("term").alias("_terms"))
+
+
+def _text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Rows some ``SEARCH_SLICE`` bytes at a time, and their second column's texts as folded bytes."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // SEARCH_SLICE
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            rows = batch.slice(a, b - a)
+            # Of bytes, lower() changes A-Z only.
+            yield rows, [t if t is None else t.lower() for t in rows.column(1).cast(pa.binary()).to_pylist()]
+
+
+def _codes(data: np.ndarray, lengths: Collection[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the lengths the codes of all runs of so many bytes."""
+    code = np.ones(len(data), dtype=np.int64)
+    for length in range(1, max(lengths, default=0) + 1):
+        code = (code[: len(data) - length + 1] << 8) | data[length - 1 :]
+        if length in lengths:
+            yield length, code
+
+
+def _joined(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each ends."""
+    data = np.frombuffer(b"".join(t or b"" for t in texts), dtype=np.uint8)
+    return data, np.cumsum([len(t or b"") for t in texts], dtype=np.int64)
+
+
+def _met(texts: list[bytes | None], lengths: Collection[int], marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and code, each pair once, of all runs of bytes that stand in the table."""
+    data, ends = _joined(texts)
+    pairs = [np.empty(0, dtype=np.int64)]
+    for length, code in _codes(data, lengths):
+        at = np.flatnonzero(marked[code - code // CODE_SLOTS * CODE_SLOTS])
+        row = np.searchsorted(ends, at, side="right")
+        inside = at + length <= ends[row]
+        pairs.append((row[inside] << (8 * CODE_BYTES + 1)) | code[at[inside]])
+    met = np.unique(np.concatenate(pairs))
+    return met >> (8 * CODE_BYTES + 1), met & ((1 << (8 * CODE_BYTES + 1)) - 1)
+
+
+@lru_cache(maxsize=1 << 16)
+def _piece(needle: bytes) -> tuple[int, int]:
+    """The run of bytes by which a needle is found: where it begins in the needle, and its code."""
+    width = min(len(needle), CODE_BYTES)
+    codes = [(int.from_bytes(b"\1" + needle[k : k + width]), k) for k in range(len(needle) - width + 1)]
+    code, at = min(codes, key=lambda c: c[0] * 0x9E3779B97F4A7C15 % (1 << 64))
+    return at, code
+
+
+def _occurrences(texts: list[bytes | None], needles: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, needle and offset, in this order, of the non-overlapping hits of all needles in all texts."""
+    data, ends = _joined(texts)
+    starts = np.concatenate([[0], ends[:-1]])
+    sizes = np.array([len(n) for n in needles], dtype=np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    flat = np.frombuffer(b"".join(needles), dtype=np.uint8)
+    shift, codes = (np.array(c, dtype=np.int64) for c in zip(*map(_piece, needles)))
+    order = np.argsort(codes, kind="stable")
+    marked = np.zeros(CODE_SLOTS, dtype=bool)
+    marked[codes % CODE_SLOTS] = True
+    hits = []
+    for _, code in _codes(data, set(np.minimum(sizes, CODE_BYTES).tolist())):
+        at = np.flatnonzero(marked[code - code // CODE_SLOTS * CODE_SLOTS])
+        low, high = (np.searchsorted(codes[order], code[at], side=s) for s in ("left", "right"))
+        many = high - low
+        needle = order[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        row = np.repeat(np.searchsorted(ends, at, side="right"), many)
+        at = np.repeat(at, many) - shift[needle]
+        fits = (at >= starts[row]) & (at + sizes[needle] <= ends[row])
+        row, needle, at = row[fits], needle[fits], at[fits]
+        # Byte by byte, which few survive; what long needles have beyond is compared at once.
+        for k in range(min(int(sizes.max()), COMPARED)):
+            going = np.flatnonzero(sizes[needle] > k)
+            wrong = going[data[at[going] + k] != flat[first[needle[going]] + k]]
+            row, needle, at = (np.delete(c, wrong) for c in (row, needle, at))
+        wrong = [
+            i for i in np.flatnonzero(sizes[needle] > COMPARED)
+            if data[at[i] : at[i] + sizes[needle[i]]].tobytes() != needles[needle[i]]
+        ]
+        hits.append([np.delete(c, wrong) for c in (row, needle, at - starts[row])])
+    row, needle, at = (np.concatenate(c) for c in zip(*hits))
+    sort = np.lexsort((at, needle, row))
+    row, needle, at = row[sort], needle[sort], at[sort]
+    # Where a needle meets itself, the leftmost hit stands and those that it covers go.
+    close = np.flatnonzero((row[1:] == row[:-1]) & (needle[1:] == needle[:-1]) & (at[1:] < at[:-1] + sizes[needle[1:]])) + 1
+    covered, stands = [], -1
+    for i in close.tolist():
+        if stands != i - 1 and not (covered and covered[-1] == i - 1):
+            stands = i - 1
+        if at[i] < at[stands] + sizes[needle[i]]:
+            covered.append(i)
+        else:
+            stands = i
+    return np.delete(row, covered), np.delete(needle, covered), np.delete(at, covered)
+
+
+def _find_terms(met: DataFrame, key: str) -> DataFrame:
+    """(key, term, hits) of rows (key, text, terms): the terms of a few rows at a time that a row's text holds."""
+    schema = met.select(key, F.lit("").alias("term"), F.array().cast("array<bigint>").alias("hits")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _text_slices(batches):
+            terms = pc.unique(pc.list_flatten(batch.column(2)))
+            if not len(terms):
+                continue
+            row, needle, at = _occurrences(texts, [t.encode().lower() for t in terms.to_pylist()])
+            edges = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (needle[1:] != needle[:-1]), [True]]))[: None if len(row) else 1]
+            for a in range(0, len(edges) - 1, FOUND_ROWS):
+                cut = edges[a : a + FOUND_ROWS + 1]
+                lists = pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(at[cut[0] : cut[-1]]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row[cut[:-1]])), terms.take(pa.array(needle[cut[:-1]])), lists], names=[key, "term", "hits"]
+                )
+
+    return met.mapInArrow(run, schema)
 
 
 def doc_hits(docs: DataFrame, key: str, text: str, terms: Sequence[str] | DataFrame, term: str = "term") -> DataFrame:
@@ -135,12 +279,12 @@ def doc_hits(docs: DataFrame, key: str, text: str, terms: Sequence[str] | DataFr
     A few terms travel in the plan, and a text is folded once before it is looked at for each.
     Any number of them come as a table: then only the candidates of a document are looked for in it.
     """
-    folded = fold_ascii(F.col(text)).alias("_text")
     if isinstance(terms, DataFrame):
         candidates = term_candidates(docs, key, text, terms, term)
-        met = docs.select(key, folded).join(candidates, F.col(key).eqNullSafe(F.col("_key")))
-    else:
-        met = docs.select(key, folded).withColumn("_terms", _terms(sorted({t for t in terms if t})))
+        met = docs.select(key, F.col(text).cast("string").alias("_text")).join(candidates, F.col(key).eqNullSafe(F.col("_key")))
+        return _find_terms(met.select(key, "_text", "_terms"), key)
+    folded = fold_ascii(F.col(text)).alias("_text")
+    met = docs.select(key, folded).withColumn("_terms", _terms(sorted({t for t in terms if t})))
     hit = F.filter("_terms", lambda t: F.contains("_text", fold_ascii(t)))
     found = F.transform(
         hit, lambda t: F.struct(t.alias("term"), find_folded(F.col("_text"), fold_ascii(t)).alias("hits"))

@@ -94,3 +94,14 @@ def test_only_so_many_bytes_are_read(spark, tmp_path):
         file.truncate(1 << 40)
     rows = files.read_heads(files.scan_files(spark, [str(tmp_path)]), 16).collect()
     assert [(bytes(r["head"]), r["was_longer"]) for r in rows] == [(b"head" + bytes(12), True)]
+
+
+def test_a_table_of_terms_is_looked_up_in_batches(spark):
+    docs = spark.createDataFrame([(1, "text " * 400_000 + "tëxtwörter")], "k int, t string")
+    terms = spark.createDataFrame([("text",), ("tëxtwörter",), ("e",)], "term string")
+    found = {r.term: r.hits for r in D.doc_hits(docs, "k", "t", terms).collect()}
+    assert found["text"] == list(range(0, 2_000_000, 5)) and found["tëxtwörter"] == [2_000_000]
+    assert len(found["e"]) == 400_001
+    # No pattern is made for each document and term.
+    plan = D.doc_hits(docs, "k", "t", terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan.lower()
