@@ -142,11 +142,12 @@ def _trim(text: Column) -> Column:
 
 def safe_component(text: Column) -> Column:
     """A name every desktop file system accepts; ``image`` when nothing usable is left."""
+    def named(cleaned: Column) -> Column:
+        stem = F.upper(F.substring_index(cleaned, ".", 1))
+        return F.when((cleaned == "") | stem.isin(*C.RESERVED_NAMES), "image").otherwise(cleaned)
+
     dashed = F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1F]', "-")
-    cleaned = _trim(F.regexp_replace(_trim(dashed), r"[. ]+$", ""))
-    stem = F.upper(F.regexp_extract(cleaned, r"^([^.]*)", 1))
-    unusable = (cleaned == "") | stem.isin(*C.RESERVED_NAMES)
-    return F.when(unusable, "image").otherwise(cleaned)
+    return let(_trim(F.regexp_replace(_trim(dashed), r"[. ]+$", "")), named)
 
 
 def expand_template(
@@ -170,7 +171,7 @@ def template_path(expanded: Column) -> Column:
     parts = F.filter(
         F.transform(F.split(expanded, r"[/\\]"), _trim), lambda p: p != ""
     )
-    return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, safe_component), "/"))
+    return let(parts, lambda p: F.when(F.size(p) > 0, F.array_join(F.transform(p, safe_component), "/")))
 
 
 def rename_base(

@@ -22,6 +22,7 @@ from ..functions.sizes import dimension_folder
 from ..functions.text import (
     expand_template, find_folded, fold_ascii, linkify, secret_kind, template_path, valid_email,
 )
+from ..scratch import pin
 from .ordering import natural_key, ordered_prefix
 
 # Bytes per block when hits are matched to pages.
@@ -579,6 +580,8 @@ def route_plan(requests: DataFrame, existing: DataFrame | None = None, **options
     """Destination per routed file; files without a usable folder are skipped, not dropped."""
     from .picks import rename_plan
 
+    # Folders are worked out once, for both branches.
+    requests = pin(requests.select("ord", "path", "folder", "base"), "routes")
     usable = requests.filter(F.col("folder").isNotNull())
     skipped = requests.filter(F.col("folder").isNull()).select(
         "ord", "path", F.lit(None).cast("string").alias("destination"), F.lit("skip").alias("action")
