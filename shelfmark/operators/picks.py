@@ -149,8 +149,10 @@ def rename_plan(
     plain name first, then `` (n)`` from ``first_suffix`` (2 for moves, 1 for batch outputs).
     A request whose plain name is its own path is already in place.
     """
-    plan = _claim(requests, existing, first_suffix)
-    if requests.filter(F.col("base").rlike(r" \(\d+\)$")).isEmpty():
+    # Names are worked out once; every later pass reads them.
+    asked = pin(_asked(requests), "requests")
+    plan = _claim(asked, existing, first_suffix)
+    if asked.filter(F.col("base").rlike(r" \(\d+\)$")).isEmpty():
         return plan.drop("_slot")
     # A base that itself looks numbered can meet another base's suffix.  The earlier claim stays;
     # the later one, and whoever stands behind it for the same name, claims again with every
@@ -170,20 +172,23 @@ def rename_plan(
         again = marked.filter("ord >= _from").select("ord")
         names = settled.select(F.col("destination").alias("path"))
         taken = names if existing is None else existing.select("path").unionByName(names)
-        plan = _claim(requests.join(again, "ord", "left_semi"), taken, first_suffix)
+        plan = _claim(asked.join(again, "ord", "left_semi"), taken, first_suffix)
 
 
-def _claim(
-    requests: DataFrame, existing: DataFrame | None, first_suffix: int
-) -> DataFrame:
-    """One round of claims, name slot by name slot."""
-    name = file_name(F.col("path"))
-    ext = F.regexp_extract(name, r"^.+\.([^.]*)$", 1)
+def _asked(requests: DataFrame) -> DataFrame:
+    """The requests with their extension, name slot, and whether they are in place."""
+    ext = F.regexp_extract(file_name(F.col("path")), r"^.+\.([^.]*)$", 1)
     plain = F.concat(F.col("folder"), F.lit("/"), _join_name(F.col("base"), None, F.col("ext")))
-    asked = requests.withColumns({"ext": ext}).withColumns({
+    return requests.withColumns({"ext": ext}).withColumns({
         "_slot": F.lower(plain),
         "in_place": F.lower(plain) == F.lower("path"),
     })
+
+
+def _claim(
+    asked: DataFrame, existing: DataFrame | None, first_suffix: int
+) -> DataFrame:
+    """One round of claims, name slot by name slot."""
     todo = asked.filter(~F.col("in_place"))
     taken = _taken_slots(asked, existing, first_suffix)
     # Ranks among the requests of one slot, then the taken numbers that push them up.

@@ -330,3 +330,21 @@ def test_neighbours_across_slices(spark, parts):
         for f, n in sizes.items() for k in range(n)
     }
     assert len(found) == len(rows) and {tuple(r) for r in found} == want
+
+
+def test_routed_names_are_worked_out_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    @F.udf("string")
+    def counted(base):
+        with open(calls, "a") as file:
+            file.write(".\n")
+        return base
+
+    asked = spark.range(60).select(
+        F.col("id").alias("ord"), F.concat(F.lit("/in/"), "id", F.lit(".png")).alias("path"),
+        F.when(F.col("id") % 10 != 9, "/out").alias("folder"), counted((F.col("id") % 7).cast("string")).alias("base"),
+    )
+    rows = documents.route_plan(asked).collect()
+    assert len(rows) == 60 and len({r.destination for r in rows}) == 55
+    assert len(open(calls).readlines()) == 60
