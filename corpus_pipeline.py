@@ -51,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, with digests of the ids and of the text decoded from them."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.encode_documents(docs, model, with_ids=True).drop("decoded")
+    return pieces.encode_documents(docs, model, with_ids=True, with_decoded=False)
 
 
 STAGES: list[tuple[str, Stage]] = [

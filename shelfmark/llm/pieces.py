@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ _KINDS = re.compile(rf"({_LETTER})|(\d)")
 _NONE = np.iinfo(np.int32).max
 
 # Bytes that a task's memory of words may take, and what an entry takes besides its ids; beyond that it starts over.
-REMEMBERED = 96 << 20
+REMEMBERED = 40 << 20
 _ENTRY = 320
 
 # Ids that the library decodes at a time; longer lists are cut in front of a word.
@@ -248,39 +248,43 @@ class Encoder:
             yield len(ids), b",".join([p[1] for p in parts]), self.model.decode(ids).encode(), ids
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_documents(
+    docs: DataFrame, model_path: str, *, with_ids: bool = False, with_decoded: bool = True, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """Encode every whole text and decode its ids again.
 
-    Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256, decoded`` and, if asked for, ``ids``
-    (array of int).  A null text is empty and has no ids.  A text repeated is encoded each time.
+    Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256``, unless it is not wanted ``decoded``, and, if asked
+    for, ``ids`` (array of int).  A null text is empty and has no ids.  A text repeated is encoded each time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model_path)
         for batch in batches:
-            texts, start = [t or "" for t in batch.column("text").to_pylist()], 0
+            start = 0
             # Results leave group by group, so a batch of long texts is not held twice over.
-            for group in _grouped(texts):
+            for group in _grouped(t.as_py() or "" for t in batch.column("text")):
                 found = list(encoder.encode(group))
                 columns = [
                     batch.column("doc_id").slice(start, len(group)),
                     pa.array([n for n, *_ in found], pa.int64()),
                     pa.array([hashlib.sha256(written).hexdigest() for _, written, *_ in found], pa.string()),
                     pa.array([hashlib.sha256(plain).hexdigest() for _, _, plain, _ in found], pa.string()),
-                    pa.array([plain.decode("utf-8", "replace") for _, _, plain, _ in found], pa.string()),
                 ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded"]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_decoded:
+                    columns.append(pa.array([plain.decode("utf-8", "replace") for _, _, plain, _ in found], pa.string()))
+                    names.append("decoded")
                 if with_ids:
                     columns.append(pa.array([ids for *_, ids in found], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
                 start += len(group)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", decoded string" if with_decoded else "")
     return keyed_text(docs, key, text).mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 
-def _grouped(texts: list[str], limit: int = 1 << 21) -> Iterator[list[str]]:
+def _grouped(texts: Iterable[str], limit: int = 1 << 19) -> Iterator[list[str]]:
     """Texts in groups of about ``limit`` characters; distinct words are merged a group at a time."""
     group, size = [], 0
     for text in texts:

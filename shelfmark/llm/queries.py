@@ -43,7 +43,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.encode_documents(documents(spark, sf_dir), model).drop("decoded")
+    return pieces.encode_documents(documents(spark, sf_dir), model, with_decoded=False)
 
 
 @_query

@@ -89,3 +89,15 @@ def test_token_files_of_no_rows(spark, empty, tmp_path):
     path = str(tmp_path / "none")
     planes.write_tokens(empty, WORDS, path)
     assert planes.read_tokens(spark, path).count() == 0
+
+
+def test_batches_are_taken_a_group_at_a_time():
+    taken = []
+    texts = (taken.append(k) or "x" * 1000 for k in range(5000))
+    assert len(next(pieces._grouped(texts))) == len(taken) < 1000
+
+
+def test_decoded_texts_leave_a_task_only_if_wanted(spark, library):
+    docs = spark.createDataFrame([(1, "plain words"), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pieces.encode_documents(docs, PIECES, with_ids=True, with_decoded=False).collect()}
+    assert got[1].ids == library.encode("plain words") and got[2].n_tokens == 0 and "decoded" not in got[1]
