@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
 
+from ..functions.arrays import let
 from ..functions.paths import extension
 from ..functions.text import text_lines
 
@@ -14,13 +15,16 @@ SNIFFED = (",", ";", "\t")
 def sniff_delimiter(text: Column) -> Column:
     """Most frequent candidate outside quotes in the first non-blank line; ',' when none occurs."""
     line = F.coalesce(F.get(F.filter(text_lines(text), lambda l: F.trim(l) != ""), 0), F.lit(""))
-    bare = F.regexp_replace(line, r'"[^"]*(?:"|$)', "")
-    best, most = F.lit(","), F.regexp_count(bare, F.lit(","))
-    for candidate in SNIFFED[1:]:
-        n = F.regexp_count(bare, F.lit(candidate))
-        wins = (n > 0) & (n >= most)
-        best, most = F.when(wins, candidate).otherwise(best), F.greatest(n, most)
-    return best
+
+    def most_frequent(bare: Column) -> Column:
+        best, most = F.lit(","), F.regexp_count(bare, F.lit(","))
+        for candidate in SNIFFED[1:]:
+            n = F.regexp_count(bare, F.lit(candidate))
+            wins = (n > 0) & (n >= most)
+            best, most = F.when(wins, candidate).otherwise(best), F.greatest(n, most)
+        return best
+
+    return let(F.regexp_replace(line, r'"[^"]*(?:"|$)', ""), most_frequent)
 
 
 def delimiter_for(ext: Column, text: Column) -> Column:
@@ -69,19 +73,19 @@ def delimited_rows(
     """
     ext = F.lit("csv") if ext is None else ext
     parsed = docs.select(key, delimiter_for(ext, F.col(text)).alias("delimiter"), F.col(text).alias("_t"))
-    rows = parsed.select(key, "delimiter", records(F.col("_t"), F.col("delimiter")).alias("_r"))
-    widest = F.array_max(F.transform("_r", F.size))
-    width = F.least(widest, F.lit(max_cols)) if max_cols else widest
-    marks = [widest.alias("n_cols"), (widest > max_cols).alias("truncated")] if max_cols else []
-    names = ["n_cols", "truncated"] if max_cols else []
-    return (
-        rows.select(key, "delimiter", width.alias("_w"), *marks, F.posexplode("_r").alias("row_no", "_c"))
-        .select(
-            key, "delimiter", "row_no",
-            F.slice(F.concat("_c", F.array_repeat(F.lit(""), F.col("_w"))), F.lit(1), F.col("_w")).alias("cells"),
-            *names,
+    marks = ["n_cols", "truncated"] if max_cols else []
+
+    def padded(rows: Column, widest: Column) -> Column:
+        width = F.least(widest, F.lit(max_cols)) if max_cols else widest
+        more = [widest.alias("n_cols"), (widest > max_cols).alias("truncated")] if max_cols else []
+        return F.transform(
+            rows, lambda c: F.struct(F.slice(F.concat(c, F.array_repeat(F.lit(""), width)), F.lit(1), width).alias("cells"), *more)
         )
-    )
+
+    # An outer explode has no filter on its array put before it, which would parse every text twice.
+    whole = let(records(F.col("_t"), F.col("delimiter")), lambda r: let(F.array_max(F.transform(r, F.size)), lambda w: padded(r, w)))
+    rows = parsed.select(key, "delimiter", F.posexplode_outer(whole).alias("row_no", "_c")).filter("row_no IS NOT NULL")
+    return rows.select(key, "delimiter", "row_no", "_c.cells", *[f"_c.{m}" for m in marks])
 
 
 # How a line moves the reader: ``out`` is whether a quoted field is open behind it if none was before, ``kept``

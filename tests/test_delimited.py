@@ -58,3 +58,11 @@ def test_a_large_file_uses_several_tasks(spark, tmp_path):
         assert tuple(told) == (60_000,) * 4
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_text_is_parsed_once(spark):
+    docs = spark.createDataFrame([(1, "a,b\n1\n2,3"), (2, None), (3, "")], "k int, t string")
+    rows = delimited.delimited_rows(docs, "k", "t")
+    assert [(r.k, r.row_no, r.cells) for r in rows.orderBy("row_no").collect()] == [(1, 0, ["a", "b"]), (1, 1, ["1", ""]), (1, 2, ["2", "3"])]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "regexp" in line]
