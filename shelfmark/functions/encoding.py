@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .arrays import let
 from .text import script_profile, script_score
 
 # Legacy double-byte code pages in order of preference: fixed values.
@@ -39,8 +40,8 @@ def _readings(kind: str | None, content: bytes | None) -> list[str | None] | Non
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _decode_readings(kind: pd.Series, content: pd.Series) -> pd.Series:
-    return pd.Series([_readings(k, c) for k, c in zip(kind, content)], dtype=object)
+def _decode_readings(asked: pd.DataFrame) -> pd.Series:
+    return pd.Series([_readings(k, c) for k, c in zip(asked["kind"], asked["content"])], dtype=object)
 
 
 def _utf16_parity(content: Column) -> Column:
@@ -79,17 +80,18 @@ def text_encoding(content: Column) -> Column:
     )
 
 
-def _plain_utf16(raw: Column, kind: Column) -> Column:
-    """Text of UTF-16 bytes without surrogate units, which the JVM reads; NULL for all others."""
-    size = F.octet_length(raw)
+def _wide_body(raw: Column, kind: Column) -> Column:
+    """The whole two-byte units behind the mark."""
     skip = F.when(kind.endswith("-sniffed"), 0).otherwise(2)
-    body = F.substring(raw, skip + 1, (F.floor((size - skip) / 2) * 2).cast("int"))
-    little = kind.startswith("utf-16le")
-    surrogate = F.when(little, F.hex(body).rlike("^(?:....)*?..D[89A-F]")).otherwise(
-        F.hex(body).rlike("^(?:....)*?D[89A-F]..")
+    return F.substring(raw, skip + 1, (F.floor((F.octet_length(raw) - skip) / 2) * 2).cast("int"))
+
+
+def _has_surrogate(raw: Column, kind: Column) -> Column:
+    """Whether UTF-16 bytes have surrogate units; those without are read by the JVM."""
+    digits = F.hex(_wide_body(raw, kind))
+    return F.when(kind.startswith("utf-16le"), digits.rlike("^(?:....)*?..D[89A-F]")).otherwise(
+        digits.rlike("^(?:....)*?D[89A-F]..")
     )
-    text = F.when(little, F.decode(body, "UTF-16LE")).otherwise(F.decode(body, "UTF-16BE"))
-    return F.when(kind.startswith("utf-16") & ~surrogate, text)
 
 
 def decode_text(content: Column, cap: int | None = None) -> Column:
@@ -99,22 +101,34 @@ def decode_text(content: Column, cap: int | None = None) -> Column:
     readings are scored back in Spark: the best plausible one wins, ties go to the earlier page.
     """
     raw = content if cap is None else F.substring(content, 1, cap)
+
+    # What goes to Python is told without a lambda, which a function of Python cannot have in its arguments.
     kind = text_encoding(raw)
-    wide = _plain_utf16(raw, kind)
-    in_jvm = kind.isin("utf-8", "utf-8-bom") | wide.isNotNull()
-    readings = _decode_readings(F.when(~in_jvm, kind), F.when(~in_jvm, raw))
-    scored = F.transform(
-        F.slice(readings, 1, len(LEGACY_CODECS)),
-        lambda text, i: F.struct(
-            script_score(script_profile(text)).alias("score"), (-i).alias("rank"), text.alias("text")
-        ),
-    )
-    best = F.array_max(F.filter(scored, lambda s: s["score"] > 0))["text"]
-    body = F.substring(raw, F.lit(4), F.octet_length(raw))
-    return (
-        F.when(kind == "utf-8", raw.cast("string"))
-        .when(kind == "utf-8-bom", F.make_valid_utf8(body.cast("string")))
-        .when(wide.isNotNull(), wide)
-        .when(kind == "legacy", F.coalesce(best, F.element_at(readings, -1)))
-        .otherwise(F.get(readings, 0))
-    )
+    there = kind.isin("utf-8", "utf-8-bom") | (kind.startswith("utf-16") & ~_has_surrogate(raw, kind))
+    readings = _decode_readings(F.struct(F.when(~there, kind).alias("kind"), F.when(~there, raw).alias("content")))
+
+    def in_jvm(kind: Column) -> Column:
+        body = F.substring(raw, F.lit(4), F.octet_length(raw))
+        return (
+            F.when(kind == "utf-8", raw.cast("string"))
+            .when(kind == "utf-8-bom", F.make_valid_utf8(body.cast("string")))
+            .when(kind.startswith("utf-16le"), F.decode(_wide_body(raw, kind), "UTF-16LE"))
+            .when(kind.startswith("utf-16be"), F.decode(_wide_body(raw, kind), "UTF-16BE"))
+        )
+
+    def chosen(found: Column) -> Column:
+        scored = F.transform(
+            F.slice(found, 1, len(LEGACY_CODECS)),
+            lambda text, i: F.struct(
+                script_score(script_profile(text)).alias("score"), (-i).alias("rank"), text.alias("text")
+            ),
+        )
+        best = F.array_max(F.filter(scored, lambda s: s["score"] > 0))["text"]
+        # A legacy text has a reading for every code page, any other one.
+        return (
+            F.when(found.isNull(), let(text_encoding(raw), in_jvm))
+            .when(F.size(found) > 1, F.coalesce(best, F.element_at(found, -1)))
+            .otherwise(F.get(found, 0))
+        )
+
+    return let(readings, chosen)

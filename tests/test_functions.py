@@ -260,3 +260,17 @@ def test_utf16_with_and_without_surrogates(spark):
     rows += [("odd", bytearray(b"\xff\xfe" + "odd".encode("utf-16-le") + b"x")), ("\ufffdx", bytearray(b"\xff\xfe\x00\xd8x\x00"))]
     got = spark.createDataFrame(rows, "want string, b binary").select("want", decode_text(F.col("b")).alias("got")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_encodings_are_told_a_bounded_number_of_times(spark):
+    import codecs
+
+    from shelfmark.functions.encoding import decode_text
+
+    texts = ["plain words", "grüße", "日本語🙂 text", "xy" * 40]
+    kinds = {"utf-16-le": codecs.BOM_UTF16_LE, "utf-16-be": codecs.BOM_UTF16_BE, "utf-8": codecs.BOM_UTF8}
+    rows = [(t, bytearray(mark + t.encode(c))) for t in texts for c, mark in kinds.items()] + [(None, None)]
+    df = spark.createDataFrame(rows, "t string, c binary").select("t", decode_text(F.col("c")).alias("d"))
+    assert all(r.t == r.d for r in df.collect())
+    # Each time it tests for units of 4 KB in both orders.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("(?!00)..00") <= 80
