@@ -199,9 +199,16 @@ def _zip_of(key: int, text: str) -> bytes | None:
 
 def _zips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, texts = batch.column("doc_id"), batch.column("text")
-        content = [_zip_of(k.as_py(), t.as_py()) for k, t in zip(keys, texts)]
-        yield pa.RecordBatch.from_arrays([keys, pa.array(content, pa.binary())], names=["doc_id", "content"])
+        keys, content, size = [], [], 0
+        for key, text in zip(batch.column("doc_id"), batch.column("text")):
+            keys.append(key.as_py())
+            content.append(_zip_of(keys[-1], text.as_py()))
+            size += len(content[-1])
+            # A batch of texts is not held as archives too.
+            if size >= 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(content, pa.binary())], names=["doc_id", "content"])
+                keys, content, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(content, pa.binary())], names=["doc_id", "content"])
 
 
 @query("s10_scan_archives", """

@@ -258,3 +258,16 @@ def test_archives_are_listed_whole(spark):
     assert list_archives(files, "k", "content").count() == 50_010
     cut = list_archives(files, "k", "content", limit=3).collect()
     assert [(r.ord, r.total, r.truncated) for r in cut] == [(k, 50_010, True) for k in range(3)]
+
+
+def test_archives_of_a_batch_are_not_held_together():
+    import random
+
+    import pyarrow as pa
+
+    from shelfmark.plans.source_queries import _zips
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1, 61)), "text": [random.Random(k).randbytes(50_000).hex() for k in range(60)]})
+    made = list(_zips(iter([batch])))
+    assert [k for b in made for k in b.column("doc_id").to_pylist()] == list(range(1, 61))
+    assert len(made) > 1 and max(b.nbytes for b in made) < 1_300_000
