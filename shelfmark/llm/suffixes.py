@@ -42,7 +42,8 @@ _UNBASE = pow(_BASE, -1, 1 << 64)
 _BLOCK = 1 << 20  # windows anchored at a time
 _PLACE = (1 << 24) - 1
 _FLUSH = 400_000  # anchors compared inside a task before they are sent on
-_SLAB = 4 << 20  # bytes of units put in order at a time
+_SLAB = 1 << 20  # bytes of units put in order at a time
+_ROWS = 1 << 13  # rows handed to Spark at a time
 
 
 def _powers(base: int, count: int) -> np.ndarray:
@@ -63,7 +64,10 @@ class PrefixHashes:
             room = max(size, _BLOCK)
             cls._up, cls._down = _powers(_BASE, room), _powers(_UNBASE, room)
         self.sums = np.zeros(size, dtype=np.uint64)
-        np.cumsum((text.astype(np.uint64) + np.uint64(1)) * cls._up[: size - 1], out=self.sums[1:])
+        terms = self.sums[1:]
+        np.add(text, np.uint64(1), out=terms, casting="unsafe")
+        terms *= cls._up[: size - 1]
+        np.cumsum(terms, out=terms)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * type(self)._down[start]
@@ -144,6 +148,11 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     return np.concatenate([[0], np.cumsum(sizes)]), fields
 
 
+def _sliced_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, _ROWS):
+        yield batch.slice(at, _ROWS)
+
+
 def _find_runs(length: int, gram: int) -> Callable:
     def flush(parts: list[tuple]) -> pa.RecordBatch:
         key, run, doc, lo, shape = (np.concatenate(p) for p in zip(*parts))
@@ -168,10 +177,10 @@ def _find_runs(length: int, gram: int) -> Callable:
                     parts.append((key, np.array(runs, dtype=np.uint64), np.full(len(lo), doc), lo, shape))
                     held += len(lo)
                 if held >= _FLUSH:
-                    yield flush(parts)
+                    yield from _sliced_rows(flush(parts))
                     parts, held = [], 0
         if parts:
-            yield flush(parts)
+            yield from _sliced_rows(flush(parts))
 
     return run
 
@@ -228,11 +237,11 @@ def _find_units(length: int) -> Callable:
                         units.append((unit[0], docs[k], copies[k], *unit[1:]))
                         held += len(unit[4])
                 if held >= 16 << 20:
-                    yield flush(units)
+                    yield from _sliced_rows(flush(units))
                     units, held = [], 0
-            yield batch_of(spans)
+            yield from _sliced_rows(batch_of(spans))
         if units:
-            yield flush(units)
+            yield from _sliced_rows(flush(units))
 
     return run
 
@@ -313,7 +322,10 @@ def repeated_windows(
     shared = np.where(group[a] == group[b], _common(hashes, anchor[a], end[a], anchor[b], end[b]), -1)
     shared = np.concatenate([[-1], shared])
 
-    units, windows, marks = [], [], []
+    # Windows at different distances from their anchors are never equal, so one distance is settled
+    # before the next: the memory goes with the units, not with all their windows.
+    views = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else None
+    units, windows = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     for back in range(int((at - hi).min(initial=0)), int((at - lo).max(initial=-1)) + 1):
         # Windows that start ``back`` bytes before the anchor: their right parts are equal where
         # neighbours share enough, their left parts where the hashes are.
@@ -333,29 +345,21 @@ def repeated_windows(
         if not len(picked):
             continue
         left = hashes.of(anchor[picked] - back, anchor[picked])
-        units.append(picked)
-        windows.append(at[picked] - back)
-        marks.append(np.stack([np.full(len(picked), back), block, left.view(np.int64)]))
-    if not units:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-
-    unit, window, mark = np.concatenate(units), np.concatenate(windows), np.concatenate(marks, axis=1)
-    by = np.lexsort((window, copy[unit], doc[unit], mark[2], mark[1], mark[0]))
-    unit, window, mark = unit[by], window[by], mark[:, by]
-    new = np.concatenate([[True], (mark[:, 1:] != mark[:, :-1]).any(axis=0)])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    later = np.flatnonzero(~new)
-    # Collision check: the bytes of each later window against those of the first.
-    place = offset[unit] + window - lo[unit]
-    sure = np.empty(len(later), dtype=bool)
-    span = np.arange(length)
-    for k in range(0, len(later), 1 << 14):
-        these = later[k : k + (1 << 14)]
-        sure[k : k + (1 << 14)] = (
-            data[place[these][:, None] + span] == data[place[head[these]][:, None] + span]
-        ).all(axis=1)
-    later = later[sure]
-    return unit[later], window[later]
+        by = np.lexsort((at[picked], copy[picked], doc[picked], left, block))
+        picked, block, left = picked[by], block[by], left[by]
+        new = np.concatenate([[True], (block[1:] != block[:-1]) | (left[1:] != left[:-1])])
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        later = np.flatnonzero(~new)
+        # Collision check: the bytes of each later window against those of the first.
+        place = anchor[picked] - back
+        sure = np.empty(len(later), dtype=bool)
+        for k in range(0, len(later), 1 << 14):
+            these = later[k : k + (1 << 14)]
+            sure[k : k + (1 << 14)] = (views[place[these]] == views[place[head[these]]]).all(axis=1)
+        later = picked[later[sure]]
+        units.append(later)
+        windows.append(at[later] - back)
+    return np.concatenate(units), np.concatenate(windows)
 
 
 def _find_spans(length: int) -> Callable:

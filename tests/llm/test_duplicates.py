@@ -1,8 +1,10 @@
 """Near copies and repeated strings against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -122,6 +124,34 @@ def test_a_common_passage_is_cut_into_pieces(spark, monkeypatch):
     assert flat(suffixes.without_repeats(frame, length=20, gram=7)) == sorted(str(x) for x in plain_repeats(docs, 20))
 
 
+def test_the_order_of_units_holds_no_list_of_all_windows():
+    rng = random.Random(8)
+    texts = [rng.randbytes(168) for _ in range(2000)]
+    pieces = [t for t in texts for _ in range(2)]
+    n = np.arange(len(pieces))
+    columns = n // 2, n, n * 0, n * 0, n * 0 + 68, n * 0 + 68
+    suffixes.repeated_windows(*(c[:4] for c in columns), pieces[:4], 100)
+    tracemalloc.start()
+    unit, window = suffixes.repeated_windows(*columns, pieces, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(unit.tolist(), window.tolist())) == [(u, w) for u in n[1::2].tolist() for w in range(69)]
+    assert peak < 25 * sum(map(len, pieces))
+
+
+def test_runs_and_units_leave_in_small_batches():
+    rng = random.Random(9)
+    texts = [rng.randbytes(2000).hex() for _ in range(400)]
+    docs = pa.RecordBatch.from_pydict({"doc": list(range(400)), "copy": [1] * 400, "text": texts})
+    found = list(suffixes._find_runs(100, 32)(iter([docs])))
+    assert sum(b.num_rows for b in found) > 3 * 8192 >= 3 * max(b.num_rows for b in found)
+    one = {"key": 1, "gone": False, "lo": 0, "shape": 0, "hot": False}
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("gone", pa.bool_()), ("lo", pa.int64()), ("shape", pa.int64()), ("hot", pa.bool_())]))
+    runs = pa.array([[one | {"key": k, "lo": k, "gone": k % 2 > 0} for k in range(100)] for _ in texts], kind)
+    units = list(suffixes._find_units(100)(iter([docs.append_column("found", runs)])))
+    assert sum(b.num_rows for b in units) >= 20_000 and max(b.num_rows for b in units) <= 8192
+
+
 def test_repeats_of_odd_rows(odd, odd_rows, empty):
     key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())
     ordered = [(r[0], r[1]) for r in sorted(odd_rows, key=key)]
