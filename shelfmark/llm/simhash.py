@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, found through one-wildcard variants of fingerprint segments."""
+"""SimHash near-duplicates, found through variants of fingerprints with some segments or bits left out."""
 
 from __future__ import annotations
 
@@ -39,8 +39,13 @@ COMMON_SHINGLES = 1 << 20
 # Bits by which texts whose sets are compared are told from the others.
 SLOT_COUNT = 1 << 24
 
-# An entry's key holds a segment's bits below and the number of the left-out bit from here on.
+# An entry's key holds what is kept of a word, modulo a prime below, and the entry's number from here on.
+# The prime is far from powers of two, else words that differ in their high and low bits would meet.
 _TAG = 48
+_PRIME = 135169074042131
+
+# Three of six segments, so that of any four bits one choice holds at most one.
+_TRIPLES = [(3, 4, 5), (2, 4, 5), (0, 1, 5), (0, 1, 4), (1, 2, 3), (0, 2, 3)]
 
 # Stands for a null document id where ids are compared.
 _NO_ID = -(1 << 63)
@@ -144,17 +149,48 @@ def _segments(parts: int) -> list[tuple[int, int]]:
     return [(sum(widths[:k]), width) for k, width in enumerate(widths)]
 
 
-def _index(prints: DataFrame, words: Sequence[str], parts: int, *carried: str) -> DataFrame:
-    """``words``, ``carried`` and ``key``: an entry for every segment of every word and left-out bit."""
-    entries = []
-    for n, word in enumerate(words):
-        for start, width in _segments(parts):
-            mask = ((1 << width) - 1) << start
-            for bit in range(start, start + width):
-                left = F.col(word).bitwiseAND(F.lit(_signed(mask & ~(1 << bit))))
-                tag = F.lit(_signed((n * BITS + bit) << _TAG))
-                entries.append(F.shiftrightunsigned(left, start).bitwiseOR(tag))
-    return prints.select(*words, *carried, F.explode(F.array(*entries)).alias("key"))
+def _hexads() -> list[tuple[int, ...]]:
+    """The 132 choices of six of twelve segments that have just one choice among any seven segments.
+
+    This is the Steiner system S(5, 6, 12): the squares modulo 11 with a point at infinity (11), moved
+    by ``x + 1`` and ``-1 / x``.  Any five segments are left out by one choice.
+    """
+    shift = [*((x + 1) % 11 for x in range(11)), 11]
+    turn = [11, *(-pow(x, -1, 11) % 11 for x in range(1, 11)), 0]
+    found, new = set(), {frozenset((1, 3, 4, 5, 9, 11))}
+    while new:
+        found |= new
+        new = {frozenset(move[x] for x in choice) for choice in new for move in (shift, turn)} - found
+    return sorted(tuple(sorted(choice)) for choice in found)
+
+
+def _masks(choices: Sequence[Sequence[int]], parts: int) -> list[int]:
+    """The bits of a word that each choice of its ``parts`` segments keeps."""
+    segments = [((1 << width) - 1) << start for start, width in _segments(parts)]
+    return [sum(segments[k] for k in choice) for choice in choices]
+
+
+def _one_left_out(masks: Sequence[int]) -> list[int]:
+    """Each mask once for every bit it has, without that bit."""
+    return [mask & ~(1 << bit) for mask in masks for bit in range(BITS) if mask >> bit & 1]
+
+
+def _wide_masks(max_bits: int) -> list[int]:
+    """Masks of which two words that differ in ``max_bits`` bits at most differ in one bit on one mask, at most."""
+    return _masks(_TRIPLES, 6) if max_bits <= 4 else _masks([(k,) for k in range(max_bits // 2 + 1)], max_bits // 2 + 1)
+
+
+def _literals(masks: Sequence[int]) -> Column:
+    return F.array(*[F.lit(_signed(mask)).cast("long") for mask in masks])
+
+
+def _index(prints: DataFrame, words: Column, masks: Sequence[int], *carried: str) -> DataFrame:
+    """``carried`` and ``key``: an entry for each of the array of words under each mask, numbered in that order."""
+    rows = prints.select(*carried, F.posexplode(words).alias("_nth", "_word"))
+    rows = rows.select(*carried, "_nth", "_word", F.posexplode(_literals(masks)).alias("_which", "_mask"))
+    tag = F.shiftleft((F.col("_nth") * len(masks) + F.col("_which")).cast("long"), _TAG)
+    kept = F.pmod(F.col("_word").bitwiseAND(F.col("_mask")), F.lit(_PRIME))
+    return rows.select(*carried, kept.bitwiseOR(tag).alias("key"))
 
 
 def _distance(words: Sequence[str], a: str, b: str) -> Column:
@@ -162,35 +198,48 @@ def _distance(words: Sequence[str], a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, counts)
 
 
-def _first_entry(words: Sequence[str], parts: int, a: str, b: str) -> Column:
-    """Whether this entry is the first on which two prints agree."""
+def _first_left_out(word: str, masks: Sequence[int], a: str, b: str) -> Column:
+    """Whether this entry is the first, of masks with one bit left out, on which two prints agree."""
     own = F.shiftrightunsigned(F.col(f"{a}.key"), _TAG).cast("int")
-    first, clear = F.lit(False), F.lit(True)
+    diff, first, clear, low = F.col(f"{a}.{word}").bitwiseXOR(F.col(f"{b}.{word}")), F.lit(False), F.lit(True), 0
+    for mask in masks:
+        part = diff.bitwiseAND(F.lit(_signed(mask)))
+        at_bit = F.when(part == 0, own == low).otherwise(True)
+        first = first | (own.between(low, low + mask.bit_count() - 1) & clear & at_bit)
+        clear, low = clear & (F.bit_count(part) > 1), low + mask.bit_count()
+    return first
+
+
+def _agree(diff: Column, masks: Column) -> Column:
+    """Whether any of the masks holds none of the bits that differ."""
+    return F.exists(masks, lambda mask: diff.bitwiseAND(mask) == 0)
+
+
+def _first_mask(words: Sequence[str], masks: Sequence[int], a: str, b: str) -> Column:
+    """Whether two prints agree under no word and mask before the one of this entry."""
+    own, before = F.shiftrightunsigned(F.col(f"{a}.gram"), _TAG).cast("int"), F.lit(False)
     for n, word in enumerate(words):
+        count = F.greatest(F.lit(0), F.least(F.lit(len(masks)), own - n * len(masks)))
         diff = F.col(f"{a}.{word}").bitwiseXOR(F.col(f"{b}.{word}"))
-        for start, width in _segments(parts):
-            part = diff.bitwiseAND(F.lit(_signed(((1 << width) - 1) << start)))
-            low = n * BITS + start
-            at_bit = F.when(part == 0, own == low).otherwise(True)
-            first = first | (own.between(low, low + width - 1) & clear & at_bit)
-            clear = clear & (F.bit_count(part) > 1)
-    return first
+        before = before | _agree(diff, F.slice(_literals(masks), F.lit(1), count))
+    return ~before
 
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Pairs ``u < v`` of distinct fingerprints ``fp`` that differ in at most ``max_bits`` bits.
 
-    The bits are cut into ``max_bits // 2 + 1`` segments.  Two fingerprints within the limit have
-    a segment that differs by one bit at most, so they agree on the segment with that one bit
-    left out.  Each fingerprint is indexed once for each left-out bit and the index is joined to
+    The bits are cut into six segments.  Of two fingerprints within four bits there is a choice of
+    three segments (of six choices), some 32 bits, on which they differ by one bit at most, so they
+    agree on it with that one bit left out; for a wider limit there are ``max_bits // 2 + 1`` segments,
+    each a choice.  Each fingerprint is indexed once for each left-out bit and the index is joined to
     itself on equality; the join's condition verifies the distance and lets a pair through at
     its first agreeing entry alone, so no pair is made twice and no copy takes part.
     """
-    words, parts = ["fp"], max_bits // 2 + 1
-    index = _index(prints, words, parts)
+    masks = _wide_masks(max_bits)
+    index = _index(prints, F.array("fp"), _one_left_out(masks), "fp")
     a, b = index.alias("a"), index.alias("b")
-    verified = (F.col("a.fp") < F.col("b.fp")) & (_distance(words, "a", "b") <= max_bits)
-    match = (F.col("a.key") == F.col("b.key")) & verified & _first_entry(words, parts, "a", "b")
+    verified = (F.col("a.fp") < F.col("b.fp")) & (_distance(["fp"], "a", "b") <= max_bits)
+    match = (F.col("a.key") == F.col("b.key")) & verified & _first_left_out("fp", masks, "a", "b")
     return a.join(b, match).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
@@ -418,8 +467,9 @@ def near_copies(docs: DataFrame, *, words_each: int = SIMILAR_WORDS, percent: in
     """What ``similar_documents`` returns, with the candidates proposed by SimHash.
 
     A text has ``WORDS`` independent SimHash words.  Texts of which one word differs by at most
-    ``WORD_BITS`` bits, and all together by ``ALL_BITS``, are candidates, found like ``links`` finds
-    them: by segments with one bit left out.  Candidates are linked where their whole sets of shingles
+    ``WORD_BITS`` bits, and all together by ``ALL_BITS``, are candidates.  They are found by equal words with
+    six of twelve segments left out, in 132 ways of which one leaves out any five differing bits: the
+    32 bits that stay hardly ever meet by chance.  Candidates are linked where their whole sets of shingles
     have ``percent`` of their union in common; a pair little above that share may not be proposed.
     """
     texts = keyed_text(docs).withColumn("text_hash", F.xxhash64("text"))
@@ -427,19 +477,18 @@ def near_copies(docs: DataFrame, *, words_each: int = SIMILAR_WORDS, percent: in
     low = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     nodes = pin(prints.groupBy("node").agg(F.min(low).alias("first"), F.min("words").alias("words")), "nodes")
 
-    names, parts = [f"w{n}" for n in range(WORDS)], WORD_BITS // 2 + 1
+    names, masks = [f"w{n}" for n in range(WORDS)], _masks(_hexads(), 12)
     words = nodes.select("node", *[F.get("words", F.lit(n)).alias(name) for n, name in enumerate(names)])
-    entries = _index(words, names, parts, "node").select("node", F.col("key").alias("gram"))
-    lower = words.select(F.col("node").alias("_low"), F.struct("node", *names).alias("low"))
-    sets = _shared(entries).withColumn("_low", F.col("low.node")).drop("low").join(words, "node").join(lower, "_low")
-    sets = pin(sets, "candidates")
+    sets = _shared(_index(nodes, F.col("words"), masks, "node").withColumnRenamed("key", "gram"))
 
     def close(a: str, b: str) -> Column:
         each = [_distance([name], a, b) for name in names]
         return (F.least(*each) <= WORD_BITS) & (_distance(names, a, b) <= ALL_BITS)
 
     linked = _comparison(sets, prints, texts, nodes, words_each, percent)
-    links_ = _links_in_groups(sets, close, linked, *names, once=lambda a, b: _first_entry(names, parts, a, b))
+    links_ = _links_in_groups(
+        sets, close, linked, *names, described=words, once=lambda a, b: _first_mask(names, masks, a, b)
+    )
     return _named(prints, nodes, links_)
 
 
@@ -454,24 +503,33 @@ def _shared(sets: DataFrame, *carried: str) -> DataFrame:
 
 def _links_in_groups(
     sets: DataFrame, close: Callable[[str, str], Column], linked: Callable[[DataFrame], DataFrame], *carried: str,
-    once: Callable[[str, str], Column] = lambda a, b: F.lit(True),
+    described: DataFrame | None = None, once: Callable[[str, str], Column] = lambda a, b: F.lit(True),
 ) -> DataFrame:
     """Links ``u, v`` that connect what all linked pairs with a common gram would.
 
     ``close`` tells of two entries of a gram whether they are candidates, ``linked`` which candidates
     are links.  Each node is compared with the smallest one at each of its grams first, and then only
     with those that these links leave in another component, at the gram that ``once`` lets through.
+    ``carried`` are columns of the entries, or else of ``described``, which has a row for each node.
     """
     to_low = sets.filter((F.col("node") > F.col("low.node")))
-    to_low = to_low.select(F.struct("node", *carried).alias("a"), F.col("low").alias("b"))
+    if described is None:
+        to_low = to_low.select(F.struct("node", *carried).alias("a"), F.col("low").alias("b"))
+    else:
+        # Each pair once, however many grams it has in common.
+        met, end = to_low.select("node", F.col("low.node").alias("_low")).distinct(), F.struct("node", *carried)
+        to_low = met.join(described.select("node", end.alias("a")), "node")
+        to_low = to_low.join(described.select(F.col("node").alias("_low"), end.alias("b")), "_low").select("a", "b")
     near = to_low.filter(close("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     links_ = linked(pin(near.distinct(), "near"))
 
     by = Window.partitionBy("gram")
     roots = components(links_).withColumnsRenamed({"node": "_node", "root": "_root"})
     comps = sets.filter(F.col("node") > F.col("low.node")).join(roots, F.col("node") == F.col("_node"), "left")
-    comps = comps.select("node", *carried, "gram", F.coalesce("_root", "node").alias("comp"), F.col("gram").alias("key")).repartition("gram")
+    own = () if described is not None else carried
+    comps = comps.select("node", *own, "gram", F.coalesce("_root", "node").alias("comp")).repartition("gram")
     comps = comps.withColumns({"one": F.min("comp").over(by), "other": F.max("comp").over(by)}).filter("one < other")
+    comps = pin(comps if described is None else comps.join(described, "node"), "open")
     a, b = comps.alias("a"), comps.alias("b")
     match = (
         (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") != F.col("b.comp"))

@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -237,6 +238,62 @@ def test_near_copies_are_proposed_by_simhash_words(spark, monkeypatch):
     assert simhash.near_copies(docs).select("component_id").distinct().count() == len(set(texts))
 
 
+def test_any_differing_bits_are_left_out_by_one_choice_of_segments():
+    choices = simhash._hexads()
+    assert all(sum(not set(five) & set(c) for c in choices) == 1 for five in combinations(range(12), 5))
+    four = list(combinations_with_replacement(range(6), 4))
+    assert all(any(sum(k in choice for k in bits) <= 1 for choice in simhash._TRIPLES) for bits in four)
+
+
+@pytest.mark.parametrize("index", ["near copies", "links"])
+def test_chance_gives_distinct_words_no_key_in_common(spark, index):
+    rng = np.random.default_rng(4)
+    rows = [(k, [int(w) for w in rng.integers(-(2**63), 2**63, 3)]) for k in range(12_000)]
+    # Further words that differ from those of the first ten rows by five (or four) bits in one word.
+    bits = 5 if index == "near copies" else 4
+    for k in range(10):
+        flips = rng.choice(64, bits, replace=False)
+        rows.append((20_000 + k, [w ^ sum(simhash._signed(1 << int(b)) for b in flips) for w in rows[k][1]]))
+    prints = spark.createDataFrame(rows, "node long, words array<long>")
+    if index == "near copies":
+        keys = simhash._index(prints, F.col("words"), simhash._masks(simhash._hexads(), 12), "node")
+    else:
+        masks = simhash._one_left_out(simhash._wide_masks(bits))
+        keys = simhash._index(prints, F.slice("words", 1, 1), masks, "node")
+    groups = keys.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes")).filter(F.size("nodes") > 1)
+    met = {tuple(r.nodes) for r in groups.select("nodes").distinct().collect()}
+    wanted = {(k, 20_000 + k) for k in range(10)}
+    # With 20 bits a key more than 10,000 would meet by chance.
+    assert wanted <= met and len(met) < 60
+
+
+def test_far_pairs_are_made_once(spark, monkeypatch):
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(3000)]
+    frame = rng.choices(words, k=600)
+    # Many are close by SimHash; none shares four fifths of its shingles with another.
+    texts = []
+    for _ in range(40):
+        new = {at: "x" + str(rng.random()) for at in rng.sample(range(600), 9)}
+        texts.append(" ".join(new.get(at, word) for at, word in enumerate(frame)))
+    made, real = [], simhash._links_in_groups
+
+    def run(sets, close, linked, *carried, once, **rest):
+        return real(sets, close, lambda p: made.append([tuple(r) for r in p.collect()]) or linked(p), *carried, once=once, **rest)
+
+    monkeypatch.setattr(simhash, "_links_in_groups", run)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = simhash.near_copies(docs).collect()
+    print_ = {t: simhash.fingerprint_words(t.encode(), 3, 3) for t in texts}
+    node = {xxhash.xxh64_intdigest(simhash.shingle_set(t.encode()).tobytes(), 42): t for t in texts}
+    away = lambda a, b: [(x ^ y).bit_count() for x, y in zip(print_[node[a]], print_[node[b]])]
+    close = {(a, b) for a in node for b in node if simhash._signed(a) < simhash._signed(b)
+             and min(away(a, b)) <= simhash.WORD_BITS and sum(away(a, b)) <= simhash.ALL_BITS}
+    tried = [(u & (2**64 - 1), v & (2**64 - 1)) for pairs in made for u, v in pairs]
+    tried = {tuple(sorted(p, key=simhash._signed)) for p in tried}
+    assert len(close) > 20 and tried == close and len({r.component_id for r in rows}) == 40
+
+
 def test_a_dense_group_is_compared_with_its_smallest_member(spark, monkeypatch):
     rng = random.Random(13)
     words = [f"w{k}" for k in range(3000)]
