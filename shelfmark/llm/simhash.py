@@ -184,6 +184,11 @@ def _literals(masks: Sequence[int]) -> Column:
     return F.array(*[F.lit(_signed(mask)).cast("long") for mask in masks])
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows over as many tasks as a shuffle has at most, however small they are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _index(prints: DataFrame, words: Column, masks: Sequence[int], *carried: str) -> DataFrame:
     """``carried`` and ``key``: an entry for each of the array of words under each mask, numbered in that order."""
     rows = prints.select(*carried, F.posexplode(words).alias("_nth", "_word"))
@@ -234,9 +239,12 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     each a choice.  Each fingerprint is indexed once for each left-out bit and the index is joined to
     itself on equality; the join's condition verifies the distance and lets a pair through at
     its first agreeing entry alone, so no pair is made twice and no copy takes part.
+
+    Spark takes the index to be as small as the fingerprints it is made of, so the join is told not to
+    broadcast it, and the fingerprints are dealt to all tasks before they are multiplied.
     """
     masks = _wide_masks(max_bits)
-    index = _index(prints, F.array("fp"), _one_left_out(masks), "fp")
+    index = _index(_dealt(prints), F.array("fp"), _one_left_out(masks), "fp").hint("merge")
     a, b = index.alias("a"), index.alias("b")
     verified = (F.col("a.fp") < F.col("b.fp")) & (_distance(["fp"], "a", "b") <= max_bits)
     match = (F.col("a.key") == F.col("b.key")) & verified & _first_left_out("fp", masks, "a", "b")

@@ -38,6 +38,17 @@ def test_links_are_complete_and_single(spark, bits):
     assert len(found) == len(set(found)) and {tuple(r) for r in found} == expected
 
 
+def test_an_index_is_neither_broadcast_nor_made_in_few_tasks(spark):
+    # The fingerprints take 8 kB, their 192,000 entries far more.
+    prints = spark.range(1000).select(F.xxhash64("id").alias("fp")).distinct()
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
+    found = simhash.links(prints)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert f"RoundRobinPartitioning({spark.conf.get('spark.sql.shuffle.partitions')}), REPARTITION_BY_NUM" in plan
+    assert found.count() == 0
+
+
 def test_components_of_chains_stars_and_loops(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(400, 470)] + [(7, 7), (1, 2), (2, 1), (1, None)]
