@@ -509,6 +509,19 @@ def _shared(sets: DataFrame, *carried: str) -> DataFrame:
     return pin(sets.filter("low.node < high").drop("high"), "shared")
 
 
+def _links_left(links_: DataFrame) -> DataFrame:
+    """Links ``u, v`` of each node with the smallest of its component: they connect the same, with a row a node at most."""
+    return components(links_).withColumnsRenamed({"node": "u", "root": "v"})
+
+
+def _apart(pairs: DataFrame, links_: DataFrame) -> DataFrame:
+    """The pairs ``u, v`` whose ends are in different components of ``links_``, as ``_links_left`` has them."""
+    for end in ("u", "v"):
+        own = links_.select(F.col("u").alias(end), F.col("v").alias(f"_{end}"))
+        pairs = pairs.join(own, end, "left")
+    return pairs.filter(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
+
+
 def _links_in_groups(
     sets: DataFrame, close: Callable[[str, str], Column], linked: Callable[[DataFrame], DataFrame], *carried: str,
     described: DataFrame | None = None, once: Callable[[str, str], Column] = lambda a, b: F.lit(True),
@@ -516,8 +529,9 @@ def _links_in_groups(
     """Links ``u, v`` that connect what all linked pairs with a common gram would.
 
     ``close`` tells of two entries of a gram whether they are candidates, ``linked`` which candidates
-    are links.  Each node is compared with the smallest one at each of its grams first, and then only
-    with those that these links leave in another component, at the gram that ``once`` lets through.
+    are links.  Each node is compared with the smallest candidate that is the smallest node at one of its grams,
+    then with the other such ones where these links leave it in another component, and then only
+    with those that are left in another component still, at the gram that ``once`` lets through.
     ``carried`` are columns of the entries, or else of ``described``, which has a row for each node.
     """
     to_low = sets.filter((F.col("node") > F.col("low.node")))
@@ -528,11 +542,14 @@ def _links_in_groups(
         met, end = to_low.select("node", F.col("low.node").alias("_low")).distinct(), F.struct("node", *carried)
         to_low = met.join(described.select("node", end.alias("a")), "node")
         to_low = to_low.join(described.select(F.col("node").alias("_low"), end.alias("b")), "_low").select("a", "b")
-    near = to_low.filter(close("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-    links_ = linked(pin(near.distinct(), "near"))
+    near = to_low.filter(close("a", "b")).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    near = pin(near.withColumn("least", F.min("v").over(Window.partitionBy("u"))), "near")
+    links_ = _links_left(linked(pin(near.filter("v = least").select("u", "v"), "least")))
+    rest = _apart(near.filter("v > least").select("u", "v"), links_)
+    links_ = _links_left(links_.union(linked(pin(rest, "rest"))))
 
     by = Window.partitionBy("gram")
-    roots = components(links_).withColumnsRenamed({"node": "_node", "root": "_root"})
+    roots = links_.withColumnsRenamed({"u": "_node", "v": "_root"})
     comps = sets.filter(F.col("node") > F.col("low.node")).join(roots, F.col("node") == F.col("_node"), "left")
     own = () if described is not None else carried
     comps = comps.select("node", *own, "gram", F.coalesce("_root", "node").alias("comp")).repartition("gram")
