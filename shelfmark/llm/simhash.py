@@ -550,11 +550,15 @@ def _links_in_groups(
 
     by = Window.partitionBy("gram")
     roots = links_.withColumnsRenamed({"u": "_node", "v": "_root"})
-    comps = sets.filter(F.col("node") > F.col("low.node")).join(roots, F.col("node") == F.col("_node"), "left")
-    own = () if described is not None else carried
-    comps = comps.select("node", *own, "gram", F.coalesce("_root", "node").alias("comp")).repartition("gram")
-    comps = comps.withColumns({"one": F.min("comp").over(by), "other": F.max("comp").over(by)}).filter("one < other")
-    comps = pin(comps if described is None else comps.join(described, "node"), "open")
+    above, comp = sets.filter(F.col("node") > F.col("low.node")), F.coalesce("_root", "node").alias("comp")
+    whose = (above if described is None else described).join(roots, F.col("node") == F.col("_node"), "left")
+    if described is None:
+        comps = whose.select("node", *carried, "gram", comp)
+    else:
+        # One join gives an entry both what describes its node and its component.
+        comps = above.select("node", "gram").join(whose.select("node", *carried, comp), "node")
+    comps = comps.repartition("gram").withColumns({"one": F.min("comp").over(by), "other": F.max("comp").over(by)})
+    comps = pin(comps.filter("one < other"), "open")
     a, b = comps.alias("a"), comps.alias("b")
     match = (
         (F.col("a.gram") == F.col("b.gram")) & (F.col("a.comp") != F.col("b.comp"))

@@ -339,6 +339,19 @@ def test_members_of_a_linked_group_are_compared_with_one_of_their_smallest(spark
     assert compared[0] < 300 and sum(compared) < 700, compared
 
 
+def test_entries_left_open_are_described_by_one_join(spark, monkeypatch):
+    plans, real = {}, simhash.pin
+
+    def run(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(simhash, "pin", run)
+    simhash.near_copies(spark.createDataFrame([(k, f"one two three four five {k}") for k in range(4)], "doc_id long, text string"))
+    # Nothing is joined to the entries after they are found to be of several components.
+    assert plans["open"].index("Window") < plans["open"].index("Join")
+
+
 def test_texts_of_one_frame_stay_apart(spark):
     rng = random.Random(10)
     words = [f"w{k}" for k in range(3000)]
